@@ -144,15 +144,10 @@ def is_domain_match(email: Column, target_domain: Column) -> Column:
     )
 
 
-def final_score(
-    confidence: Column,
-    discovery_method: Column,
-    source_type: Column,
-    email: Column,
-    target_domain: Column,
-    occurrences: Column,
+def score_bonus(
+    discovery_method: Column, source_type: Column, email: Column, target_domain: Column
 ) -> Column:
-    """Score of a candidate for a site, 10 to 100."""
+    """What page, place and domain of a candidate add to its score."""
     from sitecontacts.functions.urls import normalize_domain
 
     by_method = (
@@ -174,10 +169,22 @@ def final_score(
         .when(d.isin(opt.PUBLIC_MAIL_DOMAINS), -15)
         .otherwise(-50),
     )
+    return by_method + by_source + by_domain
+
+
+def final_score(
+    confidence: Column,
+    discovery_method: Column,
+    source_type: Column,
+    email: Column,
+    target_domain: Column,
+    occurrences: Column,
+) -> Column:
+    """Score of a candidate for a site, 10 to 100."""
     by_count = F.when(
-        occurrences > 1, F.least(F.lit(10), occurrences.cast("int") * 2)
+        occurrences > 1, F.least(F.lit(10), (occurrences * 2).cast("int"))
     ).otherwise(0)
-    total = confidence + by_method + by_source + by_domain + by_count
+    total = confidence + score_bonus(discovery_method, source_type, email, target_domain) + by_count
     return F.greatest(F.lit(10), F.least(F.lit(100), total)).cast("int")
 
 

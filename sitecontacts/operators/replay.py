@@ -1,0 +1,95 @@
+"""Sequential replay scoring.
+
+The site's winner is rescored after every page and its score is written back, so a
+later pass starts from the raised score. The result depends on page order and on
+every earlier pass, which no aggregate expresses; each site is replayed on its own
+in Arrow batches. A site has at most 25 visited pages.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, functions as F
+
+from sitecontacts.functions import text as tx
+from sitecontacts.functions import urls as ur
+from sitecontacts.operators import evidence as ev
+from sitecontacts.options import Options
+
+REPLAY_SCHEMA = (
+    "site_key string, email string, email_source string, email_type string,"
+    " confidence_score int, discovery_method string"
+)
+
+
+def _replay_site(rows: pd.DataFrame) -> pd.DataFrame:
+    row_limit = rows["stop_score"].iloc[0]
+    rows = rows.sort_values(["visit_rank", "first_order"], kind="stable")
+    known: dict[str, dict] = {}
+    counts: dict[str, int] = {}
+
+    def total(entry: dict) -> int:
+        n = counts[entry["email"]]
+        raised = entry["score"] + entry["bonus"] + (min(10, 2 * n) if n > 1 else 0)
+        return max(10, min(100, raised))
+
+    def settle() -> dict | None:
+        best, best_key = None, None
+        for entry in known.values():
+            key = (total(entry), entry["base_score"], entry["domain_match"], entry["email_type"] == "role")
+            if best_key is None or key > best_key:
+                best, best_key = entry, key
+        if best is not None:
+            best["score"] = best_key[0]
+        return best
+
+    last_batch = None
+    for _, page in rows.groupby("visit_rank", sort=True):
+        if last_batch is not None and page["batch_no"].iloc[0] > last_batch:
+            break
+        for row in page[page["email"].notna()].to_dict("records"):
+            counts[row["email"]] = counts.get(row["email"], 0) + 1
+            row["score"] = row["confidence"]
+            held = known.get(row["email"])
+            if held is None or row["score"] > held["score"]:
+                known[row["email"]] = row
+        best = settle()
+        if last_batch is None and best and best["score"] >= row_limit and best["domain_match"]:
+            last_batch = page["batch_no"].iloc[0]
+    best = settle()
+    if best is None:
+        return pd.DataFrame(columns=["site_key", "email", "email_source", "email_type",
+                                     "confidence_score", "discovery_method"])
+    return pd.DataFrame(
+        [[best["site_key"], best["email"], best["url"], best["email_type"], best["score"],
+          best["discovery_method"]]],
+        columns=["site_key", "email", "email_source", "email_type", "confidence_score", "discovery_method"],
+    )
+
+
+def replay_best(visit_emails: DataFrame, options: Options = Options()) -> DataFrame:
+    """Winner per site under sequential rescoring, with its early stop.
+
+    visit_emails(site_key, domain, visit_rank, batch_no, url, email, channel_ord,
+    first_order): one row per address and visited page, and one row with a null email
+    for a loaded page that shows none, because each loaded page is a pass of its own.
+    """
+    # executors need not have this package installed
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    source = ev.channel_source(F.col("channel_ord"))
+    obf = ev.channel_obfuscation(F.col("channel_ord"))
+    method = ur.evidence_method(source, obf, F.col("url"))
+    ready = visit_emails.select(
+        "site_key", "visit_rank", "batch_no", "first_order", "url", "email",
+        F.lit(options.early_stop_score if options.early_stop else 1000).alias("stop_score"),
+        ev.channel_confidence(F.col("channel_ord")).alias("confidence"),
+        method.alias("discovery_method"),
+        tx.email_type(F.col("email")).alias("email_type"),
+        tx.base_score(F.col("email")).alias("base_score"),
+        tx.is_domain_match(F.col("email"), F.col("domain")).alias("domain_match"),
+        tx.score_bonus(method, source, F.col("email"), F.col("domain")).alias("bonus"),
+    )
+    return ready.groupBy("site_key").applyInPandas(_replay_site, REPLAY_SCHEMA)
