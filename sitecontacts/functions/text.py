@@ -31,15 +31,22 @@ SPELLED_OUT = (
 BASE64 = rf"{_WORD_EDGE}[a-zA-Z0-9+/]{{12,80}}={{0,2}}{_WORD_EDGE}"
 
 
+# An address that normalising leaves as it is.
+_NORMAL_EMAIL = r"\A[a-z0-9_+-][a-z0-9._+-]*+@[a-z0-9.-]*(?<=[a-z0-9-])\z"
+
+
 def normalize_email(c: Column) -> Column:
     """Trim, lower, drop mailto:, query and fragment, percent-decode, strip quotes and dots."""
-    bare = F.regexp_replace(F.lower(browser_trim(c)), r"\Amailto:", "")
-    bare = F.substring_index(F.substring_index(bare, "?", 1), "#", 1)
-    decoded = let(
-        bare,
-        lambda s: F.when(F.contains(s, F.lit("%")), _percent_decoded(s)).otherwise(s),
-    )
-    return F.regexp_replace(decoded, rf"\A['\".{WS}]+|['\".{WS}]+\z", "")
+    def clean(raw: Column) -> Column:
+        bare = F.regexp_replace(F.lower(browser_trim(raw)), r"\Amailto:", "")
+        bare = F.substring_index(F.substring_index(bare, "?", 1), "#", 1)
+        decoded = let(
+            bare,
+            lambda s: F.when(F.contains(s, F.lit("%")), _percent_decoded(s)).otherwise(s),
+        )
+        return F.regexp_replace(decoded, rf"\A['\".{WS}]+|['\".{WS}]+\z", "")
+
+    return let(c, lambda raw: F.when(raw.rlike(_NORMAL_EMAIL), raw).otherwise(clean(raw)))
 
 
 def _percent_decoded(s: Column) -> Column:
@@ -258,7 +265,10 @@ def decode_references(c: Column, named: dict[str, str] | None = None) -> Column:
     names = any_of(name[1:-1] for name in named)
     pattern = rf"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|{names});"
     return let(
-        c, lambda t: F.when(t.rlike(pattern), replace_each(t, pattern, char)).otherwise(t)
+        c,
+        lambda t: F.when(
+            F.contains(t, F.lit("&")) & t.rlike(pattern), replace_each(t, pattern, char)
+        ).otherwise(t),
     )
 
 
@@ -281,8 +291,22 @@ def tagless_text(html: Column) -> Column:
     )
 
 
+# A word that holds an @ sign.
+_AROUND_AT = rf"(?<![{LOCAL}@])[{LOCAL}]*+@[{LOCAL}@]*+"
+
+
 def find_emails(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))
+    """Addresses in a text, in order.
+
+    Only words around an @ sign are searched: an address lies inside one run of its
+    own characters, and what ends a run also ends an address.
+    """
+
+    def search(t: Column) -> Column:
+        words = F.array_join(F.regexp_extract_all(t, F.lit(_AROUND_AT), F.lit(0)), " ")
+        return F.regexp_extract_all(words, F.lit(EMAIL), F.lit(0))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("@")), search(t)))
 
 
 def find_spelled_out(text: Column) -> Column:

@@ -69,7 +69,7 @@ def script_text(html: Column) -> Column:
 
 def body_text(html: Column) -> Column:
     """Text of the page body; a missing body or end tag is read as a browser reads it."""
-    parts = F.split(tx.drop_scripts(html), r"(?i)</head\s*>|<body\b[^>]*>", 2)
+    parts = F.split(tx.drop_scripts(html), r"<(?:/(?i:head)\s*>|(?i:body)\b[^>]*>)", 2)
     body = let(
         parts,
         lambda p: F.when(F.size(p) == 2, p[1]).otherwise(
@@ -91,7 +91,15 @@ def _may_hold_address(html: Column) -> Column:
 
 
 def _may_spell_out(html: Column) -> Column:
-    return html.rlike(r"(?i)[^a-z0-9]dot[^a-z0-9]") & html.rlike(r"(?i)[^a-z0-9]at[^a-z0-9]")
+    return html.rlike(r"[dD][oO][tT](?![A-Za-z0-9])") & html.rlike(
+        r"[aA][tT](?![A-Za-z0-9])(?<![A-Za-z0-9]..)"
+    )
+
+
+def _may_protect(html: Column) -> Column:
+    """Quick test for the protected-address attribute, whose name may be in any case."""
+    marks = [F.contains(html, F.lit(m)) for m in ("-cf", "-CF", "-Cf", "-cF")]
+    return (marks[0] | marks[1] | marks[2] | marks[3]) & html.rlike(_PROTECTED_NAME)
 
 
 def with_evidence(
@@ -118,13 +126,13 @@ def with_evidence(
         return F.col(name)
 
     lists: dict[str, Column] = {}
-    if wanted & (_LINK_CHANNELS | {"protected_attr", "meta"}):
-        protected = F.contains(html, F.lit("email-protection#")) | html.rlike(_PROTECTED_NAME)
+    if wanted - _TEXT_CHANNELS - _SCRIPT_CHANNELS:
+        protected = F.contains(html, F.lit("email-protection#")) | _may_protect(html)
         mailto = F.contains(html, F.lit("mailto:")) | F.contains(html, F.lit("&#"))
         markup = stage("_markup", F.when(at | protected | mailto, markup_of(html)))
         if "protected_attr" in wanted:
             lists["protected_attr"] = F.when(
-                markup.rlike(_PROTECTED_NAME),
+                _may_protect(markup),
                 F.transform(
                     attribute_values(markup, r"[a-z][^\s/>]*+", "data-cfemail"), tx.decode_protected
                 ),
@@ -150,7 +158,7 @@ def with_evidence(
             lists["meta"] = F.when(at, tx.find_emails(tx.decode_numeric_entities(contents)))
     if wanted & _REGION_CHANNELS:
         has = stage("_region", F.when(at, rg.has_region(html)))
-        hard = stage("_hard", F.when(has, rg.needs_stack(html)))
+        hard = stage("_hard", F.when(has, rg.needs_stack(markup)))
         offsets = stage("_offsets", rg.region_offsets(F.when(hard, html)))
         for kind in ("header", "footer"):
             if kind in wanted:

@@ -145,23 +145,33 @@ def region_offsets(html: Column) -> Column:
 
 
 def has_region(html: Column) -> Column:
-    return html.rlike(r"(?i)<(?:header|footer)\b|header|footer")
+    """Quick test for header or footer elements, ids or classes."""
+    return (
+        F.contains(html, F.lit("header"))
+        | F.contains(html, F.lit("footer"))
+        | html.rlike(r"<(?i:header|footer)\b")
+    )
+
 
+def needs_stack(markup: Column) -> Column:
+    """The page has regions that a plain expression cannot cut exactly.
 
-def needs_stack(html: Column) -> Column:
-    """The page has regions that a plain expression cannot cut exactly."""
+    `markup` is the page without comments and scripts. Words that merely look like an
+    id or class send a page to the exact way too, which costs time but no result.
+    """
     tokens = F.lower(
-        F.array_join(F.regexp_extract_all(html, F.lit(r"(?i)</?(?:header|footer)\b"), F.lit(0)), "")
+        F.array_join(F.regexp_extract_all(markup, F.lit(r"</?(?i:header|footer)\b"), F.lit(0)), "")
     )
     plain = tokens.rlike(r"\A(?:<header</header|<footer</footer)*+\z")
-    by_attribute = html.rlike(r"(?s)<[A-Za-z][^>]*\b[iIcC][dDlL][aA]?[sS]{0,2}\s*=[^>]*(?:header|footer)")
-    return ~plain | by_attribute
+    return ~plain | markup.rlike(
+        r"(?:header|footer)(?<![</](?:header|footer))[^<>\"']*[>\"']"
+    )
 
 
 def plain_region(html: Column, kind: str) -> Column:
     """Inner HTML of the plain elements of one kind, joined by a space."""
     inner = F.regexp_extract_all(
-        html, F.lit(rf"(?is)<{kind}\b[^>]*>(.*?)</{kind}\b"), F.lit(1)
+        html, F.lit(rf"(?s)<(?i:{kind})\b[^>]*>(.*?)</(?i:{kind})\b"), F.lit(1)
     )
     return F.array_join(inner, " ")
 

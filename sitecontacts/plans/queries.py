@@ -357,7 +357,11 @@ def progress_mark(spark, d):
 def stream_equals_batch(spark, d):
     """Best address per site kept by the streaming job over the page files."""
     base = f"{checkpoint_dir(spark)}/stream-{_fresh()}"
-    pages = st.read_page_stream(spark, f"{d}/pages.parquet")
+    source = f"{d}/pages.parquet"
+    if st.is_folder(spark, source):
+        pages = st.read_page_stream(spark, source)
+    else:
+        pages = st.read_page_stream(spark, d, "pages.parquet")
     st.stream_running_best(pages, f"{base}/parts", f"{base}/state").awaitTermination()
     return st.running_best(spark, f"{base}/parts").select("domain", *RESULT, "occurrences")
 

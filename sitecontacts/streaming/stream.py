@@ -18,9 +18,11 @@ from sitecontacts.sources.leads import to_targets
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 
 
-def read_page_stream(spark: SparkSession, path: str, schema: str = PAGES_SCHEMA) -> DataFrame:
-    """Captured pages arriving as parquet files."""
-    return spark.readStream.schema(schema).parquet(path)
+def read_page_stream(
+    spark: SparkSession, path: str, name: str = "*", schema: str = PAGES_SCHEMA
+) -> DataFrame:
+    """Captured pages arriving as parquet files named like `name` in a folder."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
 
 
 def stream_evidence(
@@ -98,14 +100,18 @@ def enrich_remaining(
 def done_rows(spark: SparkSession, progress: str, other_than: str | None = None) -> DataFrame:
     """Progress rows of all steps but one; empty before the first step."""
     schema = "row_index bigint, website string, done_at timestamp, batch string"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(progress)
-    exists = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
-    if not exists:
+    if not is_folder(spark, progress):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(progress)
     return rows if other_than is None else rows.where(F.col("batch") != other_than)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.exists(hadoop) and files.getFileStatus(hadoop).isDirectory()
+
+
 def stream_enrichment(
     leads: DataFrame, pages: DataFrame, lead_columns: list[str], out: str, progress: str,
     checkpoint: str, domain_dns: DataFrame | None = None, options: Options = Options(),
