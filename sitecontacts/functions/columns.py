@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column, functions as F
 
 # Browser notion of whitespace; Java's \s covers ASCII only.
 WS = r"\s\x0B\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
+def reuse(build):
+    """Keep the columns a function of plain arguments builds, per Spark context.
+
+    Building a large expression takes many calls into the JVM; columns never change.
+    """
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def wrapped(*args):
+        context = SparkContext._active_spark_context
+        key = (id(context), context.applicationId, args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return wrapped
+
+
 def let(value: Column, body) -> Column:
     """Bind `value` once and use it several times in `body` without repeating its work."""
     return F.transform(F.array(value), body)[0]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitecontacts import options as opt
 from sitecontacts.functions import text as tx, urls as ur
-from sitecontacts.functions.columns import let
+from sitecontacts.functions.columns import let, reuse
 from sitecontacts.operators import regions as rg
 from sitecontacts.options import Options
 
@@ -109,70 +109,80 @@ def with_evidence(
 
     evidence: array<struct<email, channel_ord, pos>>, in channel and page order.
     """
-    wanted = set(channels or opt.CHANNEL_NAMES)
+    wanted = frozenset(channels or opt.CHANNEL_NAMES)
+    stages = _extraction_stages(wanted, tuple(options.exclude_words))
+    staged = pages
+    for step in stages:
+        staged = staged.withColumns(step)
+    work = [name for step in stages for name in step if name != "evidence"]
+    return staged.drop(*work)
+
+
+@reuse
+def _extraction_stages(wanted: frozenset, exclude_words: tuple) -> list[dict[str, Column]]:
+    """Columns to add to `html`, step by step; each step reads earlier ones once computed."""
     html = F.col("html")
     empty = F.array().cast("array<string>")
-
-    staged = pages.withColumn("_at", _may_hold_address(html))
-    spelled = _may_spell_out(html) if wanted & {"text_spelled_out", "script_spelled_out"} else F.lit(False)
-    staged = staged.withColumn("_dot", spelled)
+    first: dict[str, Column] = {}
+    second: dict[str, Column] = {}
+    third: dict[str, Column] = {}
+    fourth: dict[str, Column] = {}
+
+    first["_at"] = _may_hold_address(html)
+    first["_dot"] = (
+        _may_spell_out(html) if wanted & {"text_spelled_out", "script_spelled_out"} else F.lit(False)
+    )
     at, dot = F.col("_at"), F.col("_dot")
-    work = ["_at", "_dot"]
-
-    def stage(name: str, value: Column) -> Column:
-        nonlocal staged
-        staged = staged.withColumn(name, value)
-        work.append(name)
-        return F.col(name)
-
     lists: dict[str, Column] = {}
+
     if wanted - _TEXT_CHANNELS - _SCRIPT_CHANNELS:
         protected = F.contains(html, F.lit("email-protection#")) | _may_protect(html)
         mailto = F.contains(html, F.lit("mailto:")) | F.contains(html, F.lit("&#"))
-        markup = stage("_markup", F.when(at | protected | mailto, markup_of(html)))
-        if "protected_attr" in wanted:
-            lists["protected_attr"] = F.when(
-                _may_protect(markup),
-                F.transform(
-                    attribute_values(markup, r"[a-z][^\s/>]*+", "data-cfemail"), tx.decode_protected
-                ),
-            )
-        if wanted & _LINK_CHANNELS:
-            hrefs = stage(
-                "_hrefs",
-                F.when(
-                    F.contains(markup, F.lit("mailto:")) | F.contains(markup, F.lit("email-protection#"))
-                    | F.contains(markup, F.lit("&#")),
-                    attribute_values(markup, "a", "href"),
-                ),
-            )
-            lists["protected_link"] = F.transform(
-                F.filter(hrefs, lambda h: F.contains(h, F.lit("/cdn-cgi/l/email-protection#"))),
-                lambda h: tx.decode_protected(
-                    F.regexp_extract(h, r"/cdn-cgi/l/email-protection#([a-fA-F0-9]+)", 1)
-                ),
-            )
-            lists["mailto"] = F.filter(hrefs, lambda h: F.startswith(h, F.lit("mailto:")))
-        if "meta" in wanted:
-            contents = F.array_join(attribute_values(markup, "meta", "content"), _GAP)
-            lists["meta"] = F.when(at, tx.find_emails(tx.decode_numeric_entities(contents)))
+        second["_markup"] = F.when(at | protected | mailto, markup_of(html))
+        markup = F.col("_markup")
+    if "protected_attr" in wanted:
+        lists["protected_attr"] = F.when(
+            _may_protect(markup),
+            F.transform(
+                attribute_values(markup, r"[a-z][^\s/>]*+", "data-cfemail"), tx.decode_protected
+            ),
+        )
+    if wanted & _LINK_CHANNELS:
+        worth = (
+            F.contains(markup, F.lit("mailto:"))
+            | F.contains(markup, F.lit("email-protection#"))
+            | F.contains(markup, F.lit("&#"))
+        )
+        third["_hrefs"] = F.when(worth, attribute_values(markup, "a", "href"))
+        hrefs = F.col("_hrefs")
+        lists["protected_link"] = F.transform(
+            F.filter(hrefs, lambda h: F.contains(h, F.lit("/cdn-cgi/l/email-protection#"))),
+            lambda h: tx.decode_protected(
+                F.regexp_extract(h, r"/cdn-cgi/l/email-protection#([a-fA-F0-9]+)", 1)
+            ),
+        )
+        lists["mailto"] = F.filter(hrefs, lambda h: F.startswith(h, F.lit("mailto:")))
+    if "meta" in wanted:
+        contents = F.array_join(attribute_values(markup, "meta", "content"), _GAP)
+        lists["meta"] = F.when(at, tx.find_emails(tx.decode_numeric_entities(contents)))
     if wanted & _REGION_CHANNELS:
-        has = stage("_region", F.when(at, rg.has_region(html)))
-        hard = stage("_hard", F.when(has, rg.needs_stack(markup)))
-        offsets = stage("_offsets", rg.region_offsets(F.when(hard, html)))
-        for kind in ("header", "footer"):
-            if kind in wanted:
-                inner = F.when(hard, rg.stacked_region(html, offsets, kind)).when(
-                    has, rg.plain_region(html, kind)
-                )
-                lists[kind] = tx.find_emails(tx.spaced_text(inner))
+        second["_region"] = F.when(at, rg.has_region(html))
+        third["_hard"] = F.when(F.col("_region"), rg.needs_stack(markup))
+        fourth["_offsets"] = rg.region_offsets(F.when(F.col("_hard"), html))
+        for kind in sorted(_REGION_CHANNELS & wanted):
+            inner = F.when(
+                F.col("_hard"), rg.stacked_region(html, F.col("_offsets"), kind)
+            ).when(F.col("_region"), rg.plain_region(html, kind))
+            lists[kind] = tx.find_emails(tx.spaced_text(inner))
     if wanted & _SCRIPT_CHANNELS:
-        scripts = stage("_scripts", script_text(html))
+        second["_scripts"] = script_text(html)
+        scripts = F.col("_scripts")
         lists["script"] = F.when(at, tx.find_emails(scripts))
         lists["script_spelled_out"] = F.when(dot, tx.find_spelled_out(scripts))
         lists["script_base64"] = tx.find_base64(scripts)
     if wanted & _TEXT_CHANNELS:
-        body = stage("_body", F.when(at | dot, body_text(html)))
+        second["_body"] = F.when(at | dot, body_text(html))
+        body = F.col("_body")
         lists["text"] = F.when(at, tx.find_emails(body))
         lists["text_spelled_out"] = F.when(dot, tx.find_spelled_out(body))
 
@@ -194,8 +204,8 @@ def with_evidence(
     cleaned = F.transform(
         found, lambda e: e.withField("raw", tx.normalize_email(e["raw"]))
     ).cast("array<struct<email:string,channel_ord:int,pos:int>>")
-    valid = F.filter(cleaned, lambda e: tx.is_valid_email(e["email"], options.exclude_words))
-    return staged.withColumn("evidence", valid).drop(*work)
+    valid = F.filter(cleaned, lambda e: tx.is_valid_email(e["email"], exclude_words))
+    return [step for step in (first, second, third, fourth, {"evidence": valid}) if step]
 
 
 def _channel_value(ordinal: Column, index: int) -> Column:

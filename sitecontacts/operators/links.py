@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sitecontacts.functions import urls as ur
+from sitecontacts.functions.columns import reuse
 from sitecontacts.operators.evidence import attribute_values, markup_of
 
 
 def with_links(pages: DataFrame) -> DataFrame:
     """Add `links`, the visitable link targets of a page in page order: array<struct<url, pos>>."""
+    base_and_hrefs, links = _link_stages()
+    return pages.withColumns(base_and_hrefs).withColumns(links).drop(*base_and_hrefs)
+
+
+@reuse
+def _link_stages() -> tuple[dict, dict]:
     html, base = F.col("html"), F.col("_base")
-    staged = pages.withColumn("_base", ur.base_parts(ur.canonical_url(F.col("url")))).withColumn(
-        "_hrefs",
-        F.when(html.rlike(r"<[aA]\s"), attribute_values(markup_of(html), "a", "href")),
-    )
+    first = {
+        "_base": ur.base_parts(ur.canonical_url(F.col("url"))),
+        "_hrefs": F.when(html.rlike(r"<[aA]\s"), attribute_values(markup_of(html), "a", "href")),
+    }
     resolved = F.transform(
         F.col("_hrefs"),
         lambda h, i: F.struct(ur.resolve_url(h, base).alias("url"), i.alias("pos")),
     )
     links = F.filter(resolved, lambda l: l["url"].isNotNull() & ~ur.should_avoid_url(l["url"]))
-    return staged.withColumn("links", links).drop("_base", "_hrefs")
+    return first, {"links": links}
 
 
 def explode_links(pages_with_links: DataFrame) -> DataFrame:

@@ -126,6 +126,8 @@ def crawl_order(
 ) -> DataFrame:
     """Frontier of every site over the captured link graph."""
     links = materialize(lk.rank_page_links(lk.explode_links(facts)))
+    if rules is not None:
+        rules = materialize(rules)
     return fr.build_frontier(sites, links, site_seeds(sites, rules, sitemaps, options), options, rules)
 
 
