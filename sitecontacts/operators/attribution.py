@@ -68,17 +68,14 @@ def site_summary(
 
 def run_summary(enriched: DataFrame, leads: DataFrame) -> DataFrame:
     """One row: leads read, rows written, leads skipped and rows with an email."""
-    written = enriched.agg(
-        F.count("*").alias("processed"), F.count_if(F.col("email") != "").alias("with_email")
-    )
-    # two single-row aggregates, joined by position of their only row
-    read = leads.agg(F.count("*").alias("leads"))
-    return (
-        written.withColumn("_k", F.lit(1)).join(read.withColumn("_k", F.lit(1)), "_k")
-        .select(
-            "leads", "processed", (F.col("leads") - F.col("processed")).alias("skipped"), "with_email"
-        )
+    one, none = F.lit(1).alias, F.lit(0).alias
+    marks = leads.select(one("read"), none("written"), none("found")).unionByName(
+        enriched.select(none("read"), one("written"), (F.col("email") != "").cast("int").alias("found"))
     )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    return marks.agg(
+        total("read").alias("leads"), total("written").alias("processed"), total("found").alias("with_email")
+    ).select("leads", "processed", (F.col("leads") - F.col("processed")).alias("skipped"), "with_email")
 
 
 def first_seen(page_emails: DataFrame, keys: list[str], page_order: str = "page_id") -> DataFrame:

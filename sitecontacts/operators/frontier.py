@@ -212,9 +212,11 @@ def early_stop(
     or more on the site's own domain, later batches are not visited.
     """
     scored = standings(visit_emails, options)
-    # the best address can only change on pages that show one; 25 ranks bound the rows
+    # the best address can only change on pages that show one; a standing covers at most 25 ranks
     checks = scored.select("site_key", F.col("from_rank").alias("check_rank")).distinct()
-    holding = scored.join(checks, "site_key").where("check_rank between from_rank and to_rank")
+    holding = scored.withColumn(
+        "check_rank", F.explode(F.sequence("from_rank", "to_rank"))
+    ).join(checks, ["site_key", "check_rank"], "left_semi")
     leaders = sc.best_per_site(holding, ["site_key", "check_rank"])
     stops = (
         leaders.where((F.col("confidence_score") >= options.early_stop_score) & F.col("domain_match"))

@@ -12,10 +12,13 @@ def remaining(leads: DataFrame, progress: DataFrame) -> DataFrame:
 
 def progress_mark(leads: DataFrame, progress: DataFrame) -> DataFrame:
     """Largest i such that rows 0..i are all done, as one row; -1 when row 0 is not."""
-    open_rows = remaining(leads, progress).agg(F.min("row_index").alias("_open"))
-    last = leads.agg(F.max("row_index").alias("_last"))
+    done = progress.select("row_index").distinct().withColumn("_done", F.lit(True))
     return (
-        open_rows.withColumn("_k", F.lit(1)).join(last.withColumn("_k", F.lit(1)), "_k")
+        leads.select("row_index").join(done, "row_index", "left")
+        .agg(
+            F.min(F.when(F.col("_done").isNull(), F.col("row_index"))).alias("_open"),
+            F.max("row_index").alias("_last"),
+        )
         .select(
             F.coalesce(F.col("_open") - 1, F.col("_last"), F.lit(-1)).cast("bigint").alias("mark")
         )

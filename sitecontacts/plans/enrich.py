@@ -23,14 +23,16 @@ def page_facts(pages: DataFrame, options: Options = Options()) -> DataFrame:
     """Evidence and links of every usable page, written once; the page text is read once.
 
     (page_id, url, evidence, links); `url` is the canonical URL without fragment and
-    unique: of several captures the lowest page_id is kept.
+    unique: of several captures the lowest page_id is kept. Which one that is comes
+    from a scan of the URL column alone, and meets the facts after extraction, so the
+    page text stays out of every shuffle.
     """
-    read = lk.with_links(ev.with_evidence(usable_pages(pages), options))
-    facts = materialize(
-        read.select("page_id", capture_key(F.col("url")).alias("url"), "evidence", "links")
+    usable = usable_pages(pages)
+    kept = usable.groupBy(capture_key(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
+    read = lk.with_links(ev.with_evidence(usable, options)).select(
+        "page_id", capture_key(F.col("url")).alias("url"), "evidence", "links"
     )
-    kept = facts.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return facts.join(kept, ["url", "page_id"])
+    return materialize(read.join(kept, ["page_id", "url"]))
 
 
 def fallback_contacts(targets: DataFrame, domain_dns: DataFrame, options: Options = Options()) -> DataFrame:

@@ -256,7 +256,7 @@ def sitemap_urls(spark, d):
 
 def _crawl(spark, d):
     """Page facts and frontier of the derived sites."""
-    facts = materialize(en.page_facts(_site_pages(spark, d).select("page_id", "url", "html", "status")))
+    facts = en.page_facts(_site_pages(spark, d).select("page_id", "url", "html", "status"))
     queue = en.crawl_order(
         derive(spark, d, "d_sites"), facts, rb.robots_rules(derive(spark, d, "d_robots")),
         derive(spark, d, "d_sitemaps"),
