@@ -107,12 +107,14 @@ def build_frontier(
     """The queue of every site: start page, sitemap seeds, then links level by level.
 
     sites(site_key, domain, start_url); page_links(src_url, url, link_rank), one row
-    per distinct link of a captured page. The result has QUEUE_COLUMNS.
+    per distinct link of a captured page. The result has QUEUE_COLUMNS. With `rules`,
+    denied URLs are never queued; a site whose start page is denied has no queue.
     """
     if not options.respect_robots:
         rules = None
-    if rules is not None and seeds is not None:
-        seeds = allowed_urls(seeds, rules)
+    if rules is not None:
+        sites = allowed_urls(sites, rules, "start_url")
+        seeds = None if seeds is None else allowed_urls(seeds, rules)
     queue = materialize(_initial_queue(sites, seeds))
     for depth in range(options.max_depth):
         added = expand_level(queue, page_links, depth, options, rules)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitecontacts.functions import text as tx, urls as ur
 from sitecontacts.operators import evidence as ev
@@ -96,8 +96,15 @@ def best_per_site(scored: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rank_candidates(scored: DataFrame, keys: list[str], top: int | None = None) -> DataFrame:
-    """All candidates of every site with their `rank`, or the first `top` of them."""
-    ranked = rank_within(
+    """All candidates of every site with their `rank`, or the first `top` of them.
+
+    With `top`, every task keeps its own best few rows of a site before the shuffle.
+    """
+    if top is not None:
+        order = Window.partitionBy(*keys).orderBy(_preference().desc())
+        ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint"))
+        return ranked.where(F.col("rank") <= top)
+    return rank_within(
         scored,
         keys,
         coarse={
@@ -110,4 +117,3 @@ def rank_candidates(scored: DataFrame, keys: list[str], top: int | None = None)
         fine=[F.col("first_page"), F.col("first_order")],
         name="rank",
     )
-    return ranked if top is None else ranked.where(F.col("rank") <= top)

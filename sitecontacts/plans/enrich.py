@@ -16,6 +16,7 @@ from sitecontacts.options import Options
 from sitecontacts.plans.lineage import materialize
 from sitecontacts.sources.captures import capture_key, usable_pages
 from sitecontacts.sources.leads import sites_of, to_targets
+from sitecontacts.sources.robots import allowed_urls
 from sitecontacts.sources.sitemaps import expand_sitemaps, parse_sitemaps, sitemap_roots
 
 
@@ -88,22 +89,31 @@ def join_best(
     )
 
 
-def best_by_domain(pages: DataFrame, domains: DataFrame, options: Options = Options()) -> DataFrame:
-    """Winner per domain over all captured pages of it: domains(domain)."""
+def best_by_domain(
+    pages: DataFrame, domains: DataFrame, options: Options = Options(), rules: DataFrame | None = None
+) -> DataFrame:
+    """Winner per domain over all captured pages of it: domains(domain).
+
+    With `rules`, pages a robots file denies count as not captured; they are taken out
+    after extraction, where rows no longer carry the page text.
+    """
     found = ev.explode_evidence(ev.with_evidence(usable_pages(pages), options))
     page_emails = ev.dedupe_page_emails(found)
+    if rules is not None and options.respect_robots:
+        page_emails = allowed_urls(page_emails, rules)
     return sc.best_per_site(
         sc.score_candidates(at.attribute_candidates(page_emails, domains)), ["domain"]
     )
 
 
 def enrich_captured(
-    leads: DataFrame, pages: DataFrame, domain_dns: DataFrame | None = None, options: Options = Options()
+    leads: DataFrame, pages: DataFrame, domain_dns: DataFrame | None = None,
+    options: Options = Options(), rules: DataFrame | None = None,
 ) -> DataFrame:
     """Enrich leads from every captured page of their domains, without a visit budget."""
     targets = to_targets(leads)
     domains = targets.select(F.col("target.site_domain").alias("domain")).distinct()
-    best = best_by_domain(pages, domains, options).withColumnRenamed("domain", "site_domain")
+    best = best_by_domain(pages, domains, options, rules).withColumnRenamed("domain", "site_domain")
     return join_best(targets, best, "site_domain", domain_dns, options)
 
 

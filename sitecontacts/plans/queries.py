@@ -311,6 +311,19 @@ def indexed_rows(spark, d):
     return ld.index_rows(table(spark, d, "customer").select("c_custkey", "c_name"))
 
 
+def lead_file(spark, d):
+    """Leads written as CSV files and read back with their own header."""
+    path = f"{checkpoint_dir(spark)}/leads-{_fresh()}"
+    _leads(spark, d).drop("row_index").write.option("header", True).option("escape", '"').csv(path)
+    return ld.read_leads(spark, path, multi_line=False).drop("row_index")
+
+
+def robots_enriched_leads(spark, d):
+    """Enriched leads without the pages that robots rules deny."""
+    rules = rb.robots_rules(derive(spark, d, "d_robots"))
+    return en.enrich_captured(_leads(spark, d), _site_pages(spark, d), rules=rules)
+
+
 def enriched_leads(spark, d):
     return en.enrich_captured(_leads(spark, d), _site_pages(spark, d))
 
@@ -381,7 +394,8 @@ QUERIES = {
         page_email_dedupe, occurrences, final_scores, ranked_candidates, top_candidates, best_emails,
         first_seen_events, site_summary, page_links, site_links, robots_rules, robots_filter,
         sitemap_urls, crawl_queue, next_fetch, early_stop_pages, crawl_best, replay_scores,
-        lead_targets, rejected_leads, indexed_rows, enriched_leads, output_columns, fallback_contact,
+        lead_targets, rejected_leads, indexed_rows, lead_file,
+        enriched_leads, robots_enriched_leads, output_columns, fallback_contact,
         run_summary, resume_remaining, progress_mark, stream_equals_batch,
     )
 }

@@ -299,3 +299,13 @@ def test_merged_parts_equal_one_count(spark):
         sc.count_candidates(df.where("page_id >= 7"), ["domain"]))
     as_set = lambda x: {str(r.asDict(True)) for r in x.collect()}
     assert as_set(whole) == as_set(sc.merge_candidates(parts, ["domain"]))
+
+
+def test_denied_start_page_is_not_visited(spark):
+    rules = robots_rules(spark.createDataFrame([(A, "User-agent: *\nDisallow: /\n")], "origin string, body string"))
+    sites = spark.createDataFrame(
+        [("a", "acme.com", A + "/"), ("b", "b.io", "https://b.io/")], "site_key string, domain string, start_url string")
+    links = spark.createDataFrame([], "src_url string, url string, link_rank int")
+    assert {r.site_key for r in fr.build_frontier(sites, links, rules=rules).collect()} == {"b"}
+    free = fr.build_frontier(sites, links, options=Options(respect_robots=False), rules=rules)
+    assert {r.site_key for r in free.collect()} == {"a", "b"}
