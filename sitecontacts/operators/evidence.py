@@ -249,9 +249,17 @@ def describe_evidence(rows: DataFrame) -> DataFrame:
 
 
 def extract_evidence(
-    pages: DataFrame, options: Options = Options(), channels: list[str] | None = None
+    pages: DataFrame,
+    options: Options = Options(),
+    channels: list[str] | None = None,
+    with_title: bool = False,
 ) -> DataFrame:
-    """pages(page_id, url, html, ...) to evidence rows, all channels or the named ones."""
+    """pages(page_id, url, html, ...) to evidence rows, all channels or the named ones.
+
+    `with_title` adds the page's title to every row.
+    """
+    if with_title:
+        pages = pages.withColumn("page_title", page_title(F.col("html")))
     return describe_evidence(explode_evidence(with_evidence(pages, options, channels)))
 
 

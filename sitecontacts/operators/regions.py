@@ -42,7 +42,7 @@ _TAG = re.compile(
     r"|<(?P<raw>script|style|noscript|iframe|xmp|noembed|noframes|textarea|title)"
     r"(?P<rawattrs>(?=[\s/>])[^>]*)>(?P<body>.*?)(?:</(?P=raw)\s*>|\Z)"
     r"|</(?P<close>[a-z][^\s/>]*)[^>]*>"
-    r"|<(?P<open>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*)>",
+    r"|<(?P<open>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=|[\"'])*+)>",
     re.I | re.S,
 )
 _ID_OR_CLASS = re.compile(

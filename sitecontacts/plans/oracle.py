@@ -397,6 +397,8 @@ SELECT o_orderkey, url FROM h WHERE host = 'acme.com' OR ends_with(host, '.acme.
     o["evidence_text"] = channel_query(10)
     o["evidence_spelled_out"] = channel_query(11)
     o["evidence_all"] = channel_query(*range(1, 12))
+    o["evidence_titles"] = f"""WITH {PAGES}, {USABLE}, {SITE_EV}
+SELECT page_id, email, regexp_extract(u.html, '<title>(.*?)</title>', 1) AS page_title FROM evidence JOIN usable u USING (page_id) WHERE ord = 3"""
     o["evidence_pages"] = f"""WITH {evidence_ctes('pages')}
 SELECT page_id, email, {SOURCE} AS source_type, {CONF} AS confidence, CAST(pos AS INT) AS pos FROM evidence"""
     docs = "(SELECT doc_id AS page_id, 'https://' || source || '.example.com/' AS url, '<body>' || text || '</body>' AS html FROM documents)"

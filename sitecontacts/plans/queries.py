@@ -125,6 +125,13 @@ def evidence_all(spark, d):
     )
 
 
+def evidence_titles(spark, d):
+    pages = _usable(spark, d).select("page_id", "url", "html")
+    return ev.extract_evidence(pages, channels=["mailto"], with_title=True).select(
+        "page_id", "email", "page_title"
+    )
+
+
 def evidence_pages(spark, d):
     return ev.extract_evidence(table(spark, d, "pages")).select(
         "page_id", "email", "source_type", "confidence", "pos"
@@ -390,7 +397,7 @@ QUERIES = {
     for f in (
         site_best_contact, normalized_emails, valid_emails, excluded_emails, email_types, base_scores,
         domain_matches, normalized_domains, normalized_urls, link_priority, avoid_urls, internal_urls,
-        page_status, latest_capture, evidence_all, evidence_pages, evidence_text_documents,
+        page_status, latest_capture, evidence_all, evidence_titles, evidence_pages, evidence_text_documents,
         page_email_dedupe, occurrences, final_scores, ranked_candidates, top_candidates, best_emails,
         first_seen_events, site_summary, page_links, site_links, robots_rules, robots_filter,
         sitemap_urls, crawl_queue, next_fetch, early_stop_pages, crawl_best, replay_scores,

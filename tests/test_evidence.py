@@ -98,6 +98,10 @@ def test_regions():
     assert cut('<img class="header"><b><footer>a</b>b</footer>') == [("footer", "a</b>b")]
 
 
+def test_cut_off_tag_does_not_stall():
+    assert find_regions('<footer>a</footer><div ' + 'x="1" ' * 200) == [("footer", 8, 1)]
+
+
 def test_regions_plain_and_stacked_agree(spark):
     bodies = ["<header>a@x.io</header><p>t</p><footer>b@x.io</footer>",
               "<footer>b@x.io</footer><footer>c@x.io</footer>"]
