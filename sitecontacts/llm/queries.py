@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sitecontacts.llm.common import read
+from sitecontacts.llm.dart_minhash import minhash_dedup
+from sitecontacts.llm.embedding_dedup import embedding_dedup
+from sitecontacts.llm.packing import packing
 from sitecontacts.llm.quality_rules import quality_rules
+from sitecontacts.llm.token_counts import token_counts
 
 
-def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(read(spark, sf_dir, "documents"))
+def _over(operator: Callable[[DataFrame], DataFrame], table: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, table))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_quality_rules": op8_quality_rules,
+    "op3_token_counts": _over(token_counts, "documents"),
+    "op4_embedding_dedup": _over(embedding_dedup, "embeddings"),
+    "op5_packing": _over(packing, "documents"),
+    "op8_quality_rules": _over(quality_rules, "documents"),
+    "op10_minhash_dedup": _over(minhash_dedup, "documents"),
 }
