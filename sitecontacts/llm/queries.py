@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from sitecontacts.llm.common import read
 from sitecontacts.llm.dart_minhash import minhash_dedup
 from sitecontacts.llm.embedding_dedup import embedding_dedup
@@ -38,4 +39,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _over(quality_rules, "documents"),
     "op9_quality_crf": _crf,
     "op10_minhash_dedup": _over(minhash_dedup, "documents"),
+    "pipeline": corpus_pipeline.run,
 }
