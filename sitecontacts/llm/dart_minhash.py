@@ -163,23 +163,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
 
 
-def _across(multi: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
-    """Links between members of one bucket that are not yet in one component, as a forest per tile.
+def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
+    """Links between members (id, key) of one bucket that are not yet in one component, as a forest per tile.
 
-    The bucket's largest component and its other members are dealt into blocks by hash. A
-    tile pairs a block of other members with any block, so that the members of the largest
-    component never meet each other, and no tile holds more than about two blocks.
+    Buckets of the same members are searched once. A bucket's largest component and its
+    other members are dealt into blocks by hash. A tile pairs a block of other members with
+    any block, so that the members of the largest component never meet each other, and no
+    tile holds more than about two blocks.
     """
-    rows = multi.join(groups.withColumnsRenamed({"node": "id"}), "id", "left").select(
+    rows = rows.join(groups.withColumnsRenamed({"node": "id"}), "id", "left").select(
         "id", "key", F.coalesce("component", "id").alias("c")
     )
-    sizes = rows.groupBy("key", "c").agg(F.count("*").alias("n"))
-    plan = sizes.groupBy("key").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("main")
-    ).filter("parts > 1").select(
-        "key", F.col("main.c").alias("main"), F.ceil(F.col("main.n") / block).cast("int").alias("nm"),
-        F.ceil((F.col("total") - F.col("main.n")) / block).cast("int").alias("no"),
+    sizes = rows.groupBy("key", "c").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")
     )
+    plan = materialize(sizes.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("main"),
+        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
+    ).filter("parts > 1").groupBy("x", "y", "total").agg(F.min_by(F.struct("key", "main"), "key").alias("k")).select(
+        F.col("k.key").alias("key"), F.col("k.main.c").alias("main"), F.ceil(F.col("k.main.n") / block).cast("int").alias("nm"),
+        F.ceil((F.col("total") - F.col("k.main.n")) / block).cast("int").alias("no"),
+    ))
     dealt = rows.join(plan, "key").withColumn("h", F.xxhash64("id")).withColumn(
         "blk", F.when(F.col("c") == F.col("main"), F.pmod("h", F.col("nm"))).otherwise(F.col("nm") + F.pmod("h", F.col("no"))).cast("int")
     )
@@ -242,11 +246,13 @@ def near_documents(
     multi = materialize(spread.join(crowded, "key"))
     central = multi.groupBy("id").agg(F.sum("n").alias("w"))
     pivots = multi.join(central, "id").groupBy("key").agg(F.max(F.struct("w", "id")).alias("p")).select("key", F.col("p.id").alias("b"))
-    pairs = multi.join(pivots, "key").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    spokes = materialize(multi.join(pivots, "key").filter("id <> b").select("id", "key", "b"))
+    pairs = spokes.select(F.col("id").alias("a"), "b").distinct()
     texts = materialize(source.join(central.select("id"), "id", "left_semi").distinct())
     links = materialize(_verified(pairs, texts, similarity, size))
     groups = components(links)
-    more = materialize(_across(multi, groups, texts, similarity, size, block))
+    # a bucket's pivot has met all its members, so only the others can still miss a link
+    more = materialize(_across(spokes.select("id", "key"), groups, texts, similarity, size, block))
     groups = components(links.unionByName(more))
     classes = named.select("id", "node").join(groups, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     out = docs.select(F.col(key).alias("id")).join(classes, "id", "left")
