@@ -100,20 +100,25 @@ class Scanner:
         return {w: i for i, w in reversed(list(enumerate(words))) if w not in _COMMON} or {w: i for i, w in enumerate(words)}
 
     def regions(self, text: list[str], words: list[str], marks: dict[str, int]) -> Iterator[tuple[int, int]]:
-        """Stretches of a text around a template's marks; a new one begins after a gap or where the template starts over."""
-        gap = 4 + len(words) // 2
-        start = last = None
-        back = -1
+        """Stretches of a text around a template's marks; a new one begins after a gap or where the template starts over.
+
+        A stretch is widened by the template's words before and after its outer marks and
+        two more, but never onto a mark of the stretch next to it.
+        """
+        gap, first = 4 + len(words) // 2, min(marks.values())
+        found: list[list[int]] = []  # first and last mark in the text, and in the template
         for i, w in enumerate(text):
             at = marks.get(w)
             if at is None:
                 continue
-            if last is not None and (i - last > gap or at + len(words) / 2 < back or (at <= back and at == min(marks.values()))):
-                yield max(0, start - gap), last + gap + 1
-                start = None
-            start, last, back = i if start is None else start, i, at
-        if start is not None:
-            yield max(0, start - gap), last + gap + 1
+            if not found or i - found[-1][1] > gap or at + len(words) / 2 < found[-1][3] or at == first <= found[-1][3]:
+                found.append([i, i, at, at])
+            else:
+                found[-1][1], found[-1][3] = i, at
+        for k, (start, last, head, tail) in enumerate(found):
+            low = found[k - 1][1] + 1 if k else 0
+            high = found[k + 1][0] if k + 1 < len(found) else len(text)
+            yield max(low, start - head - 2), min(high, last + len(words) - tail + 2)
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, template, coverage) of every notice in a whole text, in code points, sorted.

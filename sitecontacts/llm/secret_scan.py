@@ -46,18 +46,20 @@ ALLOWED = (
     re.compile(r"(?i:.*(?:example|placeholder|changeme|dummy|lorem).*)"),
 )
 
+_UNIT = 1 << 40
+
 
 def dense_windows(run: str, width: int, bits: float) -> Iterator[tuple[int, int]]:
     """(start, end) of the merged windows of `width` characters with at least `bits` bits per character.
 
     The sum of c * log2(c) over the counts of a window is kept up to date while it slides:
-    two counts change per step, so a run costs its length, whatever the width.
+    two counts change per step, so a run costs its length, whatever the width. The terms
+    are whole numbers of 2 ** -40 bits, so that no error builds up along a run.
     """
-    terms = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    terms = [0] + [round(c * math.log2(c) * _UNIT) for c in range(1, width + 2)]
     counts: dict[str, int] = {}
-    total, start = 0.0, None
-    limit = width * (math.log2(width) - bits) + 1e-9
-    end = 0
+    total, start, end = 0, None, 0
+    limit = round(width * (math.log2(width) - bits) * _UNIT) + width
     for i, ch in enumerate(run):
         c = counts.get(ch, 0)
         counts[ch] = c + 1
