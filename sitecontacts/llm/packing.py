@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from sitecontacts.llm.common import batches
-from sitecontacts.llm.token_counts import RunCache, word_bpe
+from sitecontacts.llm.token_counts import word_bpe, worker_cache
 from sitecontacts.plans.lineage import materialize
 
 _RUN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
@@ -92,7 +93,7 @@ def pack(
     source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = RunCache(path, lambda ids: np.asarray(ids, "<u4").tobytes())
+        cache = worker_cache(path, "ids", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
         end = np.asarray([end_id], "<u4").tobytes()
         windows, sequence, rows = Windows(capacity, n_open, max_pad), TaskContext.get().partitionId() << 32, []
         for frame in batches(frames, "text"):

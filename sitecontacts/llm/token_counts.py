@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -16,8 +17,10 @@ from sitecontacts.llm.common import batches, free_names
 _RUN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 #: Longer runs are encoded each time, so that no table or cache holds a long string.
 _CACHED_CHARS = 64
-#: Entries a worker keeps; a full cache starts anew.
+#: Entries of one generation of a worker's cache; it keeps two.
 _CACHE_ENTRIES = 400_000
+#: The default vocabulary's splitter parts Latin letters from these marks after them, so that "word," is "word" and ",".
+_MARKS = ".,;:!?"
 
 
 def word_bpe() -> str:
@@ -30,41 +33,66 @@ def word_bpe() -> str:
 class RunCache:
     """Tier two: what the tokenizer gives for a run, kept per worker in bounded space.
 
-    `value` turns the ids of a run into what is kept (a length, packed bytes). A file
-    that drops or joins white space differently needs a splitter of its own.
+    `value` turns the ids of a run into what is kept (a length, packed bytes), which must
+    add up over the parts of a run. A file whose splitter joins letters with marks needs
+    `marks` to be empty; one that keeps white space needs a splitter of its own.
     """
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
+    def __init__(self, path: str, value: Callable[[list[int]], Any], marks: str = _MARKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._value = value
-        self.known: dict[str, object] = {}
+        self._value, self._marks = value, marks
+        self.known: dict[str, Any] = {}
+        self.older: dict[str, Any] = {}
 
-    def encode(self, run: str) -> object:
+    def encode(self, run: str) -> Any:
         """Value of a run as the library gives it, special strings handled as its default."""
         return self._value(self._tokenizer.encode(run, add_special_tokens=False).ids)
 
-    def values(self, runs: Iterable[str], first: dict[str, object]) -> list[object]:
+    def missed(self, run: str) -> Any:
+        """Value of a run that the newer generation doesn't hold."""
+        got = self.older.get(run)
+        if got is None:
+            core = run.rstrip(self._marks)
+            if core and len(core) < len(run) and core.isalpha() and max(core) < "\u0250":
+                got = self._one(core) + self._one(run[len(core):])
+            elif run.isascii() and run.isalpha() and not run.islower() and self._marks:
+                got = self._one(run.lower())  # the vocabulary is in lower case
+            else:
+                got = self.encode(run)
+        if len(run) <= _CACHED_CHARS:
+            if len(self.known) >= _CACHE_ENTRIES:
+                self.older, self.known = self.known, {}
+            self.known[run] = got
+        return got
+
+    def _one(self, run: str) -> Any:
+        got = self.known.get(run)
+        return self.missed(run) if got is None else got
+
+    def values(self, runs: list[str], first: dict[str, Any]) -> list[Any]:
         """Values in order: from the first tier, else the cache, else the tokenizer."""
-        known, out = self.known, []
-        for run in runs:
-            got = first.get(run)
-            if got is None:
-                got = known.get(run)
-                if got is None:
-                    got = self.encode(run)
-                    if len(run) <= _CACHED_CHARS:
-                        if len(known) >= _CACHE_ENTRIES:
-                            known.clear()
-                        known[run] = got
-            out.append(got)
+        known = self.known
+        out = [first.get(r) or known.get(r) for r in runs] if first else [known.get(r) for r in runs]
+        if None in out:
+            out = [self._one(r) if v is None else v for r, v in zip(runs, out, strict=True)]
         return out
 
 
+_CACHES: dict[tuple[str, str], RunCache] = {}
+
+
+def worker_cache(path: str, kind: str, value: Callable[[list[int]], Any]) -> RunCache:
+    """The cache of this Python worker, which outlives its tasks."""
+    if (path, kind) not in _CACHES:
+        _CACHES[path, kind] = RunCache(path, value, _MARKS if os.path.basename(path) == "word_bpe_49k.json" else "")
+    return _CACHES[path, kind]
+
+
 def frequent_runs(docs: DataFrame, text: str = "text", share: int = 16_384) -> DataFrame:
     """(run, n) of the runs that make at least 1 / `share` of some partition's runs.
 
@@ -95,7 +123,7 @@ def frequent_runs(docs: DataFrame, text: str = "text", share: int = 16_384) -> D
 def frequent_lengths(docs: DataFrame, text: str = "text", path: str | None = None, entries: int = 16_384) -> dict[str, int]:
     """Tier one: token counts of the `entries` most frequent runs, at most 64 characters each (about 2 MB)."""
     rows = frequent_runs(docs, text).orderBy(F.desc("n"), "run").limit(entries).collect()
-    cache = RunCache(path or word_bpe(), len)
+    cache = worker_cache(path or word_bpe(), "length", len)
     return {r.run: cache.encode(r.run) for r in rows}
 
 
@@ -113,7 +141,7 @@ def count_tokens(
 
     @F.pandas_udf("bigint")
     def lengths(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache, known = RunCache(path, len), first.value
+        cache, known = worker_cache(path, "length", len), first.value
         for part in parts:
             yield pd.Series([sum(cache.values(_RUN.findall(x), known)) if x else 0 for x in part], dtype="int64")
 
