@@ -38,6 +38,16 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def settled(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns `keep` and new ones, which come out of a generator of one row.
+
+    A filter above a projection is pushed through it with its expressions put in place,
+    also into lambdas, where they are computed once per element. No filter passes a generator.
+    """
+    made = F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in keep], made)
+
+
 def batches(frames: Iterator[pd.DataFrame], column: str, max_chars: int = 16_000_000) -> Iterator[pd.DataFrame]:
     """Cut Arrow batches so that the texts of one piece stay near `max_chars`.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitecontacts.llm.common import SPACE, free_names, has_word, words_of
+from sitecontacts.llm.common import SPACE, free_names, has_word, settled, words_of
 from sitecontacts.plans.lineage import materialize
 
 _TOKEN = f"[^{SPACE[1:]}"
@@ -108,11 +108,13 @@ def dedup_lines(
     df = df.withColumn(ls, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     df = df.withColumn(keep, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone))
     left = F.array_join(F.transform(keep, lambda i: F.get(F.col(ls), i)), "\n")
-    new = {text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left)}
-    return df.select(
-        *[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns], F.size(ls).cast("bigint").alias(lines_name),
-        F.coalesce(F.size(gone), F.lit(0)).cast("bigint").alias(dropped_name),
-    ), lines_name, dropped_name
+    (fresh,) = free_names(df, "fresh")
+    df = settled(
+        df, docs.columns, **{fresh: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left),
+                             lines_name: F.size(ls).cast("bigint"), dropped_name: F.coalesce(F.size(gone), F.lit(0)).cast("bigint")},
+    )
+    columns = [F.col(fresh).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
+    return df.select(*columns, lines_name, dropped_name), lines_name, dropped_name
 
 
 def with_words_left(df: DataFrame, dropped: str, text: str = "text") -> DataFrame:

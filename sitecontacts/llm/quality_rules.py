@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitecontacts.llm.common import free_names, has_word, words_of
+from sitecontacts.llm.common import free_names, has_word, settled, words_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -96,10 +96,8 @@ def measured(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str,
         "transform(filter($s, (x, j) -> x.t = get($s, j + 1).t or x.t = get($s, j - 1).t), x -> x.i)"
     )))
     covered = sql("aggregate(zip_with($s, slice($s, 2, size($s)), (a, b) -> least(3, coalesce(b - a, 3))), 0L, (t, x) -> t + x)")
-    return df.select(
-        *[F.col(f"`{c}`") for c in docs.columns], *[F.col(names[c]) for c in MEASURES if c != "n_repeat_words"],
-        covered.alias(names["n_repeat_words"]),
-    ), names
+    out = {names[c]: covered if c == "n_repeat_words" else F.col(names[c]) for c in MEASURES}
+    return settled(df, docs.columns, **out), names
 
 
 def ledger(
