@@ -12,10 +12,10 @@ import corpus_pipeline
 from sitecontacts.llm.dart_minhash import _WordHashes, multiset_jaccard, shingles
 from sitecontacts.llm.quality_rules import POLICIES, ablations, ledger, quality_rules
 from sitecontacts.llm.token_counts import word_bpe
-from tests.llm.test_line_dedup import brute as brute_lines
-from tests.llm.test_line_dedup import prose
-from tests.llm.test_mixing import expected as brute_mix
-from tests.llm.test_near_duplicates import classes
+from test_line_dedup import brute as brute_lines
+from test_line_dedup import prose
+from test_mixing import expected as brute_mix
+from test_near_duplicates import classes
 
 SPACE = " \t\n\x0b\x0c\r"
 
