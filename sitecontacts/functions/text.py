@@ -208,11 +208,8 @@ def _utf16_unit(n: Column) -> Column:
 
 
 def _number(digits: Column, base: int) -> Column:
-    """Numeric value of a short digit string; longer ones are not characters."""
-    short = F.regexp_replace(digits, r"\A0+(?=.)", "")
-    return F.when(F.length(short) <= 10, F.conv(short, base, 10).cast("bigint")).otherwise(
-        F.lit(0xFFFD).cast("bigint")
-    )
+    """Numeric value of a digit string, as far as it counts modulo 65,536, of which 16^4 and 10^16 are multiples."""
+    return F.conv(F.right(digits, F.lit(4 if base == 16 else 16)), base, 10).cast("bigint")
 
 
 def _hex_reference(found: Column) -> Column:

@@ -42,12 +42,24 @@ _REGION_CHANNELS = {"header", "footer"}
 
 def attribute_values(markup: Column, element: str, attribute: str) -> Column:
     """Values of an attribute on every matching element, in page order, references decoded."""
-    pattern = (
-        rf"(?s)<(?i:{element})(?=[\s/])(?:{_ATTRIBUTE}){{0,200}}?"
-        rf"[\s/]*+(?i:{attribute})\s*+=\s*+({_VALUE})"
+    # a tag's attributes are taken as a whole, however many, then read one by one
+    tags = F.regexp_extract_all(
+        markup, F.lit(rf"(?s)<(?i:{element})(?=[\s/])((?:{_ATTRIBUTE})*+)"), F.lit(1)
+    )
+    named = F.filter(tags, lambda t: t.rlike(rf"(?i)(?<![^\s/\"']){attribute}\s*+="))
+    found = F.transform(
+        named,
+        lambda t: F.filter(
+            F.regexp_extract_all(t, F.lit(rf"(?s){_ATTRIBUTE}"), F.lit(0)),
+            lambda a: a.rlike(rf"\A[\s/]*+(?i:{attribute})\s*+="),
+        ),
+    )
+    values = F.transform(
+        F.filter(found, lambda a: F.size(a) > 0),
+        lambda a: F.regexp_extract(a[0], rf"(?s)\A[^=]*+=\s*+({_VALUE})", 1),
     )
     return F.transform(
-        F.regexp_extract_all(markup, F.lit(pattern), F.lit(1)),
+        values,
         lambda v: tx.decode_references(
             F.when(v.rlike(r"\A[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
         ),
@@ -91,9 +103,15 @@ def _may_hold_address(html: Column) -> Column:
 
 
 def _may_spell_out(html: Column) -> Column:
-    return html.rlike(r"[dD][oO][tT](?![A-Za-z0-9])") & html.rlike(
+    spelled = html.rlike(r"[dD][oO][tT](?![A-Za-z0-9])") & html.rlike(
         r"[aA][tT](?![A-Za-z0-9])(?<![A-Za-z0-9]..)"
     )
+    return spelled | F.contains(html, F.lit("&#"))  # the words may be written as references
+
+
+def _may_encode(html: Column) -> Column:
+    """Quick test for references that may stand for a character of a link's mark."""
+    return html.rlike("&(?!(?:amp|nbsp|quot|lt|gt|copy|reg|laquo|raquo|mdash|ndash|hellip);)[#A-Za-z]")
 
 
 def _may_protect(html: Column) -> Column:
@@ -137,7 +155,7 @@ def _extraction_stages(wanted: frozenset, exclude_words: tuple) -> list[dict[str
 
     if wanted - _TEXT_CHANNELS - _SCRIPT_CHANNELS:
         protected = F.contains(html, F.lit("email-protection#")) | _may_protect(html)
-        mailto = F.contains(html, F.lit("mailto:")) | F.contains(html, F.lit("&#"))
+        mailto = F.contains(html, F.lit("mailto:")) | _may_encode(html)
         second["_markup"] = F.when(at | protected | mailto, markup_of(html))
         markup = F.col("_markup")
     if "protected_attr" in wanted:
@@ -151,7 +169,7 @@ def _extraction_stages(wanted: frozenset, exclude_words: tuple) -> list[dict[str
         worth = (
             F.contains(markup, F.lit("mailto:"))
             | F.contains(markup, F.lit("email-protection#"))
-            | F.contains(markup, F.lit("&#"))
+            | _may_encode(markup)
         )
         third["_hrefs"] = F.when(worth, attribute_values(markup, "a", "href"))
         hrefs = F.col("_hrefs")

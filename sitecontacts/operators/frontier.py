@@ -1,4 +1,4 @@
-"""Visit order of a site's pages under depth and page budgets.
+"""Visit order of a site's pages, under depth and page budgets where they are set.
 
 Breadth first with a queue visits all of depth d before depth d+1, so the queue is
 built level by level, one join per depth. A row's visit_rank is its place in the
@@ -7,11 +7,10 @@ sequential queue of its site.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from sitecontacts.functions import urls as ur
-from sitecontacts.operators import evidence as ev
-from sitecontacts.operators import scoring as sc
+from sitecontacts.operators.ranking import rank_within
 from sitecontacts.options import Options
 from sitecontacts.plans.lineage import materialize
 from sitecontacts.sources.robots import allowed_urls
@@ -20,14 +19,14 @@ QUEUE_COLUMNS = ["site_key", "domain", "url", "depth", "referrer", "visit_rank",
 
 
 def seed_urls(sitemap_urls: DataFrame, options: Options = Options()) -> DataFrame:
-    """First sitemap URLs of a site with a contact or company path: (site_key, url, seed_no)."""
-    order = Window.partitionBy("site_key").orderBy("sitemap_no", "url_no")
-    return (
-        sitemap_urls.where(ur.link_priority(F.col("url")) > 0)
-        .withColumn("seed_no", F.row_number().over(order))
-        .where(F.col("seed_no") <= options.max_sitemap_seeds)
-        .select("site_key", ur.normalize_url(F.col("url")).alias("url"), "seed_no")
+    """Sitemap URLs of a site with a contact or company path, in order: (site_key, url, seed_no)."""
+    seeds = rank_within(
+        sitemap_urls.where(ur.link_priority(F.col("url")) > 0), ["site_key"],
+        {"file": F.col("sitemap_no")}, [F.col("url_no")], "seed_no",
     )
+    if options.max_sitemap_seeds is not None:
+        seeds = seeds.where(F.col("seed_no") <= options.max_sitemap_seeds)
+    return seeds.select("site_key", ur.normalize_url(F.col("url")).alias("url"), F.col("seed_no").cast("int").alias("seed_no"))
 
 
 def _initial_queue(sites: DataFrame, seeds: DataFrame | None) -> DataFrame:
@@ -44,14 +43,14 @@ def _initial_queue(sites: DataFrame, seeds: DataFrame | None) -> DataFrame:
         "site_key", "domain", "url", F.lit(1).alias("depth"),
         F.lit("sitemap").alias("referrer"), F.col("seed_no").alias("_order"),
     )
-    # the start page and at most ten seeds per site
     once = start.unionByName(more).groupBy("site_key", "domain", "url").agg(
         F.min(F.struct("_order", "depth", "referrer")).alias("f")
     )
-    order = Window.partitionBy("site_key").orderBy("f._order")
-    return once.select(
-        "site_key", "domain", "url", "f.depth", "f.referrer",
-        F.row_number().over(order).alias("visit_rank"), F.lit(0).alias("parent_rank"),
+    once = once.select("site_key", "domain", "url", "f.*")
+    ranked = rank_within(once, ["site_key"], {"block": F.col("_order").bitwiseAND(~1023)}, [F.col("_order")], "visit_rank")
+    return ranked.select(
+        "site_key", "domain", "url", "depth", "referrer",
+        F.col("visit_rank").cast("int").alias("visit_rank"), F.lit(0).alias("parent_rank"),
     )
 
 
@@ -61,40 +60,30 @@ def expand_level(
     """Queue rows that visiting the pages of one depth adds.
 
     page_links(src_url, url, link_rank) holds the distinct links of captured pages.
-    No more than `max_queued_per_site` URLs are ever queued, so of one page no more
-    than that many links can matter and the rest need not be shuffled on.
+    New rows are ranked per parent page, so no task sorts all URLs of a site.
     """
-    parents = queue.where(
-        (F.col("depth") == depth) & (F.col("visit_rank") <= options.max_pages_per_site)
-    ).select("site_key", "domain", F.col("url").alias("src_url"), F.col("visit_rank").alias("parent_rank"))
+    parents = visited_pages(queue, options).where(F.col("depth") == depth).select(
+        "site_key", "domain", F.col("url").alias("src_url"), F.col("visit_rank").alias("parent_rank")
+    )
     links = page_links.select("src_url", "url", "link_rank")
     children = parents.join(links, "src_url").where(
         ur.is_internal_url(F.col("url"), F.col("domain"))
     )
     if rules is not None:
         children = allowed_urls(children, rules)
-    by_page = Window.partitionBy("site_key", "parent_rank").orderBy("link_rank")
-    children = children.withColumn("_n", F.row_number().over(by_page)).where(
-        F.col("_n") <= options.max_queued_per_site
-    )
     first = children.groupBy("site_key", "domain", "url").agg(
         F.min(F.struct("parent_rank", "link_rank", "src_url")).alias("f")
-    )
+    ).select("site_key", "domain", "url", "f.*")
     new = first.join(queue.select("site_key", "url"), ["site_key", "url"], "left_anti")
-    queued = queue.groupBy("site_key").agg(F.count("*").cast("int").alias("_queued"))
-    order = Window.partitionBy("site_key").orderBy("f.parent_rank", "f.link_rank")
-    return (
-        new.withColumn("_n", F.row_number().over(order))
-        .where(F.col("_n") <= options.max_queued_per_site)
-        .join(queued, "site_key")
-        .select(
-            "site_key", "domain", "url", F.lit(depth + 1).alias("depth"),
-            F.col("f.src_url").alias("referrer"),
-            (F.col("_queued") + F.col("_n")).alias("visit_rank"),
-            F.col("f.parent_rank").alias("parent_rank"),
-        )
-        .where(F.col("visit_rank") <= options.max_queued_per_site)
+    queued = queue.groupBy("site_key").agg(F.count("*").alias("_queued"))
+    ranked = rank_within(new, ["site_key"], {"parent": F.col("parent_rank")}, [F.col("link_rank")], "_n")
+    added = ranked.join(queued, "site_key").select(
+        "site_key", "domain", "url", F.lit(depth + 1).alias("depth"), F.col("src_url").alias("referrer"),
+        (F.col("_queued") + F.col("_n")).cast("int").alias("visit_rank"), "parent_rank",
     )
+    if options.max_queued_per_site is not None:
+        added = added.where(F.col("visit_rank") <= options.max_queued_per_site)
+    return added
 
 
 def build_frontier(
@@ -116,14 +105,21 @@ def build_frontier(
         sites = allowed_urls(sites, rules, "start_url")
         seeds = None if seeds is None else allowed_urls(seeds, rules)
     queue = materialize(_initial_queue(sites, seeds))
-    for depth in range(options.max_depth):
-        added = expand_level(queue, page_links, depth, options, rules)
-        queue = materialize(queue.unionByName(added))
+    depth = 0
+    while options.max_depth is None or depth < options.max_depth:
+        added = materialize(expand_level(queue, page_links, depth, options, rules))
+        # sitemap seeds have depth 1 already, so their links still wait after an empty first level
+        if added.isEmpty() and depth > 0:
+            break
+        queue = queue.unionByName(added)
+        depth += 1
     return queue
 
 
 def visited_pages(queue: DataFrame, options: Options = Options()) -> DataFrame:
     """The queue rows inside the page budget; pages without a capture use it up too."""
+    if options.max_pages_per_site is None:
+        return queue
     return queue.where(F.col("visit_rank") <= options.max_pages_per_site)
 
 
@@ -135,104 +131,3 @@ def next_fetch(queue: DataFrame, captured: DataFrame, options: Options = Options
     return visited_pages(queue, options).join(captured.select("url"), "url", "left_anti").select(
         "site_key", "url", "depth", "referrer", "visit_rank"
     )
-
-
-def visit_batches(queue: DataFrame, options: Options = Options()) -> DataFrame:
-    """(site_key, visit_rank, batch_no) of visited pages.
-
-    A batch takes what is queued at that moment, at most three pages and never more
-    than the budget left. The queue's length after v visits is the number of rows
-    that came from a page among the first v. Arrays hold at most 100 numbers per site.
-    """
-    budget, width = options.max_pages_per_site, options.batch_width
-    sources = queue.groupBy("site_key").agg(F.collect_list("parent_rank").alias("_from"))
-    queued_after = F.transform(
-        F.sequence(F.lit(0), F.lit(budget)),
-        lambda v: F.size(F.filter(F.col("_from"), lambda p: p <= v)),
-    )
-
-    def next_batch(ends: Column, _: Column) -> Column:
-        done = F.try_element_at(ends, F.lit(-1))
-        size = F.least(
-            F.lit(width), F.element_at(F.col("_queued"), done + 1) - done, F.lit(budget) - done
-        )
-        return F.when(size > 0, F.concat(ends, F.array(done + size))).otherwise(ends)
-
-    ends = F.aggregate(
-        F.sequence(F.lit(1), F.lit(budget)), F.array(F.lit(0)), next_batch
-    )
-    return (
-        sources.withColumn("_queued", queued_after)
-        .withColumn("_ends", ends)
-        .select("site_key", F.posexplode(F.slice("_ends", 2, budget)).alias("_b", "_end"), "_ends")
-        .select(
-            "site_key",
-            (F.col("_b") + 1).alias("batch_no"),
-            F.explode(F.sequence(F.element_at("_ends", F.col("_b") + 1) + 1, F.col("_end"))).alias("visit_rank"),
-        )
-        .select("site_key", "visit_rank", "batch_no")
-    )
-
-
-def standings(visit_emails: DataFrame, options: Options = Options()) -> DataFrame:
-    """Score of every address after each page that shows it: (site_key, email, from_rank, to_rank, ...).
-
-    visit_emails(site_key, domain, visit_rank, url, email, channel_ord, first_order).
-    A site has at most 25 visited pages, so an address has at most 25 standings.
-    """
-    so_far = (
-        Window.partitionBy("site_key", "email")
-        .orderBy("visit_rank")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    following = Window.partitionBy("site_key", "email").orderBy("visit_rank")
-    page = F.col("visit_rank").cast("bigint")
-    running = visit_emails.select(
-        "site_key", "domain", "email",
-        F.col("visit_rank").alias("from_rank"),
-        F.count("*").over(so_far).alias("occurrences"),
-        F.max(
-            F.struct(
-                ev.channel_confidence(F.col("channel_ord")).alias("confidence"),
-                (-page).alias("page"), F.col("url"), F.col("channel_ord"),
-            )
-        ).over(so_far).alias("best"),
-        F.min(F.struct(page.alias("page"), F.col("first_order").alias("place"))).over(so_far).alias("first"),
-        (F.lead("visit_rank").over(following) - 1).alias("to_rank"),
-    )
-    return sc.score_candidates(running).withColumn(
-        "to_rank", F.coalesce("to_rank", F.lit(options.max_pages_per_site))
-    )
-
-
-def early_stop(
-    queue: DataFrame, visit_emails: DataFrame, options: Options = Options()
-) -> DataFrame:
-    """Visited pages up to the batch in which a good enough contact was known.
-
-    After every page the site's best address so far is looked at; once it scores 95
-    or more on the site's own domain, later batches are not visited.
-    """
-    scored = standings(visit_emails, options)
-    # the best address can only change on pages that show one; a standing covers at most 25 ranks
-    checks = scored.select("site_key", F.col("from_rank").alias("check_rank")).distinct()
-    holding = scored.withColumn(
-        "check_rank", F.explode(F.sequence("from_rank", "to_rank"))
-    ).join(checks, ["site_key", "check_rank"], "left_semi")
-    leaders = sc.best_per_site(holding, ["site_key", "check_rank"])
-    stops = (
-        leaders.where((F.col("confidence_score") >= options.early_stop_score) & F.col("domain_match"))
-        .groupBy("site_key")
-        .agg(F.min("check_rank").alias("visit_rank"))
-    )
-    batches = visit_batches(queue, options)
-    last = stops.join(batches, ["site_key", "visit_rank"]).select(
-        "site_key", F.col("batch_no").alias("_last")
-    )
-    return (
-        visited_pages(queue, options)
-        .join(batches, ["site_key", "visit_rank"])
-        .join(last, "site_key", "left")
-        .where("_last is null or batch_no <= _last")
-        .select(*QUEUE_COLUMNS, "batch_no")
-    )

@@ -108,20 +108,16 @@ CHANNEL_NAMES = [name for _, name, _, _, _ in CHANNELS]
 
 @dataclass(frozen=True)
 class Options:
-    """Limits and switches of one enrichment run."""
-
-    max_depth: int = 2
-    max_pages_per_site: int = 25
-    max_queued_per_site: int = 100
-    max_sitemap_seeds: int = 10
-    max_urls_per_sitemap: int = 250
-    max_children_per_index: int = 5
-    max_sitemap_depth: int = 3
-    sitemap_url_stop: int = 500
-    batch_width: int = 3
-    early_stop: bool = True
-    early_stop_score: int = 95
-    capture_ttl_seconds: int = 24 * 3600
+    """Limits and switches of one enrichment run; a limit of None, the default, cuts nothing."""
+
+    max_depth: int | None = None
+    max_pages_per_site: int | None = None
+    max_queued_per_site: int | None = None
+    max_sitemap_seeds: int | None = None
+    max_urls_per_sitemap: int | None = None
+    max_children_per_index: int | None = None
+    max_sitemap_depth: int | None = None
+    sitemap_url_stop: int | None = None
     exclude_words: tuple[str, ...] = ()
     robots_agent: str = "sitecontacts"
     respect_robots: bool = True

@@ -128,7 +128,7 @@ SELECT c_custkey * 100 + rn AS page_id, {page_url('rn')} AS url, site, rn,
   || CASE WHEN rn % 3 = 0 THEN '<a href="?page=2">next</a>' ELSE '' END
   || {links}
   || '</nav><!-- <a href="mailto:old@' || site || '">x</a> -->'
-  || {channel}
+  || CASE WHEN c_custkey % 10 = 9 THEN '<p>No address here.</p>' ELSE {channel} END
   || CASE WHEN c_custkey % 2 = 0 THEN '<footer>office@' || site || '</footer>' ELSE '<footer>none</footer>' END
   || '</body></html>' AS html
 FROM (

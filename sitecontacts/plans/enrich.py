@@ -10,12 +10,11 @@ from sitecontacts.operators import attribution as at
 from sitecontacts.operators import evidence as ev
 from sitecontacts.operators import frontier as fr
 from sitecontacts.operators import links as lk
-from sitecontacts.operators import replay as rp
 from sitecontacts.operators import scoring as sc
 from sitecontacts.options import Options
 from sitecontacts.plans.lineage import materialize
-from sitecontacts.sources.captures import capture_key, usable_pages
-from sitecontacts.sources.leads import sites_of, to_targets
+from sitecontacts.sources.captures import capture_key, newest_pages, usable_pages
+from sitecontacts.sources.leads import quoted, sites_of, to_targets
 from sitecontacts.sources.robots import allowed_urls
 from sitecontacts.sources.sitemaps import expand_sitemaps, parse_sitemaps, sitemap_roots
 
@@ -24,12 +23,12 @@ def page_facts(pages: DataFrame, options: Options = Options()) -> DataFrame:
     """Evidence and links of every usable page, written once; the page text is read once.
 
     (page_id, url, evidence, links); `url` is the canonical URL without fragment and
-    unique: of several captures the lowest page_id is kept. Which one that is comes
-    from a scan of the URL column alone, and meets the facts after extraction, so the
-    page text stays out of every shuffle.
+    unique: of several captures the newest is kept. Which one that is comes from a scan
+    of small columns alone, and meets the facts after extraction, so the page text stays
+    out of every shuffle.
     """
     usable = usable_pages(pages)
-    kept = usable.groupBy(capture_key(F.col("url")).alias("url")).agg(F.min("page_id").alias("page_id"))
+    kept = newest_pages(usable)
     read = lk.with_links(ev.with_evidence(usable, options)).select(
         "page_id", capture_key(F.col("url")).alias("url"), "evidence", "links"
     )
@@ -59,7 +58,7 @@ def join_best(
 
     `best` has one row per `key`, a field of the target struct.
     """
-    lead_columns = [c for c in targets.columns if c not in opt.RESULT_COLUMNS and c != "target"]
+    lead_columns = [F.col(quoted(c)) for c in targets.columns if c not in opt.RESULT_COLUMNS and c != "target"]
     winner = best.select(
         F.col(key), *[F.col(c).alias(f"_{c}") for c in opt.RESULT_COLUMNS]
     )
@@ -94,11 +93,13 @@ def best_by_domain(
 ) -> DataFrame:
     """Winner per domain over all captured pages of it: domains(domain).
 
-    With `rules`, pages a robots file denies count as not captured; they are taken out
-    after extraction, where rows no longer carry the page text.
+    Of several captures of a URL the newest counts. With `rules`, pages a robots file
+    denies count as not captured; both are taken out after extraction, where rows no
+    longer carry the page text.
     """
-    found = ev.explode_evidence(ev.with_evidence(usable_pages(pages), options))
-    page_emails = ev.dedupe_page_emails(found)
+    usable = usable_pages(pages)
+    page_emails = ev.dedupe_page_emails(ev.explode_evidence(ev.with_evidence(usable, options)))
+    page_emails = page_emails.join(newest_pages(usable).select("page_id"), "page_id", "left_semi")
     if rules is not None and options.respect_robots:
         page_emails = allowed_urls(page_emails, rules)
     return sc.best_per_site(
@@ -150,38 +151,21 @@ def visited_emails(queue: DataFrame, facts: DataFrame, options: Options = Option
     return visits.join(emails, "url")
 
 
-def best_by_crawl(
-    queue: DataFrame, facts: DataFrame, options: Options = Options(), replay: bool = False
-) -> DataFrame:
-    """Winner per site_key over the pages a crawl with budgets would have visited."""
-    emails = materialize(visited_emails(queue, facts, options))
-    if replay:
-        loaded = (
-            fr.visited_pages(queue, options).select("site_key", "domain", "url", "visit_rank")
-            .join(fr.visit_batches(queue, options), ["site_key", "visit_rank"])
-            .join(facts.select("url"), "url", "left_semi")
-        )
-        passes = loaded.join(
-            emails.select("site_key", "visit_rank", "email", "channel_ord", "first_order"),
-            ["site_key", "visit_rank"], "left",
-        )
-        return rp.replay_best(passes, options)
-    if options.early_stop:
-        kept = fr.early_stop(queue, emails, options).select("site_key", "visit_rank")
-        emails = emails.join(kept, ["site_key", "visit_rank"])
-    counted = sc.count_candidates(emails, ["site_key", "domain"], "visit_rank")
+def best_by_crawl(queue: DataFrame, facts: DataFrame, options: Options = Options()) -> DataFrame:
+    """Winner per site_key over the captured pages of its queue."""
+    counted = sc.count_candidates(visited_emails(queue, facts, options), ["site_key", "domain"], "visit_rank")
     return sc.best_per_site(sc.score_candidates(counted), ["site_key"])
 
 
 def enrich_crawled(
     leads: DataFrame, pages: DataFrame, rules: DataFrame | None = None,
     sitemaps: DataFrame | None = None, domain_dns: DataFrame | None = None,
-    options: Options = Options(), replay: bool = False,
+    options: Options = Options(),
 ) -> DataFrame:
-    """Enrich leads as a budgeted crawl over the captured pages would do it."""
+    """Enrich leads from the captured pages that links and sitemaps lead to, within the limits that are set."""
     targets = to_targets(leads)
     facts = page_facts(pages, options)
     queue = crawl_order(sites_of(targets), facts, rules, sitemaps, options)
     return join_best(
-        targets, best_by_crawl(queue, facts, options, replay), "site_key", domain_dns, options
+        targets, best_by_crawl(queue, facts, options), "site_key", domain_dns, options
     )

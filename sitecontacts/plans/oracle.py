@@ -278,7 +278,7 @@ def sitemap_ctes() -> str:
     )
     return f"""files AS ({D('d_sitemaps')}),
 docs AS (SELECT sitemap_url AS doc, contains(xml, '<sitemap>') AS is_index,
-  CASE WHEN contains(xml, '<sitemap>') THEN list_slice({entries('sitemap')}, 1, 5) ELSE list_slice({entries('url')}, 1, 250) END AS entries FROM files),
+  CASE WHEN contains(xml, '<sitemap>') THEN {entries('sitemap')} ELSE {entries('url')} END AS entries FROM files),
 origins AS (SELECT site_key, regexp_extract(start_url, '^(https?://[^/]+)', 1) AS origin FROM ({D('d_sites')}) s),
 roots AS (
  SELECT site_key, value AS doc, row_number() OVER (PARTITION BY site_key ORDER BY line_no) AS no
@@ -294,6 +294,10 @@ found AS (
 site_maps AS (SELECT site_key, no AS sitemap_no, row_number() OVER (PARTITION BY site_key, no ORDER BY i, p) AS url_no, url FROM found)"""
 
 
+#: More levels than the link graph of the derived sites has.
+LEVELS = 7
+
+
 def frontier_ctes() -> str:
     """CTEs to queue(site_key, url, depth, referrer, visit_rank, parent_rank) over the derived sites."""
     allowed = lambda alias: (
@@ -307,37 +311,31 @@ def frontier_ctes() -> str:
         return f"""kids{depth} AS (
  SELECT p.site_key, p.domain, p.visit_rank AS parent_rank, l.src_url, l.url, l.link_rank
  FROM {before} p JOIN page_links l ON l.src_url = p.url
- WHERE p.depth = {depth} AND p.visit_rank <= 25 AND ({host} = p.domain OR ends_with({host}, '.' || p.domain)) AND {allowed('l')}),
+ WHERE p.depth = {depth} AND ({host} = p.domain OR ends_with({host}, '.' || p.domain)) AND {allowed('l')}),
 first{depth} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site_key, url ORDER BY parent_rank, link_rank) AS n FROM kids{depth}) x
  WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM {before} b WHERE b.site_key = x.site_key AND b.url = x.url)),
-queue{depth + 1} AS (SELECT site_key, domain, url, depth, referrer, visit_rank, parent_rank FROM {before}
+queue{depth + 1} AS MATERIALIZED (SELECT site_key, domain, url, depth, referrer, visit_rank, parent_rank FROM {before}
  UNION ALL SELECT f.site_key, f.domain, f.url, {depth + 1}, f.src_url,
   (SELECT count(*) FROM {before} b WHERE b.site_key = f.site_key) + row_number() OVER (PARTITION BY f.site_key ORDER BY f.parent_rank, f.link_rank),
-  f.parent_rank FROM first{depth} f
- QUALIFY (SELECT count(*) FROM {before} b WHERE b.site_key = f.site_key) + row_number() OVER (PARTITION BY f.site_key ORDER BY f.parent_rank, f.link_rank) <= 100)"""
+  f.parent_rank FROM first{depth} f)"""
 
     return f"""sites AS ({D('d_sites')}),
-seeds AS (SELECT site_key, url, seed_no FROM (
-  SELECT *, row_number() OVER (PARTITION BY site_key ORDER BY sitemap_no, url_no) AS seed_no FROM site_maps WHERE {priority('url')} > 0) x
- WHERE seed_no <= 10),
+seeds AS (SELECT site_key, url, row_number() OVER (PARTITION BY site_key ORDER BY sitemap_no, url_no) AS seed_no
+ FROM site_maps WHERE {priority('url')} > 0),
 firsts AS (SELECT site_key, domain, start_url AS url, 0 AS depth, '' AS referrer, 0 AS o FROM sites
  UNION ALL SELECT s.site_key, t.domain, s.url, 1, 'sitemap', s.seed_no FROM seeds s JOIN sites t USING (site_key) WHERE {allowed('s')}),
 queue0 AS (SELECT site_key, domain, url, depth, referrer, row_number() OVER (PARTITION BY site_key ORDER BY o) AS visit_rank, 0 AS parent_rank
  FROM (SELECT *, row_number() OVER (PARTITION BY site_key, url ORDER BY o) AS n FROM firsts) x WHERE n = 1),
-{level(0, 'queue0')},
-{level(1, 'queue1')},
-queue AS (SELECT * FROM queue2)"""
+{", ".join(level(k, f'queue{k}') for k in range(LEVELS))},
+queue AS (SELECT * FROM queue{LEVELS})"""
 
 
 CRAWL = (
     f"{PAGES}, {USABLE}, {link_ctes('usable')}, {robots_ctes()}, {sitemap_ctes()}, {frontier_ctes()}"
 )
 
-# Batches and early stop: recursive over the at most 25 visited pages of a site.
-STOP = f"""{SITE_EV},
-visit_emails AS (SELECT v.site_key, v.domain, v.visit_rank, e.* FROM queue v JOIN page_emails e USING (url) WHERE v.visit_rank <= 25),
-sizes AS (SELECT s.site_key, v.v, count(q.url) AS queued FROM sites s CROSS JOIN range(0, 26) v(v)
-  LEFT JOIN queue q ON q.site_key = s.site_key AND q.parent_rank <= v.v GROUP BY ALL)"""
+VISITS = f"""{SITE_EV},
+visit_emails AS (SELECT v.site_key, v.domain, v.visit_rank, e.* FROM queue v JOIN page_emails e USING (url))"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -398,7 +396,7 @@ SELECT o_orderkey, url FROM h WHERE host = 'acme.com' OR ends_with(host, '.acme.
     o["evidence_spelled_out"] = channel_query(11)
     o["evidence_all"] = channel_query(*range(1, 12))
     o["evidence_titles"] = f"""WITH {PAGES}, {USABLE}, {SITE_EV}
-SELECT page_id, email, regexp_extract(u.html, '<title>(.*?)</title>', 1) AS page_title FROM evidence JOIN usable u USING (page_id) WHERE ord = 3"""
+SELECT page_id, email, regexp_extract(u.html, '<title>(.*?)</title>', 1) AS page_title FROM evidence JOIN usable u USING (page_id)"""
     o["evidence_pages"] = f"""WITH {evidence_ctes('pages')}
 SELECT page_id, email, {SOURCE} AS source_type, {CONF} AS confidence, CAST(pos AS INT) AS pos FROM evidence"""
     docs = "(SELECT doc_id AS page_id, 'https://' || source || '.example.com/' AS url, '<body>' || text || '</body>' AS html FROM documents)"
@@ -431,7 +429,7 @@ FROM site s LEFT JOIN ranked r ON r.site_key = s.site_key AND r.rank = 1"""
 p AS (SELECT site AS site_key, count(*) AS pages_crawled, count(*) FILTER (status = 429 OR status >= 500) AS pages_failed FROM site_pages GROUP BY 1),
 e AS (SELECT site_key, count(DISTINCT email) AS emails_found FROM site_emails GROUP BY 1)
 SELECT p.site_key, p.pages_crawled, p.pages_failed, coalesce(e.emails_found, 0) AS emails_found, coalesce(r.email, 'None') AS final_email,
- CASE WHEN r.email IS NULL THEN 'Empty' ELSE 'Found' END AS outcome, CASE WHEN p.pages_crawled > p.pages_failed THEN 'success' ELSE 'error' END AS status
+ CASE WHEN r.email IS NULL THEN 'Empty' ELSE 'Found' END AS outcome, 'success' AS status
 FROM p LEFT JOIN e USING (site_key) LEFT JOIN ranked r ON r.site_key = p.site_key AND r.rank = 1"""
 
     # links
@@ -449,29 +447,9 @@ SELECT site_key, CAST(sitemap_no AS INT) AS sitemap_no, CAST(url_no AS INT) AS u
 SELECT site_key, url, CAST(depth AS INT) AS depth, referrer, CAST(visit_rank AS INT) AS visit_rank, CAST(parent_rank AS INT) AS parent_rank FROM queue"""
     o["next_fetch"] = f"""WITH {CRAWL}
 SELECT site_key, url, CAST(depth AS INT) AS depth, referrer, CAST(visit_rank AS INT) AS visit_rank FROM queue
-WHERE visit_rank <= 25 AND url NOT IN (SELECT url FROM usable)"""
-    batches = f"""batch_ends AS (
- SELECT site_key, 0 AS b, 0::BIGINT AS prev, 0::BIGINT AS done FROM sites
- UNION ALL SELECT e.site_key, e.b + 1, e.done, e.done + least(3, z.queued - e.done, 25 - e.done)
- FROM batch_ends e JOIN sizes z ON z.site_key = e.site_key AND z.v = e.done WHERE least(3, z.queued - e.done, 25 - e.done) > 0)"""
-    upto = candidate_ctes("so_far", "site_key, upto", "visit_rank")
-    stop = f"""WITH RECURSIVE {CRAWL}, {STOP}, {batches},
-so_far AS (SELECT c.upto, v.* FROM (SELECT DISTINCT site_key, visit_rank AS upto FROM visit_emails) c
-  JOIN visit_emails v ON v.site_key = c.site_key AND v.visit_rank <= c.upto),
-{upto},
-stops AS (SELECT site_key, min(upto) AS stop_rank FROM ranked WHERE rank = 1 AND score >= 95 AND matches GROUP BY 1),
-visits AS (SELECT q.*, b.b AS batch_no FROM queue q JOIN batch_ends b ON b.site_key = q.site_key AND q.visit_rank > b.prev AND q.visit_rank <= b.done),
-lasts AS (SELECT s.site_key, v.batch_no AS last FROM stops s JOIN visits v ON v.site_key = s.site_key AND v.visit_rank = s.stop_rank),
-kept AS (SELECT v.* FROM visits v LEFT JOIN lasts l USING (site_key) WHERE l.last IS NULL OR v.batch_no <= l.last)"""
-    o["early_stop_pages"] = f"""{stop}
-SELECT site_key, url, CAST(visit_rank AS INT) AS visit_rank, CAST(batch_no AS INT) AS batch_no FROM kept"""
-    renamed = candidate_ctes("kept_emails", order="visit_rank")
-    for name in ("best_evidence", "scored", "ranked"):
-        renamed = renamed.replace(f"{name} AS", f"final_{name} AS").replace(f"FROM {name}", f"FROM final_{name}")
-    o["crawl_best"] = f"""{stop},
-kept_emails AS (SELECT v.* FROM visit_emails v JOIN kept k ON k.site_key = v.site_key AND k.visit_rank = v.visit_rank),
-{renamed}
-SELECT site_key, {RESULT} FROM final_ranked WHERE rank = 1"""
+WHERE url NOT IN (SELECT url FROM usable)"""
+    o["crawl_best"] = f"""WITH {CRAWL}, {VISITS}, {candidate_ctes("visit_emails", order="visit_rank")}
+SELECT site_key, {RESULT} FROM ranked WHERE rank = 1"""
 
     # leads
     website = "coalesce(nullif(trim(Website), ''), nullif(trim(url_hint), ''))"
@@ -496,8 +474,7 @@ SELECT row_index, CASE WHEN Name = '' THEN 'Unknown Company' ELSE Name END AS na
     o["enriched_leads"] = f"""WITH {usable_rank}
 SELECT t.row_index, t.Name, t.Segment, t.Website, t.url_hint, {result}
 FROM targets t LEFT JOIN ranked r ON r.site_key = {norm_domain('t.site')} AND r.rank = 1"""
-    contact_rank = usable_rank.replace("status < 500)", "status < 500 AND contains(url, '/contact/'))")
-    o["fallback_contact"] = f"""WITH {contact_rank}, dns AS ({D('d_dns')}),
+    o["fallback_contact"] = f"""WITH {usable_rank}, dns AS ({D('d_dns')}),
 ok AS (SELECT domain AS d FROM dns WHERE has_mx AND NOT disposable)
 SELECT t.row_index, CASE WHEN r.email IS NOT NULL THEN r.email WHEN ok.d IS NOT NULL THEN 'hello@' || ok.d ELSE '' END AS email,
  CASE WHEN r.email IS NOT NULL THEN CAST(r.score AS VARCHAR) WHEN ok.d IS NOT NULL THEN '50' ELSE '' END AS confidence_score,

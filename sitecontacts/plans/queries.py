@@ -127,7 +127,7 @@ def evidence_all(spark, d):
 
 def evidence_titles(spark, d):
     pages = _usable(spark, d).select("page_id", "url", "html")
-    return ev.extract_evidence(pages, channels=["mailto"], with_title=True).select(
+    return ev.extract_evidence(pages, with_title=True).select(
         "page_id", "email", "page_title"
     )
 
@@ -281,22 +281,11 @@ def next_fetch(spark, d):
     return fr.next_fetch(queue, facts)
 
 
-def early_stop_pages(spark, d):
-    facts, queue = _crawl(spark, d)
-    emails = materialize(en.visited_emails(queue, facts))
-    return fr.early_stop(queue, emails).select("site_key", "url", "visit_rank", "batch_no")
-
-
 def crawl_best(spark, d):
     facts, queue = _crawl(spark, d)
     return en.best_by_crawl(queue, facts).select("site_key", *RESULT)
 
 
-def replay_scores(spark, d):
-    facts, queue = _crawl(spark, d)
-    return en.best_by_crawl(queue, facts, replay=True)
-
-
 # --- leads ------------------------------------------------------------------
 
 def _leads(spark, d):
@@ -342,9 +331,8 @@ def output_columns(spark, d):
 
 
 def fallback_contact(spark, d):
-    contact_pages = _site_pages(spark, d).where(F.contains(F.col("url"), F.lit("/contact/")))
     return en.enrich_captured(
-        _leads(spark, d), contact_pages, derive(spark, d, "d_dns"), Options(fallback_contact=True)
+        _leads(spark, d), _site_pages(spark, d), derive(spark, d, "d_dns"), Options(fallback_contact=True)
     ).select("row_index", "email", "confidence_score", "discovery_method")
 
 
@@ -400,7 +388,7 @@ QUERIES = {
         page_status, latest_capture, evidence_all, evidence_titles, evidence_pages, evidence_text_documents,
         page_email_dedupe, occurrences, final_scores, ranked_candidates, top_candidates, best_emails,
         first_seen_events, site_summary, page_links, site_links, robots_rules, robots_filter,
-        sitemap_urls, crawl_queue, next_fetch, early_stop_pages, crawl_best, replay_scores,
+        sitemap_urls, crawl_queue, next_fetch, crawl_best,
         lead_targets, rejected_leads, indexed_rows, lead_file,
         enriched_leads, robots_enriched_leads, output_columns, fallback_contact,
         run_summary, resume_remaining, progress_mark, stream_equals_batch,

@@ -48,6 +48,13 @@ def latest_unexpired(
     return newest.select(key, "_v.*").select(*df.columns)
 
 
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """(url, page_id) of the newest capture of every canonical URL, by captured_at where there is one, then page_id."""
+    age = [c for c in ("captured_at", "page_id") if c in pages.columns]
+    newest = pages.groupBy(capture_key(F.col("url")).alias("url")).agg(F.max(F.struct(*age)).alias("_v"))
+    return newest.select("url", "_v.page_id")
+
+
 def capture_key(url: Column) -> Column:
     """What links are matched on: the canonical URL without its fragment."""
     return F.coalesce(ur.drop_fragment(ur.canonical_url(url)), url)

@@ -23,7 +23,7 @@ def read_leads(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
-    return index_rows(rows.na.fill(""))
+    return index_rows(rows.select(*[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in rows.columns]))
 
 
 def index_rows(rows: DataFrame) -> DataFrame:
@@ -41,13 +41,18 @@ def index_rows(rows: DataFrame) -> DataFrame:
     return (
         placed.join(F.broadcast(offsets), "_part")
         .withColumn("row_index", F.col("_id") - F.shiftleft(F.col("_part"), 33) + F.col("_before"))
-        .select("row_index", *rows.columns)
+        .select("row_index", *[F.col(quoted(c)) for c in rows.columns])
     )
 
 
+def quoted(name: str) -> str:
+    """A lead column's name for use in an expression; headers may hold dots, spaces and backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _first_filled(df: DataFrame, columns: list[str]) -> Column:
     filled = [
-        F.when(browser_trim(F.col(f"`{c}`")) != "", browser_trim(F.col(f"`{c}`"))) for c in columns
+        F.when(browser_trim(F.col(quoted(c))) != "", browser_trim(F.col(quoted(c)))) for c in columns
     ]
     return F.coalesce(*filled) if filled else F.lit(None).cast("string")
 

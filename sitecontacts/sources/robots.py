@@ -56,12 +56,13 @@ def robots_rules(robots: DataFrame, options: Options = Options()) -> DataFrame:
 
 
 def allowed_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL no Disallow rule of its origin covers; an equi join on the origin."""
+    """Rows whose URL, in canonical form, no Disallow rule of its origin covers; an equi join on the origin."""
+    canonical = lambda c: F.coalesce(ur.canonical_url(c), c)
     denied = rules.where("kind = 'disallow'").select(
-        F.col("origin").alias("_origin"), F.col("value").alias("_prefix")
+        F.coalesce(ur.url_origin(canonical(F.col("origin"))), F.col("origin")).alias("_origin"), F.col("value").alias("_prefix")
     ).distinct()
-    place = urls.withColumn("_o", ur.url_origin(F.col(url))).withColumn(
-        "_path", F.regexp_extract(F.col(url), r"\A[a-z]+://[^/?#]*([^#]*)", 1)
+    place = urls.withColumn("_path", canonical(F.col(url))).withColumn("_o", ur.url_origin(F.col("_path"))).withColumn(
+        "_path", F.regexp_extract(F.col("_path"), r"\A[a-z]+://[^/?#]*([^#]*)", 1)
     )
     kept = place.join(
         denied,

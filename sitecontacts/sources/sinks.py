@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sitecontacts import options as opt
+from sitecontacts.sources.leads import quoted
 
 
 def output_columns(lead_columns: list[str]) -> list[str]:
@@ -19,7 +20,7 @@ def output_columns(lead_columns: list[str]) -> list[str]:
 def place_results(enriched: DataFrame, lead_columns: list[str]) -> DataFrame:
     """Enriched rows as text columns in output order, blank where there is no value."""
     return enriched.select(
-        *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in output_columns(lead_columns)]
+        *[F.coalesce(F.col(quoted(c)).cast("string"), F.lit("")).alias(c) for c in output_columns(lead_columns)]
     )
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitecontacts.functions import text as tx
 from sitecontacts.functions.columns import browser_trim
+from sitecontacts.operators.ranking import rank_within
 from sitecontacts.options import Options
+from sitecontacts.plans.lineage import materialize
 
 
 def _locations(xml: Column, element: str, limit: int | None = None) -> Column:
@@ -30,14 +32,16 @@ def _locations(xml: Column, element: str, limit: int | None = None) -> Column:
 
 
 def parse_sitemaps(sitemaps: DataFrame, options: Options = Options()) -> DataFrame:
-    """sitemaps(sitemap_url, xml) to (sitemap_url, is_index, entries) within the caps."""
-    is_index = F.col("xml").rlike(r"<sitemap[\s>]")
+    """sitemaps(sitemap_url, xml) to (sitemap_url, is_index, entries); comments hold no entries."""
+    xml = F.regexp_replace("xml", r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?(?:-->|\z)", "$1")
+    is_index = xml.rlike(r"<sitemap[\s>]")
+    urls = _locations(xml, "url")
+    if options.max_urls_per_sitemap is not None:
+        urls = F.slice(urls, 1, options.max_urls_per_sitemap)
     return sitemaps.select(
         "sitemap_url",
         is_index.alias("is_index"),
-        F.when(is_index, _locations(F.col("xml"), "sitemap", options.max_children_per_index))
-        .otherwise(F.slice(_locations(F.col("xml"), "url"), 1, options.max_urls_per_sitemap))
-        .alias("entries"),
+        F.when(is_index, _locations(xml, "sitemap", options.max_children_per_index)).otherwise(urls).alias("entries"),
     )
 
 
@@ -67,38 +71,41 @@ def sitemap_roots(sites: DataFrame, rules: DataFrame) -> DataFrame:
 def expand_sitemaps(roots: DataFrame, parsed: DataFrame, options: Options = Options()) -> DataFrame:
     """URLs of every root sitemap, indexes followed: (site_key, sitemap_no, url_no, url).
 
-    The number of levels is fixed and a file never follows itself, so cyclic indexes end.
+    Each level of indexes is written once. A file never follows itself, so cycles end and
+    the levels run out; limits that are set cut as they say.
     """
     docs = parsed.select(F.col("sitemap_url").alias("_doc"), "is_index", "entries")
     level = roots.select(
         "site_key", "sitemap_no", F.col("sitemap_url").alias("_doc"),
         F.array().cast("array<int>").alias("path"), F.array("sitemap_url").alias("_seen"),
     )
-    found = None
-    for depth in range(options.max_sitemap_depth + 1):
-        read = level.join(docs, "_doc")
+    found, depth = None, 0
+    while True:
+        read = materialize(level.join(docs, "_doc"))
         urls = read.where("not is_index").select(
             "site_key", "sitemap_no", "path", F.posexplode("entries").alias("pos", "url")
         )
         found = urls if found is None else found.unionByName(urls)
-        if depth < options.max_sitemap_depth:
-            level = (
-                read.where("is_index")
-                .select("site_key", "sitemap_no", "path", "_seen", F.posexplode("entries").alias("_i", "_next"))
-                .where("not array_contains(_seen, _next)")
-                .select(
-                    "site_key", "sitemap_no", F.col("_next").alias("_doc"),
-                    F.concat("path", F.array("_i")).alias("path"),
-                    F.concat("_seen", F.array("_next")).alias("_seen"),
-                )
+        level = (
+            read.where("is_index")
+            .select("site_key", "sitemap_no", "path", "_seen", F.posexplode("entries").alias("_i", "_next"))
+            .where("not array_contains(_seen, _next)")
+            .select(
+                "site_key", "sitemap_no", F.col("_next").alias("_doc"),
+                F.concat("path", F.array("_i")).alias("path"),
+                F.concat("_seen", F.array("_next")).alias("_seen"),
             )
-    by_file = Window.partitionBy("site_key", "sitemap_no").orderBy("path", "pos")
-    by_site = Window.partitionBy("site_key").orderBy("sitemap_no")
-    return (
-        found.withColumn("url_no", F.row_number().over(by_file))
-        .where(F.col("url_no") <= options.max_urls_per_sitemap)
+        )
+        depth += 1
+        if depth - 1 == options.max_sitemap_depth or level.isEmpty():
+            break
+    # a file's URLs are numbered per path, so no task sorts all URLs of a site
+    numbered = rank_within(found, ["site_key", "sitemap_no"], {"path": F.col("path")}, [F.col("pos")], "url_no")
+    numbered = numbered.withColumn("url_no", F.col("url_no").cast("int"))
+    if options.max_urls_per_sitemap is not None:
+        numbered = numbered.where(F.col("url_no") <= options.max_urls_per_sitemap)
+    if options.sitemap_url_stop is not None:
         # rank - 1 is the number of URLs of earlier files
-        .withColumn("_rank", F.rank().over(by_site))
-        .where(F.col("_rank") <= options.sitemap_url_stop)
-        .select("site_key", "sitemap_no", "url_no", "url")
-    )
+        by_site = Window.partitionBy("site_key").orderBy("sitemap_no")
+        numbered = numbered.withColumn("_rank", F.rank().over(by_site)).where(F.col("_rank") <= options.sitemap_url_stop)
+    return numbered.select("site_key", "sitemap_no", "url_no", "url")

@@ -12,24 +12,33 @@ from sitecontacts.operators import scoring as sc
 from sitecontacts.options import Options
 from sitecontacts.plans import enrich as en
 from sitecontacts.sources import sinks
-from sitecontacts.sources.captures import usable_pages
-from sitecontacts.sources.leads import to_targets
-
-PAGES_SCHEMA = "page_id bigint, url string, html string"
-
+from sitecontacts.sources.captures import newest_pages, usable_pages
+from sitecontacts.sources.leads import quoted, to_targets
+from sitecontacts.sources.robots import allowed_urls
 
 def read_page_stream(
-    spark: SparkSession, path: str, name: str = "*", schema: str = PAGES_SCHEMA
+    spark: SparkSession, path: str, name: str = "*", schema: str | None = None
 ) -> DataFrame:
-    """Captured pages arriving as parquet files named like `name` in a folder."""
+    """Captured pages arriving as parquet files named like `name` in a folder.
+
+    Without a schema that of the files already there is used, with their status where they have one.
+    """
+    if schema is None:
+        schema = spark.read.option("pathGlobFilter", name).parquet(path).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(path)
 
 
 def stream_evidence(
-    pages: DataFrame, out: str, checkpoint: str, options: Options = Options()
+    pages: DataFrame, out: str, checkpoint: str, options: Options = Options(), rules: DataFrame | None = None
 ) -> StreamingQuery:
-    """Stateless evidence extraction; appends rows as pages arrive and stops when caught up."""
-    rows = ev.extract_evidence(usable_pages(pages), options)
+    """Stateless evidence extraction; appends rows as pages arrive and stops when caught up.
+
+    With `rules`, a table, pages a robots file denies give no rows.
+    """
+    usable = usable_pages(pages)
+    if rules is not None and options.respect_robots:
+        usable = allowed_urls(usable, rules)
+    rows = ev.extract_evidence(usable, options)
     return (
         rows.writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint)
@@ -37,26 +46,26 @@ def stream_evidence(
     )
 
 
-def _batch_parts(pages: DataFrame, options: Options) -> DataFrame:
-    found = ev.explode_evidence(ev.with_evidence(usable_pages(pages), options))
-    page_emails = ev.dedupe_page_emails(found)
-    return sc.count_candidates(
-        page_emails.withColumn("domain", at.site_domain(F.col("url"))), ["domain"]
-    )
+def _batch_parts(pages: DataFrame, options: Options, rules: DataFrame | None = None) -> DataFrame:
+    """Every usable page with its addresses; a page without any keeps a row, as it may replace an older capture."""
+    usable = usable_pages(pages)
+    page_emails = ev.dedupe_page_emails(ev.explode_evidence(ev.with_evidence(usable, options)))
+    rows = usable.select("page_id", "url").join(page_emails.drop("url"), "page_id", "left")
+    return allowed_urls(rows, rules) if rules is not None and options.respect_robots else rows
 
 
 def stream_running_best(
-    pages: DataFrame, parts: str, checkpoint: str, options: Options = Options()
+    pages: DataFrame, parts: str, checkpoint: str, options: Options = Options(), rules: DataFrame | None = None
 ) -> StreamingQuery:
-    """Keep counted candidates per site up to date as pages arrive.
+    """Keep the addresses of pages up to date as pages arrive.
 
-    A page is whole within one batch and the counts of batches add up, so each batch
-    writes its own partial counts and `running_best` merges them. A batch that is run
-    again replaces its own folder, so nothing is counted twice.
+    A page is whole within one batch, so each batch writes its own pages and
+    `running_best` counts the newest capture of every URL. A batch that is run again
+    replaces its own folder, so nothing is counted twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        _batch_parts(batch, options).write.mode("overwrite").parquet(f"{parts}/batch={batch_id}")
+        _batch_parts(batch, options, rules).write.mode("overwrite").parquet(f"{parts}/batch={batch_id}")
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -66,7 +75,9 @@ def stream_running_best(
 
 
 def running_candidates(spark: SparkSession, parts: str) -> DataFrame:
-    return sc.merge_candidates(spark.read.parquet(parts), ["domain"])
+    rows = spark.read.parquet(parts)
+    kept = rows.where("email is not null").join(newest_pages(rows).select("page_id"), "page_id", "left_semi")
+    return sc.count_candidates(kept.withColumn("domain", at.site_domain(F.col("url"))), ["domain"])
 
 
 def running_best(spark: SparkSession, parts: str) -> DataFrame:
@@ -76,7 +87,7 @@ def running_best(spark: SparkSession, parts: str) -> DataFrame:
 
 def enrich_remaining(
     leads: DataFrame, pages: DataFrame, out: str, progress: str, batch: str,
-    domain_dns: DataFrame | None = None, options: Options = Options(),
+    domain_dns: DataFrame | None = None, options: Options = Options(), rules: DataFrame | None = None,
 ) -> None:
     """One resumable step: enrich the leads that are not done yet and note them as done.
 
@@ -87,7 +98,7 @@ def enrich_remaining(
     spark = leads.sparkSession
     done = done_rows(spark, progress, other_than=batch)
     todo = pg.remaining(leads, done)
-    enriched = en.enrich_captured(todo, pages, domain_dns, options)
+    enriched = en.enrich_captured(todo, pages, domain_dns, options, rules)
     sinks.write_enriched(enriched, leads.columns, f"{out}/batch={batch}", mode="overwrite")
     website = to_targets(todo).select("row_index", F.col("target.website").alias("website"))
     noted = todo.select("row_index").join(website, "row_index", "left")
@@ -114,7 +125,7 @@ def is_folder(spark: SparkSession, path: str) -> bool:
 
 def stream_enrichment(
     leads: DataFrame, pages: DataFrame, lead_columns: list[str], out: str, progress: str,
-    checkpoint: str, domain_dns: DataFrame | None = None, options: Options = Options(),
+    checkpoint: str, domain_dns: DataFrame | None = None, options: Options = Options(), rules: DataFrame | None = None,
 ) -> StreamingQuery:
     """Enrich leads as lead files arrive; a restart goes on after the last finished batch.
 
@@ -123,8 +134,8 @@ def stream_enrichment(
 
     def step(batch: DataFrame, batch_id: int) -> None:
         enrich_remaining(
-            batch.select("row_index", *lead_columns), pages, out, progress, str(batch_id),
-            domain_dns, options,
+            batch.select("row_index", *[F.col(quoted(c)) for c in lead_columns]), pages, out, progress, str(batch_id),
+            domain_dns, options, rules,
         )
 
     return (

@@ -72,7 +72,7 @@ def test_final_score(spark):
 
 def test_entities_and_text(values):
     check(values, tx.decode_numeric_entities, {
-        "a&#64;b&#x2e;c": "a@b.c", "&#321;": "Ł", "&#65600;": "@", "&#x26;#64;": "@",
+        "a&#64;b&#x2e;c": "a@b.c", "&#321;": "Ł", "&#65600;": "@", "&#00000000000000000000064;": "@", "&#x0000000000000040;": "@", "&#x10040;": "@", "&#x26;#64;": "@",
         "&#xd800;": "�", "&amp;": "&amp;",
     })
     check(values, tx.spaced_text, {

@@ -130,3 +130,23 @@ def test_links(spark):
 def test_title(spark):
     df = spark.createDataFrame([("<title> A &amp;\n B</title>",)], "html string")
     assert df.select(ev.page_title(F.col("html"))).first()[0] == "A & B"
+
+
+def test_nothing_is_cut_or_tested_away(spark):
+    many = " ".join(f'data-a{i}="v{i}"' for i in range(5_000))
+    rows = [
+        f'<a {many} href="mailto:many@acme.com">x</a>',
+        '<a href="mailto&colon;colon@acme.com">x</a>',
+        f'<a href="/cdn-cgi/l/email-protection&num;{PROTECTED}">y</a>',
+        "<body>info [&#97;t] acme [d&#111;t] com</body>",
+        "<script>var a = 'script [at] acme [dot] com'</script>",
+        "<body>long&#0000000000000000000000064;acme.com</body>",
+        '<a title="href=mailto:no@acme.com" href=mailto:plain@acme.com>z</a>',
+    ]
+    frame = spark.createDataFrame([(i, A_PAGE, h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    got = {(r.page_id, r.email) for r in ev.extract_evidence(frame).collect()}
+    assert got == {(0, "many@acme.com"), (1, "colon@acme.com"), (2, "cf@acme.com"), (3, "info@acme.com"),
+                   (4, "script@acme.com"), (5, "long@acme.com"), (6, "plain@acme.com")}
+
+
+A_PAGE = "https://acme.com/page"

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sitecontacts.operators import attribution as at
 from sitecontacts.operators import frontier as fr
 from sitecontacts.operators import progress as pg
-from sitecontacts.operators import replay as rp
 from sitecontacts.operators import scoring as sc
 from sitecontacts.operators.ranking import rank_within
 from sitecontacts.options import Options
@@ -113,15 +112,23 @@ def test_sitemaps(spark):
         (A + "/s0.xml", sitemap(*[f"{A}/p{i}" for i in range(300)])),
         (A + "/s1.xml", sitemap(A + "/sm.xml", kind="sitemap")),
         (A + "/s2.xml", sitemap(A + "/q")),
-        ("https://b.io/sitemap_index.xml", sitemap("https://b.io/a", "", "https://b.io/contact&amp;x")),
+        *[(f"{A}/s{i}.xml", sitemap(f"{A}/s{i + 1}.xml", kind="sitemap")) for i in range(3, 9)],
+        (A + "/s9.xml", sitemap(A + "/deep")),
+        ("https://b.io/sitemap_index.xml", "<!-- " + sitemap("https://b.io/old") + " -->" + sitemap(
+            "https://b.io/a", "", "https://b.io/contact&amp;x", "<![CDATA[https://b.io/<!--c-->]]>")),
     ]
-    docs = parse_sitemaps(spark.createDataFrame(files, "sitemap_url string, xml string"))
+    files = spark.createDataFrame(files, "sitemap_url string, xml string")
+    docs = parse_sitemaps(files)
     rules = spark.createDataFrame([(A, "sitemap", A + "/sm.xml", 0, 1)],
                                   "origin string, kind string, value string, block_no int, line_no int")
     sites = spark.createDataFrame([("a", A), ("b", "https://b.io")], "site_key string, origin string")
     got = expand_sitemaps(sitemap_roots(sites, rules), docs).collect()
-    assert sorted(r.url_no for r in got if r.site_key == "a") == list(range(1, 251))
-    assert {r.url for r in got if r.site_key == "b"} == {"https://b.io/a", "https://b.io/contact&x"}
+    # 300 URLs and one, and the last file by each of the indexes 3, 4 and 5
+    assert [r.url_no for r in sorted(got) if r.site_key == "a"] == list(range(1, 305))
+    assert {r.url for r in got if r.site_key == "b"} == {"https://b.io/a", "https://b.io/contact&x", "https://b.io/<!--c-->"}
+    limits = Options(max_children_per_index=5, max_urls_per_sitemap=250, max_sitemap_depth=3, sitemap_url_stop=500)
+    cut = expand_sitemaps(sitemap_roots(sites, rules), parse_sitemaps(files, limits), limits).collect()
+    assert sorted(r.url_no for r in cut if r.site_key == "a") == list(range(1, 251))
 
 
 def test_frontier_and_seeds(spark, leads, pages):
@@ -134,24 +141,11 @@ def test_frontier_and_seeds(spark, leads, pages):
     # /gone starts with the denied /go only when the rule's comment is cut, which it is not
     assert queue_of(queue.collect()) == [
         ("/", 0, 1), ("/contact", 1, 2), ("https://other.com/team", 1, 3), ("/about", 1, 4),
-        ("/deep", 2, 5), ("/gone", 2, 6)]
-    batches = {r.visit_rank: r.batch_no for r in fr.visit_batches(queue).collect()}
-    assert batches == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3}
-    assert {r.url for r in fr.next_fetch(queue, facts).collect()} == {"https://other.com/team", A + "/gone"}
-    emails = en.visited_emails(queue, facts)
-    assert {r.visit_rank for r in fr.early_stop(queue, emails).collect()} == {1, 2, 3}
+        ("/deep", 2, 5), ("/gone", 2, 6), ("/deeper", 3, 7)]
+    assert {r.url for r in fr.next_fetch(queue, facts).collect()} == {"https://other.com/team", A + "/gone", A + "/deeper"}
 
 
-def test_first_batch_without_seeds_is_one_page(spark, leads, pages):
-    facts = en.page_facts(pages)
-    queue = en.crawl_order(ld.sites_of(ld.to_targets(leads)), facts).where("domain = 'acme.com'")
-    batches = {r.visit_rank: r.batch_no for r in fr.visit_batches(queue).collect()}
-    assert batches == {1: 1, 2: 2, 3: 2, 4: 3, 5: 3}
-    emails = en.visited_emails(queue, facts)
-    assert {r.visit_rank for r in fr.early_stop(queue, emails).collect()} == {1}
-
-
-def brute_queue(links, start, depth=2, budget=25, cap=100):
+def brute_queue(links, start, depth=10**6, budget=10**6, cap=10**6):
     """The sequential queue, page by page."""
     queue, seen, visited = [(start, 0)], {start}, 0
     while visited < min(budget, len(queue)):
@@ -175,13 +169,14 @@ def test_frontier_budgets_against_brute_force(spark):
         rows = [(u, t, i + 1) for u, ts in links.items() for i, t in enumerate(ts)]
         page_links = spark.createDataFrame(rows, "src_url string, url string, link_rank int")
         sites = spark.createDataFrame([("s", "acme.com", names[0])], "site_key string, domain string, start_url string")
-        got = fr.build_frontier(sites, page_links).orderBy("visit_rank").collect()
-        assert [(r.url, r.depth) for r in got] == brute_queue(links, names[0])
+        for limits in ({}, {"depth": 2, "budget": 25, "cap": 100}):
+            options = Options(max_depth=limits.get("depth"), max_pages_per_site=limits.get("budget"), max_queued_per_site=limits.get("cap"))
+            got = fr.build_frontier(sites, page_links, options=options).orderBy("visit_rank").collect()
+            assert [(r.url, r.depth) for r in got] == brute_queue(links, names[0], **limits)
 
 
 def test_enriched_rows(spark, leads, pages):
-    for enriched in (en.enrich_crawled(leads, pages), en.enrich_captured(leads, pages),
-                     en.enrich_crawled(leads, pages, replay=True)):
+    for enriched in (en.enrich_crawled(leads, pages), en.enrich_captured(leads, pages)):
         rows = {r.row_index: r for r in enriched.collect()}
         assert set(rows) == {0, 2, 3}
         assert rows[0].email == rows[2].email == "contact@acme.com"
@@ -213,62 +208,6 @@ def test_rank_within_matches_sort(spark):
         assert have == want
 
 
-def brute_replay(rows, bonus, base, match, role, stop=95):
-    """Replay written out page by page: rows (rank, batch, email, confidence), in order."""
-    best, stored, counts, last = None, {}, {}, None
-
-    def settle():
-        def score(e):
-            n = counts[e]
-            return max(10, min(100, stored[e] + bonus[e] + (min(10, 2 * n) if n > 1 else 0)))
-        if not stored:
-            return None
-        top = max(stored, key=lambda e: (score(e), base[e], match[e], role[e], -list(stored).index(e)))
-        stored[top] = score(top)
-        return top
-
-    for rank in sorted({r[0] for r in rows}):
-        here = [r for r in rows if r[0] == rank]
-        if last is not None and here[0][1] > last:
-            break
-        for _, _, email, conf in here:
-            if email is None:
-                continue
-            counts[email] = counts.get(email, 0) + 1
-            if email not in stored or conf > stored[email]:
-                stored[email] = conf
-        best = settle()
-        if last is None and best and stored[best] >= stop and match[best]:
-            last = here[0][1]
-    best = settle()
-    return best, stored[best]
-
-
-def test_replay_scores(spark):
-    import random
-
-    emails = {"info@acme.com": (10, 95, True, True), "x@acme.com": (10, 40, True, False),
-              "sales@gmail.com": (-15, 80, False, True), "y@cdn.net": (-50, 40, False, False)}
-    bonus, base, match, role = ({e: v[i] for e, v in emails.items()} for i in range(4))
-    for seed in range(6):
-        rnd = random.Random(seed)
-        rows = []
-        for rank in range(1, 8):
-            shown = rnd.sample(sorted(emails), rnd.randrange(3))
-            for n, e in enumerate(shown):
-                rows.append(("s", "acme.com", rank, 1 + rank // 3, f"{A}/p{rank}", e, 10, 10**11 + n))
-            if not shown:
-                rows.append(("s", "acme.com", rank, 1 + rank // 3, f"{A}/p{rank}", None, None, None))
-        schema = ("site_key string, domain string, visit_rank int, batch_no int, url string, email string,"
-                  " channel_ord int, first_order long")
-        got = rp.replay_best(spark.createDataFrame(rows, schema)).collect()
-        flat = [(r[2], r[3], r[5], 60) for r in rows]
-        if all(r[2] is None for r in flat):
-            assert got == []
-            continue
-        assert (got[0].email, got[0].confidence_score) == brute_replay(flat, bonus, base, match, role)
-
-
 def test_progress(spark):
     leads = spark.range(5).withColumnRenamed("id", "row_index")
     done = lambda xs: spark.createDataFrame([(x,) for x in xs], "row_index long")
@@ -287,7 +226,7 @@ def test_site_summary(spark):
     rows = {r.site_key: r for r in at.site_summary(pages, emails, best, maps).collect()}
     assert rows["a"].asDict() == {"site_key": "a", "pages_crawled": 2, "pages_failed": 1, "sitemaps_parsed": 2,
                                   "emails_found": 1, "final_email": "x@a.io", "outcome": "Found", "status": "success"}
-    assert rows["b"].outcome == "Empty" and rows["b"].status == "error" and rows["b"].final_email == "None"
+    assert rows["b"].outcome == "Empty" and rows["b"].status == "success" and rows["b"].final_email == "None"
 
 
 def test_merged_parts_equal_one_count(spark):
@@ -309,3 +248,29 @@ def test_denied_start_page_is_not_visited(spark):
     assert {r.site_key for r in fr.build_frontier(sites, links, rules=rules).collect()} == {"b"}
     free = fr.build_frontier(sites, links, options=Options(respect_robots=False), rules=rules)
     assert {r.site_key for r in free.collect()} == {"a", "b"}
+
+
+def test_headers_with_dots_spaces_and_backticks(spark, tmp_path, pages):
+    (tmp_path / "in.csv").write_text('No.,Web Site,a`b\n1.,acme.com,x\n2,,y\n')
+    read = ld.read_leads(spark, str(tmp_path / "in.csv"))
+    assert read.columns == ["row_index", "No.", "Web Site", "a`b"]
+    sinks.write_enriched(en.enrich_captured(read, pages), read.columns, str(tmp_path / "out"))
+    out = spark.read.option("header", True).csv(str(tmp_path / "out")).collect()
+    assert [(r["No."], r["a`b"], r["email"]) for r in out] == [("1.", "x", "contact@acme.com")]
+
+
+def test_the_newest_capture_counts_once(spark, leads):
+    rows = [(i, "HTTPS://ACME.com/private/x" if i % 2 else A + "/private/x#a", f"<p>v{i // 5}@acme.com") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.row_index: (r.email, r.confidence_score) for r in en.enrich_captured(leads, pages).collect()}
+    assert found[0] == ("v1@acme.com", "70")
+    denied = robots_rules(spark.createDataFrame([(A, "User-agent: *\nDisallow: /private")], "origin string, body string"))
+    assert {r.email for r in en.enrich_captured(leads, pages, rules=denied).collect()} == {""}
+
+
+def test_a_target_may_be_a_parent_or_have_one_label(spark):
+    rows = [(1, "https://a.b.acme.com/", "x@acme.com", 10, 1), (2, "https://q.com/", "y@q.com", 10, 1)]
+    emails = spark.createDataFrame(rows, "page_id long, url string, email string, channel_ord int, first_order long")
+    domains = spark.createDataFrame([("acme.com",), ("b.acme.com",), ("com",), ("cme.com",)], "domain string")
+    got = {(r.domain, r.email) for r in at.attribute_candidates(emails, domains).collect()}
+    assert got == {("acme.com", "x@acme.com"), ("b.acme.com", "x@acme.com"), ("com", "x@acme.com"), ("com", "y@q.com")}

@@ -9,6 +9,8 @@ from sitecontacts.streaming import stream as st
 
 SITE = "https://s{}.io/"
 
+PAGES_SCHEMA = "page_id bigint, url string, html string"
+
 
 def page_rows(n):
     return [(i, SITE.format(i % 4) + ("contact" if i % 3 == 0 else f"p{i}"), f"<p>info@s{i % 4}.io x{i}@gmail.com</p>")
@@ -17,7 +19,7 @@ def page_rows(n):
 
 def write_files(spark, folder, rows, count=3):
     for k in range(count):
-        spark.createDataFrame(rows[k::count], st.PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        spark.createDataFrame(rows[k::count], PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
 
 
 def as_set(df, columns):
@@ -34,7 +36,7 @@ def test_streamed_evidence_and_running_best(spark, tmp_path):
     run()
     write_files(spark, folder, rows[12:])
     run()
-    pages = spark.createDataFrame(rows, st.PAGES_SCHEMA)
+    pages = spark.createDataFrame(rows, PAGES_SCHEMA)
     columns = ["page_id", "email", "source_type", "confidence"]
     assert as_set(spark.read.parquet(str(tmp_path / "ev")), columns) == as_set(ev.extract_evidence(pages), columns)
     domains = spark.createDataFrame([(f"s{i}.io",) for i in range(4)], "domain string")
@@ -46,7 +48,7 @@ def test_streamed_evidence_and_running_best(spark, tmp_path):
 def test_resumed_steps_write_each_lead_once(spark, tmp_path):
     leads = spark.createDataFrame(
         [(i, f"s{i % 5}.io" if i != 3 else "") for i in range(8)], "row_index long, Website string")
-    pages = spark.createDataFrame(page_rows(12), st.PAGES_SCHEMA)
+    pages = spark.createDataFrame(page_rows(12), PAGES_SCHEMA)
     out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
     st.enrich_remaining(leads.where("row_index < 4"), pages, out, progress, "first")
     st.enrich_remaining(leads.where("row_index < 4"), pages, out, progress, "first")
@@ -61,7 +63,7 @@ def test_resumed_steps_write_each_lead_once(spark, tmp_path):
 def test_streamed_enrichment(spark, tmp_path):
     folder = str(tmp_path / "leads")
     schema = "row_index long, Website string"
-    pages = spark.createDataFrame(page_rows(12), st.PAGES_SCHEMA)
+    pages = spark.createDataFrame(page_rows(12), PAGES_SCHEMA)
 
     def run():
         stream = spark.readStream.schema(schema).parquet(folder)
