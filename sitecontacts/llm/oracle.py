@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), x -> x <> '')"
+from sitecontacts.llm.mixing import WEIGHTS
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '')"
 
 OP8 = rf"""
 with d as (
   select doc_id, row_number() over () as k, coalesce(text, '') as body, {_WORDS} as w,
-    list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \x09-\x0D]')) as ls
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \x09-\x0D]')) as ls
   from documents),
 p as (select k, len(w) as n, unnest(w) as x, generate_subscripts(w, 1) as i from d),
 g as (select k, i, n, case when i <= n - 2 then concat_ws(' ', x,
@@ -29,4 +31,33 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits
   bits = 0 as kept, bits::bigint as fail_bits from b
 """
 
-ORACLES: dict[str, str] = {"op8_quality_rules": OP8}
+
+
+def _shares(name: str, source: str, parent: list[str], weights: dict[str, int]) -> str:
+    """CTE `name`: the budgets of the children in `source` (parent columns, child, c, b)."""
+    child = {"doms": "domain", "langs": "l", "srcs": "s"}[name]
+    group = f"partition by {', '.join(parent)}" if parent else ""
+    weight = " ".join(f"when '{k}' then {w}" for k, w in weights.items())
+    kept = ", ".join([*parent, child])
+    return f"""{name}_w as (select *, case {child} {weight} else 10 end as w from ({source})),
+{name}_o as (select *, coalesce(sum(c) over ({group} order by c::double / w, {child} rows between unbounded preceding and 1 preceding), 0) as before,
+  sum(w) over ({group} order by c::double / w, {child} rows between current row and unbounded following) as open from {name}_w),
+{name}_f as (select *, c * open <= (b - before) * w as is_full from {name}_o),
+{name} as (select {kept}, case when is_full then c else (b - min(case when not is_full then before end) over ({group})) * w
+  // max(case when not is_full then open end) over ({group}) end as b from {name}_f)"""
+
+
+OP6 = rf"""
+with d as (select doc_id, lang, source, coalesce(lang, '') as l, coalesce(source, '') as s,
+    len({_WORDS})::bigint as n, md5('17:0:' || coalesce(doc_id::varchar, '')) as k,
+    case when regexp_matches(source, '[0-9]{{1,9}}$') then 'd' || (regexp_extract(source, '([0-9]{{1,9}})$', 1)::bigint % 4) else 'd3' end as domain
+  from documents),
+leaf as (select domain, l, s, sum(n) as c from d group by all),
+{_shares("doms", "select domain, sum(c) as c, (sum(sum(c)) over ()) * 50 // 100 as b from leaf group by domain", [], dict(WEIGHTS["domain"]))},
+{_shares("langs", "select domain, l, sum(c) as c, any_value(b) as b from leaf join doms using (domain) group by domain, l", ["domain"], dict(WEIGHTS["lang"]))},
+{_shares("srcs", "select domain, l, s, c, b from leaf join langs using (domain, l)", ["domain", "l"], dict(WEIGHTS["source"]))},
+r as (select d.*, b, sum(n) over (partition by domain, l, s order by k) as total from d join srcs using (domain, l, s))
+select doc_id, domain, lang, source, n as n_tokens, 0 as epoch from r where total <= b
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6, "op8_quality_rules": OP8}
