@@ -21,6 +21,9 @@ _CACHED_CHARS = 64
 _CACHE_ENTRIES = 400_000
 #: The default vocabulary's splitter parts Latin letters from these marks after them, so that "word," is "word" and ",".
 _MARKS = ".,;:!?"
+#: How byte-level vocabularies spell bytes: printable Latin-1 as itself, the others in order from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTES = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def word_bpe() -> str:
@@ -45,12 +48,19 @@ class RunCache:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._value, self._marks = value, marks
+        self._value, self._marks, self._model = value, marks, self._tokenizer.model
         self.known: dict[str, Any] = {}
         self.older: dict[str, Any] = {}
 
     def encode(self, run: str) -> Any:
-        """Value of a run as the library gives it, special strings handled as its default."""
+        """Value of a run as the library gives it, special strings handled as its default.
+
+        The default vocabulary's steps before its merges leave a run of small Latin letters
+        as it is, but for the spelling of its bytes, so such a run goes straight to the merges.
+        """
+        if self._marks and run.islower() and run.isalpha() and max(run) < "\u0250":
+            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+            return self._value([t.id for t in self._model.tokenize(spelled)])
         return self._value(self._tokenizer.encode(run, add_special_tokens=False).ids)
 
     def missed(self, run: str) -> Any:

@@ -1,5 +1,6 @@
 """Token counts and packing against the tokenizer itself."""
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from sitecontacts.llm.packing import pack
-from sitecontacts.llm.token_counts import count_tokens, frequent_lengths, token_counts, word_bpe
+from sitecontacts.llm.token_counts import RunCache, count_tokens, frequent_lengths, token_counts, word_bpe
 
 TEXTS = [
     None, "", " \n\t ", "The cat's hat, isn't it?", "a<|endoftext|>b <|startoftext|>", "ΟΔΟΣ Σ İstanbul ǅ ﬁ",
@@ -35,6 +36,15 @@ def test_counts_equal_the_tokenizer(spark, tokenizer):
         assert (rows[i].n_tokens, rows[i].n_bytes, rows[i].over_limit) == (n, len((text or "").encode()), n > 2048)
 
 
+def test_latin_runs_equal_the_tokenizer(tokenizer):
+    r = random.Random(5)
+    letters = [chr(c) for c in range(0x250) if chr(c).isalpha()]
+    cache = RunCache(word_bpe(), list)
+    for _ in range(3_000):
+        run = "".join(r.choices(r.choice([letters, "abcdefghij", "aeéèçñüß", letters[:80]]), k=r.randint(1, 12))) + r.choice(["", "", ".", "!?", "'s", ",'t"])
+        assert cache._one(run) == tokenizer.encode(run, add_special_tokens=False).ids, run
+
+
 def test_the_table_never_changes_a_count(spark):
     docs = docs_of(spark, TEXTS)
     table = frequent_lengths(docs)
