@@ -29,7 +29,8 @@ def line_rows(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
     """
     t, x = free_names(docs, "t", "x")
     masked = F.transform(
-        F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: words_of(F.regexp_replace(line, _FIELD, "<*>"))
+        F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
+        lambda line: words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)),
     )
 
     def place(w: Column, i: Column) -> Column:
