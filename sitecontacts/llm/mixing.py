@@ -109,9 +109,10 @@ def mix(
         .filter("sum <= room").groupBy(*_LEVELS, "e").agg(F.max("k").alias("k"))
     )
     bound = F.when(F.col("b").isNull(), "g").otherwise(F.coalesce("k", F.lpad(F.lower(F.hex("b")), _DIGITS, "0")))
-    bounds = limits.join(ends, [*_LEVELS, "e"], "left").select(
+    # written, so that Spark knows its size and sends it to the documents where it is small
+    bounds = materialize(limits.join(ends, [*_LEVELS, "e"], "left").select(
         *[F.col(v).alias(f"{last}_{v}") for v in _LEVELS], F.col("e").alias(f"{last}_e"), bound.alias(last)
-    )
+    ))
     test = (F.col(ep) == F.col(f"{last}_e")) & (F.col(key) <= F.col(last))
     for c, v in names.items():
         test &= F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"{last}_{v}")
