@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitecontacts.llm.common import SPACE, free_names, has_word, settled, words_of
+from sitecontacts.llm.components import components
 from sitecontacts.plans.lineage import materialize
 
 _TOKEN = f"[^{SPACE[1:]}"
 #: A token that holds a digit is a variable field. It is tried at the start of a token only, and in one pass.
 _FIELD = rf"(?<!{_TOKEN})[^0-9{SPACE[1:]}*+[0-9]{_TOKEN}*"
 _SEGMENTS = 4
+#: MinHash i of a document is its smallest part after exclusive or with constant i.
+_NEAR = [int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "big", signed=True) for i in range(16)]
 
 
 def _segments(w: Column, depth: int) -> list[Column]:
@@ -20,14 +25,16 @@ def _segments(w: Column, depth: int) -> list[Column]:
     return [F.slice(w, a + 1, b - a) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def line_rows(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """One row per line with a word: where it is, its place in the tree, its template and its context.
+def line_arrays(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
+    """One row per document with a word: its lines, the parts they are made of, and band keys of these parts.
 
     The tree has fixed depth: a node per token count, then one per leading token, variable
     fields masked. `leaf` is the path; `whole` the masked line; s0 to s3 stand for the
-    segments of its remaining tokens; `ctx` for the leading tokens of its two neighbours.
+    segments of its remaining tokens (null if empty). The parts of a document are the
+    leading tokens and segments of all its lines; each band key is made of two of their
+    MinHashes (the part nearest to a constant).
     """
-    t, x = free_names(docs, "t", "x")
+    (t,) = free_names(docs, "t")
     masked = F.transform(
         F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
         lambda line: words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)),
@@ -36,44 +43,61 @@ def line_rows(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
     def place(w: Column, i: Column) -> Column:
         lead = F.slice(w, 1, depth)
         return F.struct(
-            i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), lead).alias("leaf"), F.xxhash64(w).alias("whole"),
-            F.xxhash64(lead).alias("lead"), *[F.xxhash64(s).alias(f"s{q}") for q, s in enumerate(_segments(w, depth))],
+            i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), lead).alias("leaf"), F.xxhash64(w).alias("whole"), F.xxhash64(lead).alias("lead"),
+            *[F.when(F.size(s) > 0, F.xxhash64(s)).alias(f"s{q}") for q, s in enumerate(_segments(w, depth))],
         )
 
     df = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), masked.alias(t))
     df = df.withColumn(t, F.filter(F.transform(t, place), lambda p: p["n"] > 0)).filter(F.size(t) > 0)
-    leads = F.col(f"{t}.lead")
-    none = F.array(F.lit(0).cast("bigint"))
-    df = df.withColumn(x, F.arrays_zip(
-        F.col(t).alias("p"), F.concat(none, F.slice(leads, 1, F.size(t) - 1)).alias("before"),
-        F.concat(F.slice(leads, 2, F.size(t)), none).alias("after"),
-    ))
-    df = df.select("id", "h", F.explode(x).alias(x))
-    parts = ["line", "n", "leaf", "whole", *[f"s{q}" for q in range(_SEGMENTS)]]
-    return df.select("id", "h", *[F.col(f"{x}.p.{c}").alias(c) for c in parts], F.xxhash64(f"{x}.before", f"{x}.after").alias("ctx"))
+    df = settled(df, ["id", "h"], lines=F.col(t))
+    parts = F.array_distinct(F.array_compact(F.concat(*[F.col(f"lines.{c}") for c in ("lead", *[f"s{q}" for q in range(_SEGMENTS)])])))
+    df = settled(df, ["id", "h", "lines"], parts=parts)
+
+    def nearest(constant: int) -> Column:
+        return F.array_min(F.transform("parts", lambda p: p.bitwiseXOR(F.lit(constant))))
+
+    return df.withColumn("bands", F.array(*[F.xxhash64(F.lit(b), *map(nearest, _NEAR[b: b + 2])) for b in range(0, len(_NEAR), 2)]))
+
+
+def copy_groups(arrays: DataFrame, similarity: float = 0.5) -> DataFrame:
+    """(node, component) of texts, by hash, that are near copies of others; texts that are alone are left out.
+
+    Texts that share a band meet the member of it that shares most bands. They are linked if
+    at least `similarity` of the parts of both together are in both, checked on all parts.
+    """
+    bands = arrays.select("h", "bands").dropDuplicates(["h"]).select("h", F.explode("bands").alias("band"))
+    crowded = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    multi = materialize(bands.join(crowded, "band"))
+    central = multi.groupBy("h").agg(F.sum("n").alias("w"))
+    pivots = multi.join(central, "h").groupBy("band").agg(F.max(F.struct("w", "h")).alias("p")).select("band", F.col("p.h").alias("b"))
+    pairs = multi.join(pivots, "band").filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
+    parts = materialize(arrays.select("h", "parts").join(central.select("h"), "h", "left_semi").dropDuplicates(["h"]))
+    both = pairs.join(parts.select(F.col("h").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("h").alias("b"), F.col("parts").alias("pb")), "b")
+    shared = F.size(F.array_intersect("pa", "pb"))
+    return components(both.filter(shared >= similarity * (F.size("pa") + F.size("pb") - shared)).select("a", "b"))
+
+
+def line_rows(arrays: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row per line with a word; `doc` is the same for a text and its near copies."""
+    df = arrays.select("id", "h", "lines").join(groups.withColumnsRenamed({"node": "h"}), "h", "left")
+    df = df.select("id", "h", F.coalesce("component", "h").alias("doc"), F.explode("lines").alias("p"))
+    return df.select("id", "h", "doc", *[F.col(f"p.{c}").alias(c) for c in ("line", "n", "leaf", "whole", *[f"s{q}" for q in range(_SEGMENTS)])])
 
 
 def recurring_templates(lines: DataFrame, depth: int, min_contexts: int, constant: float) -> DataFrame:
     """(leaf, whole) of the masked lines that belong to a recurring template.
 
-    A template recurs if it stands in at least `min_contexts` different contexts, and these
-    are at least half as many as the different (context, text) pairs: lines that recur only
-    because their whole documents are copies keep their neighbours. A template is a
-    masked line or, where at least `constant` of a leaf's tokens are the same in all its
-    lines, the leaf with its varying segments generalised.
+    A template recurs if it stands in at least `min_contexts` different documents, near
+    copies counted once. A template is a masked line or, where at least `constant` of a
+    leaf's tokens are the same in all its lines, the leaf with its varying segments generalised.
     """
-    def recurs(contexts: str, pairs: str) -> Column:
-        return (F.col(contexts) >= min_contexts) & (2 * F.col(contexts) >= F.col(pairs))
-
     segments = [f"s{q}" for q in range(_SEGMENTS)]
-    once = lines.groupBy("leaf", "whole", "ctx", "h").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in segments])
-    by_line = once.groupBy("leaf", "whole", "ctx").agg(F.count("*").alias("pairs"), F.first("n").alias("n"), *[F.first(s).alias(s) for s in segments])
-    by_line = materialize(by_line)
-    whole = by_line.groupBy("leaf", "whole").agg(F.count("*").alias("contexts"), F.sum("pairs").alias("pairs"))
-    by_leaf = by_line.groupBy("leaf", "ctx").agg(
-        F.sum("pairs").alias("pairs"), F.first("n").alias("n"), *[f(s).alias(f"{f.__name__}_{s}") for s in segments for f in (F.min, F.max)]
+    by_line = materialize(lines.groupBy("leaf", "whole", "doc").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in segments]))
+    whole = by_line.groupBy("leaf", "whole").agg(F.count("*").alias("docs"))
+    by_leaf = by_line.groupBy("leaf", "doc").agg(
+        F.first("n").alias("n"), *[f(s).alias(f"{f.__name__}_{s}") for s in segments for f in (F.min, F.max)]
     ).groupBy("leaf").agg(
-        F.count("*").alias("leaf_contexts"), F.sum("pairs").alias("leaf_pairs"), F.first("n").alias("n"),
+        F.count("*").alias("leaf_docs"), F.first("n").alias("n"),
         *[(F.min(f"min_{s}") == F.max(f"max_{s}")).alias(s) for s in segments],
     )
     rest = F.greatest(F.col("n") - depth, F.lit(0))
@@ -81,8 +105,8 @@ def recurring_templates(lines: DataFrame, depth: int, min_contexts: int, constan
     same = F.least("n", F.lit(depth))
     for q, s in enumerate(segments):
         same = same + F.when(F.col(s), ends[q + 1] - ends[q]).otherwise(0)
-    general = by_leaf.filter(recurs("leaf_contexts", "leaf_pairs") & (same >= F.lit(constant) * F.col("n"))).select("leaf", F.lit(True).alias("general"))
-    return whole.join(general, "leaf", "left").filter(F.col("general") | recurs("contexts", "pairs")).select("leaf", "whole")
+    general = by_leaf.filter((F.col("leaf_docs") >= min_contexts) & (same >= F.lit(constant) * F.col("n"))).select("leaf", F.lit(True).alias("general"))
+    return whole.join(general, "leaf", "left").filter(F.col("general") | (F.col("docs") >= min_contexts)).select("leaf", "whole")
 
 
 def dedup_lines(
@@ -97,7 +121,8 @@ def dedup_lines(
     lose the same lines. An empty table gives no rows.
     """
     lines_name, dropped_name, h, gone, ls, keep = free_names(docs, "n_lines", "n_dropped", "h", "gone", "ls", "keep")
-    lines = materialize(line_rows(docs, key, text, depth))
+    arrays = materialize(line_arrays(docs, key, text, depth))
+    lines = materialize(line_rows(arrays, copy_groups(arrays)))
     # a leaf of one text, or of too few lines, holds no recurring template
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
     crowded = materialize(lines.join(leaves.filter(F.col("several") & (F.col("c") >= min_contexts)).select("leaf"), "leaf", "left_semi"))

@@ -94,3 +94,28 @@ def test_documents_left_without_words(spark):
     df, _, dropped = dedup_lines(frame)
     assert sorted(r.doc_id for r in with_words_left(df, dropped).collect()) == [*range(7), 9]
     assert line_dedup(frame.filter("false")).collect() == []
+
+
+def own_lines(r, n):
+    return [" ".join("".join(r.choices("klmnopqrst", k=6)) for _ in range(12)) for _ in range(n)]
+
+
+def test_blocks_edges_and_lines_of_large_copy_groups(spark):
+    r = random.Random(5)
+    block = ["Share this story with all friends", "Sign up for the daily letter", "Follow the editors on every channel"]
+    header = ["The Daily Example of the town", "Home news sport weather and contact"]
+    shared = "Read more stories like this one below"
+    texts, want = ["\n".join(header[:1])], [""]
+    for i in range(8):
+        own = own_lines(r, 4)
+        texts.append("\n".join([*header, *own[:2], *block, *own[2:], shared]))
+        want.append("\n".join(own))
+    copied = own_lines(r, 6)
+    for i in range(60):
+        near = list(copied)
+        near[i % 6] += f" {r.choice('abcdefgh')}{r.choice('abcdefgh')}"
+        texts.append("\n".join([*near, shared]))
+        want.append("\n".join(near))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == want
