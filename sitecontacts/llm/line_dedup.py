@@ -88,25 +88,34 @@ def recurring_templates(lines: DataFrame, depth: int, min_contexts: int, constan
     """(leaf, whole) of the masked lines that belong to a recurring template.
 
     A template recurs if it stands in at least `min_contexts` different documents, near
-    copies counted once. A template is a masked line or, where at least `constant` of a
-    leaf's tokens are the same in all its lines, the leaf with its varying segments generalised.
+    copies counted once. A template is a masked line or one with some of its segments
+    generalised, where the others and the leading tokens make at least `constant` of its
+    tokens. Every set of segments is tried, so a leaf holds any number of templates and other
+    lines of the leaf do not matter.
     """
     segments = [f"s{q}" for q in range(_SEGMENTS)]
     by_line = materialize(lines.groupBy("leaf", "whole", "doc").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in segments]))
-    whole = by_line.groupBy("leaf", "whole").agg(F.count("*").alias("docs"))
-    by_leaf = by_line.groupBy("leaf", "doc").agg(
-        F.first("n").alias("n"), *[f(s).alias(f"{f.__name__}_{s}") for s in segments for f in (F.min, F.max)]
-    ).groupBy("leaf").agg(
-        F.count("*").alias("leaf_docs"), F.first("n").alias("n"),
-        *[(F.min(f"min_{s}") == F.max(f"max_{s}")).alias(s) for s in segments],
-    )
+    whole = by_line.groupBy("leaf", "whole").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts).select("leaf", "whole")
+    crowded = by_line.groupBy("leaf", "doc").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts).select("leaf")
+
     rest = F.greatest(F.col("n") - depth, F.lit(0))
     ends = [F.floor(rest * q / _SEGMENTS) for q in range(_SEGMENTS + 1)]
-    same = F.least("n", F.lit(depth))
-    for q, s in enumerate(segments):
-        same = same + F.when(F.col(s), ends[q + 1] - ends[q]).otherwise(0)
-    general = by_leaf.filter((F.col("leaf_docs") >= min_contexts) & (same >= F.lit(constant) * F.col("n"))).select("leaf", F.lit(True).alias("general"))
-    return whole.join(general, "leaf", "left").filter(F.col("general") | (F.col("docs") >= min_contexts)).select("leaf", "whole")
+
+    def general(kept: int) -> Column:
+        """Key of the template that keeps the segments of a bit set; null if it keeps too little, or all there is."""
+        same, open_ = F.least("n", F.lit(depth)), F.lit(True)
+        for q, s in enumerate(segments):
+            if kept >> q & 1:
+                same = same + ends[q + 1] - ends[q]
+            else:
+                open_ = open_ & F.col(s).isNotNull()
+        key = F.xxhash64(F.lit(kept), *[s for q, s in enumerate(segments) if kept >> q & 1])
+        return F.when(open_ & (same >= F.lit(constant) * F.col("n")), key)
+
+    keys = F.explode(F.array_compact(F.array(*[general(kept) for kept in range(2**_SEGMENTS - 1)])))
+    tried = by_line.join(crowded, "leaf", "left_semi").select("leaf", "whole", "doc", keys.alias("key"))
+    recurs = tried.groupBy("leaf", "key", "doc").agg(F.lit(1)).groupBy("leaf", "key").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts)
+    return whole.unionByName(tried.join(recurs.select("leaf", "key"), ["leaf", "key"], "left_semi").select("leaf", "whole")).distinct()
 
 
 def dedup_lines(

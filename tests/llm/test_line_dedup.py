@@ -119,3 +119,19 @@ def test_blocks_edges_and_lines_of_large_copy_groups(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_a_leaf_holds_several_templates_and_other_lines(spark):
+    r = random.Random(6)
+    names = ["".join(r.choices("uvwxyz", k=5)) for _ in range(16)]
+    texts, want = [], []
+    for i, name in enumerate(names):
+        own = own_lines(r, 3)
+        ends = "for the evening edition of the town paper" if i % 2 else "at our office in the old harbour street"
+        line = "Written by our quite another sentence about boats that sail away today" if i == 15 else f"Written by our {name} {ends}"
+        texts.append("\n".join([own[0], line, *own[1:]]))
+        want.append(texts[-1] if i == 15 else "\n".join(own))
+    assert len({len(t.split("\n")[1].split()) for t in texts}) == 1
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
+    assert [got[i] for i in range(len(texts))] == want
