@@ -14,6 +14,8 @@ _TOKEN = f"[^{SPACE[1:]}"
 #: A token that holds a digit is a variable field. It is tried at the start of a token only, and in one pass.
 _FIELD = rf"(?<!{_TOKEN})[^0-9{SPACE[1:]}*+[0-9]{_TOKEN}*"
 _SEGMENTS = 4
+#: A masked line of so many words recurs from two different documents on.
+_LONG = 50
 #: MinHash i of a document is its smallest part after exclusive or with constant i.
 _NEAR = [int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "big", signed=True) for i in range(16)]
 
@@ -84,18 +86,23 @@ def line_rows(arrays: DataFrame, groups: DataFrame) -> DataFrame:
     return df.select("id", "h", "doc", *[F.col(f"p.{c}").alias(c) for c in ("line", "n", "leaf", "whole", *[f"s{q}" for q in range(_SEGMENTS)])])
 
 
+def _least(n: str, min_contexts: int) -> Column:
+    """Different documents from which on a line of n words recurs."""
+    return F.when(F.col(n) >= _LONG, F.lit(min(2, min_contexts))).otherwise(F.lit(min_contexts))
+
+
 def recurring_templates(lines: DataFrame, depth: int, min_contexts: int, constant: float) -> DataFrame:
     """(leaf, whole) of the masked lines that belong to a recurring template.
 
     A template recurs if it stands in at least `min_contexts` different documents, near
-    copies counted once. A template is a masked line or one with some of its segments
+    copies counted once; two are enough for a whole line of 50 words. A template is a masked line or one with some of its segments
     generalised, where the others and the leading tokens make at least `constant` of its
     tokens. Every set of segments is tried, so a leaf holds any number of templates and other
     lines of the leaf do not matter.
     """
     segments = [f"s{q}" for q in range(_SEGMENTS)]
     by_line = materialize(lines.groupBy("leaf", "whole", "doc").agg(F.first("n").alias("n"), *[F.first(s).alias(s) for s in segments]))
-    whole = by_line.groupBy("leaf", "whole").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts).select("leaf", "whole")
+    whole = by_line.groupBy("leaf", "whole").agg(F.count("*").alias("docs"), F.first("n").alias("n")).filter(F.col("docs") >= _least("n", min_contexts)).select("leaf", "whole")
     crowded = by_line.groupBy("leaf", "doc").agg(F.lit(1)).groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts).select("leaf")
 
     rest = F.greatest(F.col("n") - depth, F.lit(0))
@@ -133,8 +140,8 @@ def dedup_lines(
     arrays = materialize(line_arrays(docs, key, text, depth))
     lines = materialize(line_rows(arrays, copy_groups(arrays)))
     # a leaf of one text, or of too few lines, holds no recurring template
-    leaves = lines.groupBy("leaf").agg(F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
-    crowded = materialize(lines.join(leaves.filter(F.col("several") & (F.col("c") >= min_contexts)).select("leaf"), "leaf", "left_semi"))
+    leaves = lines.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
+    crowded = materialize(lines.join(leaves.filter(F.col("several") & (F.col("c") >= _least("n", min_contexts))).select("leaf"), "leaf", "left_semi"))
     templates = recurring_templates(crowded, depth, min_contexts, constant)
     drops = crowded.join(templates, ["leaf", "whole"]).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "line").distinct()
     drops = drops.groupBy("_id", "_h").agg(F.collect_list("line").alias(gone))

@@ -135,3 +135,17 @@ def test_a_leaf_holds_several_templates_and_other_lines(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
     assert [got[i] for i in range(len(texts))] == want
+
+
+def test_long_lines_recur_from_two_documents_on(spark):
+    r = random.Random(7)
+    passage = " ".join("".join(r.choices("ghijkl", k=5)) for _ in range(60))
+    short, copied, texts = "Read all of this in the printed edition", own_lines(r, 5), []
+    for _ in range(2):
+        own = own_lines(r, 4)
+        texts.append("\n".join([*own[:2], passage, short, *own[2:]]))
+    kept = " ".join("".join(r.choices("mnopqr", k=5)) for _ in range(60))
+    texts += ["\n".join([*copied, kept, x]) for x in ("the end", "no end yet")]  # near copies: one document
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
+    assert [got[i] for i in range(4)] == [t.replace(passage + "\n", "") for t in texts]
