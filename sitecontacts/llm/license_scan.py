@@ -20,6 +20,9 @@ TEMPLATES: Mapping[str, str] = {
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "CC-BY-3.0": "Licensed under CC BY 3.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
     "CC-BY-text": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "reserved": "All rights reserved.",
@@ -27,9 +30,22 @@ TEMPLATES: Mapping[str, str] = {
     "BSD-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "Apache-grant": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "GPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "LGPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+#: Words that name a license and its version: a notice has all of them, and may then lack one other word.
+NAMING: Mapping[str, str] = {
+    "MIT": "MIT License", "Apache-2.0": "Apache 2.0", "GPL-3.0": "GNU General Public 3", "GPL-2.0": "GNU General Public 2",
+    "CC-BY-3.0": "CC BY 3.0", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0",
+    "CC-BY-text": "Creative Commons Attribution 4.0", "GPL-grant": "GNU General Public", "LGPL-grant": "GNU Lesser General Public",
+    "AGPL-grant": "GNU Affero General Public", "MPL-2.0": "Mozilla 2.0", "Unlicense": "unencumbered public domain",
 }
 # Words too common to point to a notice.
 _COMMON = frozenset("a all and any are as at be by can for free from has in is it may not of on or other that the this to under use with without work you".split())
+_VERSION = re.compile(r"v?([0-9]+)(?:\.0)?")
 _WORD = re.compile(r"[^\W_](?:[\w.+/-]*[^\W_])?")
 
 
@@ -38,6 +54,11 @@ def tokens_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _plain(words: list[str]) -> list[str]:
+    """Words with versions written alike: 3 for v3, 3.0 and v3.0."""
+    return [m[1] if (m := _VERSION.fullmatch(w)) else w for w in words]
+
+
 def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Aligned positions of equal words, increasing in both lists.
 
@@ -88,11 +109,15 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Scanner:
-    """Templates prepared for scanning; `coverage` is the least share of a template's words."""
+    """Templates prepared for scanning; `coverage` is the least share of a template's words.
+
+    Templates with naming words need all of these, and may always lack one other word.
+    """
 
     def __init__(self, templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.9):
         self.coverage = coverage
         self.templates = [(name, words, marks) for name, text in templates.items() if (words := tokens_of(text)) and (marks := self._marks(words))]
+        self.naming = {name: frozenset(_plain(tokens_of(NAMING[name]))) if templates[name] == TEMPLATES.get(name) and name in NAMING else frozenset() for name in templates}
         self.any_mark = frozenset().union(*[m for _, _, m in self.templates])
 
     @staticmethod
@@ -136,11 +161,13 @@ class Scanner:
             words = [text[a:b].lower() for a, b in spans]
         found = []
         for order, (name, template, marks) in enumerate(self.templates):
-            if sum(m in there for m in marks) < self.coverage * len(marks) - (len(template) - len(marks)):
+            naming, plain = self.naming[name], _plain(template)
+            least = min(self.coverage * len(template), len(template) - bool(naming))
+            if sum(m in there for m in marks) < len(marks) - (len(template) - least) - bool(naming):  # a version may be written otherwise
                 continue
             for start, end in self.regions(words, template, marks):
-                pairs = patience(words[start:end], template)
-                if pairs and len(pairs) >= self.coverage * len(template):
+                pairs = patience(_plain(words[start:end]), plain)
+                if pairs and len(pairs) >= least and naming <= {plain[j] for _, j in pairs}:
                     cover = len(pairs) / len(template)
                     found.append((-len(pairs), -cover, order, spans[start + pairs[0][0]][0], spans[start + pairs[-1][0]][1], name))
         out: list[tuple[int, int, str, float]] = []

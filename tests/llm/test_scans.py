@@ -142,3 +142,15 @@ def test_quality_on_held_out_documents(spark):
     assert len(held) > 50 and all(g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 5 == 0) for g in got if g.doc_id is not None)
     assert sum(g.predicted == int(g.doc_id % 4 > 0) for g in held) >= 0.97 * len(held)
     assert quality_crf(docs.filter("false"), labels.filter("false")).collect() == []
+
+
+def test_altered_notices_keep_their_license_and_version():
+    gnu = "This work is licensed under the GNU General Public License, version"
+    grant = TEMPLATES["GPL-grant"]
+    for text, want in {
+        "Licensed under the MIT License": ["MIT"], "Released under MIT License": ["MIT"], "Licensed under the Apache License 2.0": ["Apache-2.0"],
+        "Licensed under CC BY 3.0": ["CC-BY-3.0"], "Licensed under CC BY-ND 4.0": ["CC-BY-ND-4.0"], f"{gnu} 2": ["GPL-2.0"], f"{gnu} 3.0": ["GPL-3.0"], f"{gnu} 1": [],
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": [],
+        grant.replace("GNU", "GNU Lesser"): ["LGPL-grant"], grant.replace("GNU", "GNU Affero"): ["AGPL-grant"], grant: ["GPL-grant"],
+    }.items():
+        assert [name for _, _, name, _ in Scanner().scan(text)] == want, text
