@@ -230,8 +230,9 @@ def near_documents(
     at least `similarity`, checked on whole texts; a class is a connected component of links.
     A pair of exactly 0.8 meets in a band with probability above 0.9999 by default. Texts
     without words (null, empty, white space) link with nothing. Rows that share a key count as
-    one document and each get its class; a null key has the class of its copies, or null. Extra
-    columns are left aside; an empty table gives no rows.
+    one document and each get its class, so they all stay or go together; rows with a null key
+    are not compared and have a null class. Extra columns are left aside; an empty table gives
+    no rows.
 
     Texts of equal words are one node. In every bucket, members are checked against the
     member that shares most buckets, so a group of copies costs a pair per member. Members
