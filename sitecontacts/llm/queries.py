@@ -12,11 +12,14 @@ from sitecontacts.llm.dart_minhash import minhash_dedup
 from sitecontacts.llm.embedding_dedup import embedding_dedup
 from sitecontacts.llm.license_scan import license_scan
 from sitecontacts.llm.line_dedup import line_dedup
+from sitecontacts.llm.merkle import merkle_manifest
 from sitecontacts.llm.mixing import mixing
 from sitecontacts.llm.packing import packing
+from sitecontacts.llm.periodic_runs import periodic_runs
 from sitecontacts.llm.quality_crf import quality_crf
 from sitecontacts.llm.quality_rules import quality_rules
 from sitecontacts.llm.secret_scan import secret_scan
+from sitecontacts.llm.suffix_dedup import suffix_dedup
 from sitecontacts.llm.token_counts import token_counts
 
 
@@ -39,5 +42,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": _over(quality_rules, "documents"),
     "op9_quality_crf": _crf,
     "op10_minhash_dedup": _over(minhash_dedup, "documents"),
+    "op11_periodic_runs": _over(periodic_runs, "documents"),
+    "op12_suffix_dedup": _over(suffix_dedup, "documents"),
+    "op13_merkle_manifest": _over(merkle_manifest, "documents"),
     "pipeline": corpus_pipeline.run,
 }
