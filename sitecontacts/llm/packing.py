@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import bisect
-import re
-import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +17,18 @@ from sitecontacts.llm.common import batches
 from sitecontacts.llm.token_counts import word_bpe, worker_cache
 from sitecontacts.plans.lineage import materialize
 
-_RUN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _SIZE = 4  # bytes of a packed id
 _PIECES = "doc_id string, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    made = array("I", ids)
+    if sys.byteorder == "big":
+        made.byteswap()
+    return made.tobytes()
+
+
 class Windows:
     """A fixed number of open windows; a piece is (doc_id, start, packed ids, doc_tokens)."""
 
@@ -93,12 +100,12 @@ def pack(
     source = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = worker_cache(path, "ids", lambda ids: struct.pack(f"<{len(ids)}I", *ids))
+        cache = worker_cache(path, "ids", _packed)
         end = np.asarray([end_id], "<u4").tobytes()
         windows, sequence, rows = Windows(capacity, n_open, max_pad), TaskContext.get().partitionId() << 32, []
         for frame in batches(frames, "text"):
             for doc, body in zip(frame["doc_id"], frame["text"], strict=True):
-                ids = b"".join([*cache.values(_RUN.findall(body), {}), end])
+                ids = b"".join([*cache.values(body), end])
                 for done in windows.add((doc, 0, ids, len(ids) // _SIZE)):
                     rows += _rows(done, sequence, False)
                     sequence += 1

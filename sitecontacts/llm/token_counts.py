@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -14,9 +13,8 @@ from pyspark.sql import DataFrame, functions as F
 from sitecontacts.llm.common import batches, free_names
 
 #: A pre-token is a run without ASCII white space: the vocabulary's splitter never crosses it and drops it.
-_RUN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 #: Longer runs are encoded each time, so that no table or cache holds a long string.
-_CACHED_CHARS = 64
+_CACHED_BYTES = 64
 #: Entries of one generation of a worker's cache; it keeps two.
 _CACHE_ENTRIES = 400_000
 #: The default vocabulary's splitter parts Latin letters from these marks after them, so that "word," is "word" and ",".
@@ -33,15 +31,17 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class RunCache:
-    """Tier two: what the tokenizer gives for a run, kept per worker in bounded space.
+class RunCache(dict):
+    """Tier two: what the tokenizer gives for a run, as UTF-8, kept per worker in bounded space.
 
     `value` turns the ids of a run into what is kept (a length, packed bytes), which must
     add up over the parts of a run. A file whose splitter joins letters with marks needs
-    `marks` to be empty; one that keeps white space needs a splitter of its own.
+    `marks` to be empty; one that keeps white space needs a splitter of its own. A look-up
+    of a run that is not held encodes it; there are two generations of entries.
     """
 
     def __init__(self, path: str, value: Callable[[list[int]], Any], marks: str = _MARKS):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -49,48 +49,54 @@ class RunCache:
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
         self._value, self._marks, self._model = value, marks, self._tokenizer.model
-        self.known: dict[str, Any] = {}
-        self.older: dict[str, Any] = {}
+        self.older: dict[bytes, Any] = {}
 
     def encode(self, run: str) -> Any:
-        """Value of a run as the library gives it, special strings handled as its default.
-
-        The default vocabulary's steps before its merges leave a run of small Latin letters
-        as it is, but for the spelling of its bytes, so such a run goes straight to the merges.
-        """
-        if self._marks and run.islower() and run.isalpha() and max(run) < "\u0250":
-            spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
-            return self._value([t.id for t in self._model.tokenize(spelled)])
+        """Value of a run as the library gives it, special strings handled as its default."""
         return self._value(self._tokenizer.encode(run, add_special_tokens=False).ids)
 
-    def missed(self, run: str) -> Any:
-        """Value of a run that the newer generation doesn't hold."""
+    def _parted(self, run: str) -> Any:
+        """Value of a run of Latin letters, marks after them aside; None for others.
+
+        The default vocabulary is in lower case and its splitter parts letters from marks after
+        them. Its steps before the merges leave small letters as they are, but for the spelling of
+        their bytes, so these go straight to the merges. Small letters decide what a letter is:
+        the capital I with a dot becomes two characters, of which the second is none.
+        """
+        core = run.rstrip(self._marks) if run[-1] in self._marks else run
+        if not core.isalpha():
+            return None
+        if not core.isascii() and (max(core) >= "\u0250" or not core.lower().isalpha()):
+            return None
+        if core is not run:
+            return self[core.encode()] + self[run[len(core):].encode()]
+        if not run.islower():
+            low = run.lower()
+            return None if low == run else self[low.encode()]
+        spelled = run if run.isascii() else run.encode().decode("latin-1").translate(_BYTES)
+        return self._value([t.id for t in self._model.tokenize(spelled)])
+
+    def __missing__(self, run: bytes) -> Any:
         got = self.older.get(run)
         if got is None:
-            core = run.rstrip(self._marks)
-            if core and len(core) < len(run) and core.isalpha() and max(core) < "\u0250":
-                got = self._one(core) + self._one(run[len(core):])
-            elif run.isascii() and run.isalpha() and not run.islower() and self._marks:
-                got = self._one(run.lower())  # the vocabulary is in lower case
-            else:
-                got = self.encode(run)
-        if len(run) <= _CACHED_CHARS:
-            if len(self.known) >= _CACHE_ENTRIES:
-                self.older, self.known = self.known, {}
-            self.known[run] = got
+            text = run.decode()
+            got = self._parted(text) if self._marks else None
+            if got is None:
+                got = self.encode(text)
+        if len(run) <= _CACHED_BYTES:
+            if len(self) >= _CACHE_ENTRIES:
+                self.older = dict(self)
+                self.clear()
+            self[run] = got
         return got
 
-    def _one(self, run: str) -> Any:
-        got = self.known.get(run)
-        return self.missed(run) if got is None else got
-
-    def values(self, runs: list[str], first: dict[str, Any]) -> list[Any]:
-        """Values in order: from the first tier, else the cache, else the tokenizer."""
-        known = self.known
-        out = [first.get(r) or known.get(r) for r in runs] if first else [known.get(r) for r in runs]
-        if None in out:
-            out = [self._one(r) if v is None else v for r, v in zip(runs, out, strict=True)]
-        return out
+    def values(self, text: str, first: dict[bytes, Any] | None = None) -> list[Any]:
+        """Values of the runs of a text in order: from the first tier, else the cache, else the tokenizer."""
+        runs = text.encode().split()  # bytes are split at ASCII white space only
+        if first:
+            get = first.get
+            return [get(r) or self[r] for r in runs]
+        return list(map(self.__getitem__, runs))
 
 
 _CACHES: dict[tuple[str, str], RunCache] = {}
@@ -111,34 +117,34 @@ def frequent_runs(docs: DataFrame, text: str = "text", share: int = 16_384) -> D
     shuffle carries at most `share` rows a partition, no matter how large the data.
     """
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter[str] = Counter()
+        seen: Counter[bytes] = Counter()
         total = 0
         for frame in batches(frames, "text"):
             for body in frame["text"]:
-                runs = _RUN.findall(body)
+                runs = body.encode().split()
                 total += len(runs)
                 seen.update(runs)
                 if len(seen) > 8 * share:
                     least = sorted(seen.values())[-share]
                     seen = Counter({k: v for k, v in seen.items() if v > least})
-        rows = [(k, v) for k, v in seen.items() if v * share >= total and len(k) <= _CACHED_CHARS]
+        rows = [(k, v) for k, v in seen.items() if v * share >= total and len(k) <= _CACHED_BYTES]
         yield pd.DataFrame(rows, columns=["run", "n"]).astype({"n": "int64"})
 
     return (
-        docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "run string, n bigint")
+        docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "run binary, n bigint")
         .groupBy("run").agg(F.sum("n").alias("n"))
     )
 
 
-def frequent_lengths(docs: DataFrame, text: str = "text", path: str | None = None, entries: int = 16_384) -> dict[str, int]:
-    """Tier one: token counts of the `entries` most frequent runs, at most 64 characters each (about 2 MB)."""
+def frequent_lengths(docs: DataFrame, text: str = "text", path: str | None = None, entries: int = 16_384) -> dict[bytes, int]:
+    """Tier one: token counts of the `entries` most frequent runs, at most 64 bytes each (about 2 MB)."""
     rows = frequent_runs(docs, text).orderBy(F.desc("n"), "run").limit(entries).collect()
     cache = worker_cache(path or word_bpe(), "length", len)
-    return {r.run: cache.encode(r.run) for r in rows}
+    return {bytes(r.run): cache.encode(bytes(r.run).decode()) for r in rows}
 
 
 def count_tokens(
-    docs: DataFrame, text: str = "text", path: str | None = None, table: dict[str, int] | None = None, out: str = "n_tokens"
+    docs: DataFrame, text: str = "text", path: str | None = None, table: dict[bytes, int] | None = None, out: str = "n_tokens"
 ) -> DataFrame:
     """Add the number of tokens of every whole text.
 
@@ -153,7 +159,7 @@ def count_tokens(
     def lengths(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cache, known = worker_cache(path, "length", len), first.value
         for part in parts:
-            yield pd.Series([sum(cache.values(_RUN.findall(x), known)) if x else 0 for x in part], dtype="int64")
+            yield pd.Series([sum(cache.values(x, known)) if x else 0 for x in part], dtype="int64")
 
     return docs.withColumn(out, lengths(F.col(text).cast("string")))
 

@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
@@ -42,13 +43,28 @@ def test_latin_runs_equal_the_tokenizer(tokenizer):
     cache = RunCache(word_bpe(), list)
     for _ in range(3_000):
         run = "".join(r.choices(r.choice([letters, "abcdefghij", "aeéèçñüß", letters[:80]]), k=r.randint(1, 12))) + r.choice(["", "", ".", "!?", "'s", ",'t"])
-        assert cache._one(run) == tokenizer.encode(run, add_special_tokens=False).ids, run
+        assert cache[run.encode()] == tokenizer.encode(run, add_special_tokens=False).ids, run
+
+
+def test_marks_after_every_character(tokenizer):
+    """All characters below U+0250 before all marks and pairs of marks: the parts add up to what the library gives."""
+    cache = RunCache(word_bpe(), list)
+    ends = [m for m in ".,;:!?"] + [a + b for a, b in product(".,;:!?", repeat=2)]
+    for c in range(0x21, 0x250):
+        for core in (chr(c), "a" + chr(c), chr(c) + "b"):
+            if core.split() != [core]:
+                continue
+            for end in ends:
+                run = core + end
+                assert cache[run.encode()] == tokenizer.encode(run, add_special_tokens=False).ids, run
+    for text in ("HEPSİ.", "EVİ, VE DEĞİL", "İ!", "İstanbul'da."):
+        assert sum(cache.values(text), []) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_the_table_never_changes_a_count(spark):
     docs = docs_of(spark, TEXTS)
     table = frequent_lengths(docs)
-    assert table["word"] == 1
+    assert table[b"word"] == 1
     with_table = count_tokens(docs, table=table, out="n").select("doc_id", "n").collect()
     assert sorted(with_table) == sorted(count_tokens(docs, table={}, out="n").select("doc_id", "n").collect())
 
