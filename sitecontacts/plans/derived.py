@@ -162,7 +162,7 @@ def d_robots(dialect: str) -> str:
 
 
 def d_sitemaps(dialect: str) -> str:
-    """Sitemap files of the derived sites, half of them behind an index: (sitemap_url, xml)."""
+    """Sitemap files of the derived sites, half of them behind an index, some by indexes that list each other: (sitemap_url, xml)."""
     base = "'https://client' || c_custkey || '.acme.com'"
     url = lambda rn: f"'<url><loc> ' || {page_url(rn)} || ' </loc><priority>1</priority></url>'"
     plain = (
@@ -173,12 +173,23 @@ def d_sitemaps(dialect: str) -> str:
         f"'<sitemapindex><sitemap><loc>' || {base} || '/part-1.xml</loc></sitemap><sitemap><loc>' || {base}"
         f" || '/sitemap.xml</loc></sitemap></sitemapindex>'"
     )
+    listed = lambda *names: (
+        "'<sitemapindex>'" + "".join(f" || '<sitemap><loc>' || {base} || '/{n}.xml</loc></sitemap>'" for n in names) + " || '</sitemapindex>'"
+    )
     return f"""
 SELECT {base} || '/part-1.xml' AS sitemap_url, {plain} AS xml FROM {{customer}} WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')
 UNION ALL
 SELECT {base} || '/sitemap.xml', CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN {index} ELSE {plain} END FROM {{customer}}
 UNION ALL
-SELECT {base} || '/maps.xml', {plain} FROM {{customer}}"""
+SELECT {base} || '/maps.xml', CASE WHEN c_custkey % 5 = 0 THEN {listed('maps', 'part-2', 'part-3')} ELSE {plain} END FROM {{customer}}
+UNION ALL
+SELECT {base} || '/part-2.xml', {listed('maps', 'part-3', 'part-4')} FROM {{customer}} WHERE c_custkey % 5 = 0
+UNION ALL
+SELECT {base} || '/part-3.xml', {listed('part-2', 'part-5', 'part-4', 'maps')} FROM {{customer}} WHERE c_custkey % 5 = 0
+UNION ALL
+SELECT {base} || '/part-4.xml', {plain} FROM {{customer}} WHERE c_custkey % 5 = 0
+UNION ALL
+SELECT {base} || '/part-5.xml', '<urlset>' || {url('5')} || '</urlset>' FROM {{customer}} WHERE c_custkey % 5 = 0"""
 
 
 def d_dns(dialect: str) -> str:

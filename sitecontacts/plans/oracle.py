@@ -285,12 +285,14 @@ roots AS (
  FROM origins JOIN rules USING (origin) WHERE kind = 'sitemap'
  UNION ALL SELECT site_key, origin || f, i FROM origins, (VALUES ('/sitemap.xml', 1), ('/sitemap_index.xml', 2)) v(f, i)
  WHERE origin NOT IN (SELECT origin FROM rules WHERE kind = 'sitemap')),
-level0 AS (SELECT site_key, no, is_index, entries, doc FROM roots JOIN docs USING (doc)),
-children AS (SELECT site_key, no, doc AS parent, unnest(entries) AS doc, generate_subscripts(entries, 1) AS i FROM level0 WHERE is_index),
-level1 AS (SELECT c.site_key, c.no, c.i, d.entries FROM children c JOIN docs d USING (doc) WHERE c.doc <> c.parent AND NOT d.is_index),
-found AS (
- SELECT site_key, no, 0 AS i, unnest(entries) AS url, generate_subscripts(entries, 1) AS p FROM level0 WHERE NOT is_index
- UNION ALL SELECT site_key, no, i, unnest(entries), generate_subscripts(entries, 1) FROM level1),
+walks AS (
+ SELECT site_key, no, doc, [doc] AS seen, []::BIGINT[] AS path FROM roots
+ UNION ALL SELECT site_key, no, child.u, list_append(seen, child.u), list_append(path, child.i) FROM (
+  SELECT w.site_key, w.no, w.seen, w.path, unnest(list_transform(d.entries, lambda u, i: {{'u': u, 'i': i}})) AS child
+  FROM walks w JOIN docs d USING (doc) WHERE d.is_index) x WHERE NOT list_contains(seen, child.u)),
+placed AS (SELECT site_key, no, doc, arg_min(path, {{'n': len(path), 'p': path}}) AS path FROM walks GROUP BY ALL),
+found AS (SELECT site_key, no, path AS i, unnest(entries) AS url, generate_subscripts(entries, 1) AS p
+ FROM placed JOIN docs USING (doc) WHERE NOT is_index),
 site_maps AS (SELECT site_key, no AS sitemap_no, row_number() OVER (PARTITION BY site_key, no ORDER BY i, p) AS url_no, url FROM found)"""
 
 
@@ -441,14 +443,14 @@ FROM p LEFT JOIN e USING (site_key) LEFT JOIN ranked r ON r.site_key = p.site_ke
     o["robots_filter"] = f"""WITH {robots_ctes()}, {PAGES}
 SELECT page_id, url FROM site_pages p WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.kind = 'disallow'
  AND r.origin = regexp_extract(p.url, '^(https?://[^/?#]+)', 1) AND starts_with(regexp_extract(p.url, '^https?://[^/?#]*([^#]*)', 1), r.value))"""
-    o["sitemap_urls"] = f"""WITH {robots_ctes()}, {sitemap_ctes()}
+    o["sitemap_urls"] = f"""WITH RECURSIVE {robots_ctes()}, {sitemap_ctes()}
 SELECT site_key, CAST(sitemap_no AS INT) AS sitemap_no, CAST(url_no AS INT) AS url_no, url FROM site_maps"""
-    o["crawl_queue"] = f"""WITH {CRAWL}
+    o["crawl_queue"] = f"""WITH RECURSIVE {CRAWL}
 SELECT site_key, url, CAST(depth AS INT) AS depth, referrer, CAST(visit_rank AS INT) AS visit_rank, CAST(parent_rank AS INT) AS parent_rank FROM queue"""
-    o["next_fetch"] = f"""WITH {CRAWL}
+    o["next_fetch"] = f"""WITH RECURSIVE {CRAWL}
 SELECT site_key, url, CAST(depth AS INT) AS depth, referrer, CAST(visit_rank AS INT) AS visit_rank FROM queue
 WHERE url NOT IN (SELECT url FROM usable)"""
-    o["crawl_best"] = f"""WITH {CRAWL}, {VISITS}, {candidate_ctes("visit_emails", order="visit_rank")}
+    o["crawl_best"] = f"""WITH RECURSIVE {CRAWL}, {VISITS}, {candidate_ctes("visit_emails", order="visit_rank")}
 SELECT site_key, {RESULT} FROM ranked WHERE rank = 1"""
 
     # leads

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sitecontacts.functions import urls as ur
 from sitecontacts.functions.columns import browser_trim
@@ -55,18 +55,40 @@ def robots_rules(robots: DataFrame, options: Options = Options()) -> DataFrame:
     )
 
 
+def _canonical(c: Column) -> Column:
+    return F.coalesce(ur.canonical_url(c), c)
+
+
+def _denials(rules: DataFrame) -> DataFrame:
+    """(origin, prefix) of the Disallow rules, once each."""
+    origin = F.coalesce(ur.url_origin(_canonical(F.col("origin"))), F.col("origin"))
+    return rules.where("kind = 'disallow'").select(origin.alias("_o"), F.col("value").alias("_prefix")).distinct()
+
+
 def allowed_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL, in canonical form, no Disallow rule of its origin covers; an equi join on the origin."""
-    canonical = lambda c: F.coalesce(ur.canonical_url(c), c)
-    denied = rules.where("kind = 'disallow'").select(
-        F.coalesce(ur.url_origin(canonical(F.col("origin"))), F.col("origin")).alias("_origin"), F.col("value").alias("_prefix")
-    ).distinct()
-    place = urls.withColumn("_path", canonical(F.col(url))).withColumn("_o", ur.url_origin(F.col("_path"))).withColumn(
+    """Rows whose URL, in canonical form, no Disallow rule of its origin covers.
+
+    A URL is cut to the prefix lengths that its origin's rules have, and each cut meets the
+    rules by equality of origin and prefix; any number of rules on one origin so costs a
+    look-up per length. The cuts are made of distinct URLs of origins with rules alone, and
+    the rows, whatever they carry, meet the denied URLs in one anti join. A stream has one
+    anti join per length instead, as its rows can't be put together again.
+    """
+    denied = _denials(rules)
+    place = urls.withColumn("_path", _canonical(F.col(url))).withColumn("_o", ur.url_origin(F.col("_path"))).withColumn(
         "_path", F.regexp_extract(F.col("_path"), r"\A[a-z]+://[^/?#]*([^#]*)", 1)
     )
-    kept = place.join(
-        denied,
-        (F.col("_o") == F.col("_origin")) & F.startswith(F.col("_path"), F.col("_prefix")),
-        "left_anti",
+    if urls.isStreaming:
+        lengths = [r.n for r in denied.select(F.length("_prefix").alias("n")).distinct().collect()]
+        for n in sorted(lengths):
+            place = place.withColumn("_prefix", F.left(F.col("_path"), F.lit(n))).join(
+                denied.where(F.length("_prefix") == n), ["_o", "_prefix"], "left_anti"
+            ).drop("_prefix")
+        return place.drop("_o", "_path")
+    lengths = denied.groupBy("_o").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    cuts = place.select("_o", "_path").distinct().join(lengths, "_o").select(
+        "_o", "_path", F.explode(F.transform(fitting, lambda n: F.left(F.col("_path"), n))).alias("_prefix")
     )
-    return kept.drop("_o", "_path")
+    hit = cuts.join(denied, ["_o", "_prefix"], "left_semi").select("_o", "_path").distinct()
+    return place.join(hit, ["_o", "_path"], "left_anti").drop("_o", "_path")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitecontacts.functions import text as tx
 from sitecontacts.functions.columns import browser_trim
-from sitecontacts.operators.ranking import rank_within
 from sitecontacts.options import Options
 from sitecontacts.plans.lineage import materialize
 
@@ -68,44 +67,59 @@ def sitemap_roots(sites: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def sitemap_files(roots: DataFrame, parsed: DataFrame, options: Options = Options()) -> DataFrame:
+    """Every file that a root sitemap leads to, once per root: (root, file, path).
+
+    roots(sitemap_url). Breadth first: a file's place is its shortest path of entry numbers, of
+    several the first, and a file that has one is not entered again. So files that list each
+    other, or share children, cost one row per root and link, and a level is found by equi joins.
+    """
+    indexes = materialize(parsed.where("is_index").select(
+        F.col("sitemap_url").alias("file"), F.posexplode("entries").alias("i", "next")
+    ))
+    level = materialize(roots.select(
+        F.col("sitemap_url").alias("root"), F.col("sitemap_url").alias("file"), F.array().cast("array<int>").alias("path")
+    ).distinct())
+    placed, depth = level, 0
+    while options.max_sitemap_depth is None or depth < options.max_sitemap_depth:
+        found = level.join(indexes, "file").groupBy("root", F.col("next").alias("file")).agg(
+            F.min(F.concat("path", F.array("i"))).alias("path")
+        )
+        level = materialize(found.join(placed.select("root", "file"), ["root", "file"], "left_anti"))
+        if level.isEmpty():
+            break
+        placed = placed.unionByName(level)
+        depth += 1
+    return placed
+
+
 def expand_sitemaps(roots: DataFrame, parsed: DataFrame, options: Options = Options()) -> DataFrame:
     """URLs of every root sitemap, indexes followed: (site_key, sitemap_no, url_no, url).
 
-    Each level of indexes is written once. A file never follows itself, so cycles end and
-    the levels run out; limits that are set cut as they say.
+    Files are placed and numbered per distinct root, and meet the sites that name it last, so sites
+    that share a root share its work. A file's URLs follow those of the files before it: only
+    the files' sizes are summed, no task sorts URLs. Limits that are set cut as they say.
     """
-    docs = parsed.select(F.col("sitemap_url").alias("_doc"), "is_index", "entries")
-    level = roots.select(
-        "site_key", "sitemap_no", F.col("sitemap_url").alias("_doc"),
-        F.array().cast("array<int>").alias("path"), F.array("sitemap_url").alias("_seen"),
+    plain = parsed.where("not is_index").select(
+        F.col("sitemap_url").alias("file"), "entries", F.size("entries").alias("n")
     )
-    found, depth = None, 0
-    while True:
-        read = materialize(level.join(docs, "_doc"))
-        urls = read.where("not is_index").select(
-            "site_key", "sitemap_no", "path", F.posexplode("entries").alias("pos", "url")
-        )
-        found = urls if found is None else found.unionByName(urls)
-        level = (
-            read.where("is_index")
-            .select("site_key", "sitemap_no", "path", "_seen", F.posexplode("entries").alias("_i", "_next"))
-            .where("not array_contains(_seen, _next)")
-            .select(
-                "site_key", "sitemap_no", F.col("_next").alias("_doc"),
-                F.concat("path", F.array("_i")).alias("path"),
-                F.concat("_seen", F.array("_next")).alias("_seen"),
-            )
-        )
-        depth += 1
-        if depth - 1 == options.max_sitemap_depth or level.isEmpty():
-            break
-    # a file's URLs are numbered per path, so no task sorts all URLs of a site
-    numbered = rank_within(found, ["site_key", "sitemap_no"], {"path": F.col("path")}, [F.col("pos")], "url_no")
-    numbered = numbered.withColumn("url_no", F.col("url_no").cast("int"))
-    if options.max_urls_per_sitemap is not None:
-        numbered = numbered.where(F.col("url_no") <= options.max_urls_per_sitemap)
+    files = materialize(sitemap_files(roots.select("sitemap_url"), parsed, options).join(plain.select("file", "n"), "file"))
+    earlier = Window.partitionBy("root").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    files = materialize(files.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    most = options.max_urls_per_sitemap
+    named = roots.withColumnRenamed("sitemap_url", "root")
     if options.sitemap_url_stop is not None:
-        # rank - 1 is the number of URLs of earlier files
-        by_site = Window.partitionBy("site_key").orderBy("sitemap_no")
-        numbered = numbered.withColumn("_rank", F.rank().over(by_site)).where(F.col("_rank") <= options.sitemap_url_stop)
-    return numbered.select("site_key", "sitemap_no", "url_no", "url")
+        # a root is read while the roots before it have given fewer URLs than this
+        given = files.groupBy("root").agg(F.sum("n").alias("n"))
+        given = given if most is None else given.withColumn("n", F.least("n", F.lit(most)))
+        so_far = Window.partitionBy("site_key").orderBy("sitemap_no").rowsBetween(Window.unboundedPreceding, -1)
+        named = named.join(given, "root").withColumn("_given", F.coalesce(F.sum("n").over(so_far), F.lit(0)))
+        named = named.where(F.col("_given") < options.sitemap_url_stop)
+    if most is not None:
+        files = files.where(F.col("before") < most)
+    placed = named.select("site_key", "sitemap_no", "root").join(files.select("root", "file", "before"), "root")
+    urls = placed.join(plain.select("file", "entries"), "file").select(
+        "site_key", "sitemap_no", "before", F.posexplode("entries").alias("pos", "url")
+    )
+    urls = urls.withColumn("url_no", (F.col("before") + F.col("pos") + 1).cast("int"))
+    return (urls if most is None else urls.where(F.col("url_no") <= most)).select("site_key", "sitemap_no", "url_no", "url")
