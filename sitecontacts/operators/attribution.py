@@ -8,20 +8,24 @@ from sitecontacts.functions import urls as ur
 from sitecontacts.operators import scoring as sc
 
 
-def attribute_candidates(page_emails: DataFrame, domains: DataFrame) -> DataFrame:
-    """Counted candidates per target domain.
+def count_hosts(page_emails: DataFrame) -> DataFrame:
+    """Candidates counted per host: (host, site, email, occurrences, best, first); site is the host without www.
 
-    A page belongs to every target whose domain is its host or a parent of it. Pages
-    are first combined per host, so a host with very many pages meets the join as few
-    rows; the suffix rule becomes an equi join on the exploded parent domains. A suffix of
-    one label is shared by most hosts, so it is joined apart, with the few targets that
-    have one label; the sum per (domain, email) has a partitioning of its own, which leaves
-    a frequent domain of the join free to be split.
-    page_emails(page_id, url, email, channel_ord, first_order); domains(domain).
+    page_emails(page_id, url, email, channel_ord, first_order).
+    """
+    named = page_emails.withColumns({"host": ur.url_host(F.col("url")), "site": site_domain(F.col("url"))})
+    return sc.count_candidates(named, ["host", "site"])
+
+
+def attribute_hosts(by_host: DataFrame, domains: DataFrame) -> DataFrame:
+    """Counted candidates per target domain from those per host.
+
+    A host belongs to every target whose domain is the host or a parent of it: an equi
+    join on the exploded parent domains. A suffix of one label is shared by most hosts, so
+    it is joined apart, with the few targets that have one label; the sum per (domain,
+    email) has a partitioning of its own, which leaves a frequent domain of the join free to be split.
+    by_host(host, email, occurrences, best, first); domains(domain).
     """
-    by_host = sc.count_candidates(
-        page_emails.withColumn("host", ur.url_host(F.col("url"))), ["host"]
-    )
     wanted = domains.select("domain").distinct()
     one_label = ~F.contains("domain", F.lit("."))
     suffixes = by_host.select("*", ur.host_suffixes(F.col("host")).alias("_s"))
@@ -31,6 +35,16 @@ def attribute_candidates(page_emails: DataFrame, domains: DataFrame) -> DataFram
     return sc.merge_candidates(matched.drop("_s").repartition("domain", "email"), ["domain"])
 
 
+def attribute_candidates(page_emails: DataFrame, domains: DataFrame) -> DataFrame:
+    """Counted candidates per target domain.
+
+    A page belongs to every target whose domain is its host or a parent of it. Pages
+    are first combined per host, so a host with very many pages meets the join as few rows.
+    page_emails(page_id, url, email, channel_ord, first_order); domains(domain).
+    """
+    return attribute_hosts(count_hosts(page_emails), domains)
+
+
 def site_domain(url) -> "F.Column":
     """Site of a page when no targets are given: its host without www."""
     return ur.normalize_domain(url)

@@ -101,7 +101,7 @@ def best_by_domain(
     page_emails = ev.dedupe_page_emails(ev.explode_evidence(ev.with_evidence(usable, options)))
     page_emails = page_emails.join(newest_pages(usable).select("page_id"), "page_id", "left_semi")
     if rules is not None and options.respect_robots:
-        page_emails = allowed_urls(page_emails, rules)
+        page_emails = allowed_urls(page_emails, materialize(rules))
     return sc.best_per_site(
         sc.score_candidates(at.attribute_candidates(page_emails, domains)), ["domain"]
     )
@@ -118,6 +118,16 @@ def enrich_captured(
     return join_best(targets, best, "site_domain", domain_dns, options)
 
 
+def enrich_counted(
+    leads: DataFrame, hosts: DataFrame, domain_dns: DataFrame | None = None, options: Options = Options()
+) -> DataFrame:
+    """Enrich leads from candidates that are already counted per host, without reading a page."""
+    targets = to_targets(leads)
+    domains = targets.select(F.col("target.site_domain").alias("domain")).distinct()
+    best = sc.best_per_site(sc.score_candidates(at.attribute_hosts(hosts, domains)), ["domain"])
+    return join_best(targets, best.withColumnRenamed("domain", "site_domain"), "site_domain", domain_dns, options)
+
+
 def site_seeds(
     sites: DataFrame, rules: DataFrame | None, sitemaps: DataFrame | None, options: Options = Options()
 ) -> DataFrame | None:

@@ -214,6 +214,13 @@ USABLE = "usable AS (SELECT * FROM site_pages WHERE status NOT IN (429) AND stat
 SITE_EV = evidence_ctes("usable")
 
 
+#: The rules that deny the URL of a row of table t.
+DENIED = (
+    "SELECT 1 FROM rules u WHERE u.kind = 'disallow' AND u.origin = regexp_extract({t}.url, '^(https?://[^/?#]+)', 1)"
+    " AND starts_with(regexp_extract({t}.url, '^https?://[^/?#]*([^#]*)', 1), u.value)"
+)
+
+
 def channel_query(*ords: int) -> str:
     return f"""WITH {PAGES}, {USABLE}, {SITE_EV}
 SELECT page_id, email, {SOURCE} AS source_type, {OBF} AS obf_method, {CONF} AS confidence,
@@ -397,6 +404,7 @@ SELECT o_orderkey, url FROM h WHERE host = 'acme.com' OR ends_with(host, '.acme.
     o["evidence_text"] = channel_query(10)
     o["evidence_spelled_out"] = channel_query(11)
     o["evidence_all"] = channel_query(*range(1, 12))
+    o["stream_evidence"] = o["evidence_all"].replace("WITH ", f"WITH {robots_ctes()}, ", 1) + f" AND NOT EXISTS ({DENIED.format(t='evidence')})"
     o["evidence_titles"] = f"""WITH {PAGES}, {USABLE}, {SITE_EV}
 SELECT page_id, email, regexp_extract(u.html, '<title>(.*?)</title>', 1) AS page_title FROM evidence JOIN usable u USING (page_id)"""
     o["evidence_pages"] = f"""WITH {evidence_ctes('pages')}
@@ -484,16 +492,14 @@ SELECT t.row_index, CASE WHEN r.email IS NOT NULL THEN r.email WHEN ok.d IS NOT
 FROM targets t LEFT JOIN ranked r ON r.site_key = {norm_domain('t.site')} AND r.rank = 1
 LEFT JOIN ok ON ok.d = {norm_domain('t.site')}"""
     o["lead_file"] = f"""SELECT Name, Segment, trim(Website) AS Website, trim(url_hint) AS url_hint FROM ({D('d_leads')}) l"""
-    denied = (
-        "SELECT 1 FROM rules u WHERE u.kind = 'disallow' AND u.origin = regexp_extract(site_pages.url, '^(https?://[^/?#]+)', 1)"
-        " AND starts_with(regexp_extract(site_pages.url, '^https?://[^/?#]*([^#]*)', 1), u.value)"
-    )
+    denied = DENIED.format(t="site_pages")
     o["robots_enriched_leads"] = f"""WITH {robots_ctes()}, {usable_rank.replace("status < 500)", f"status < 500 AND NOT EXISTS ({denied}))")}
 SELECT t.row_index, t.Name, t.Segment, t.Website, t.url_hint, {result}
 FROM targets t LEFT JOIN ranked r ON r.site_key = {norm_domain('t.site')} AND r.rank = 1"""
     o["output_columns"] = f"""WITH {usable_rank}
 SELECT t.Name, t.Segment, t.Website, {result}, t.url_hint
 FROM targets t LEFT JOIN ranked r ON r.site_key = {norm_domain('t.site')} AND r.rank = 1"""
+    o["stream_enriched_leads"] = o["output_columns"]
     o["indexed_rows"] = "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, c_custkey, c_name FROM customer"
     o["run_summary"] = f"""WITH {usable_rank}
 SELECT (SELECT count(*) FROM customer) AS leads, count(*) AS processed, (SELECT count(*) FROM customer) - count(*) AS skipped,

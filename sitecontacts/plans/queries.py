@@ -250,7 +250,7 @@ def robots_rules(spark, d):
 
 
 def robots_filter(spark, d):
-    rules = rb.robots_rules(derive(spark, d, "d_robots"))
+    rules = materialize(rb.robots_rules(derive(spark, d, "d_robots")))  # read twice
     return rb.allowed_urls(_site_pages(spark, d).select("page_id", "url"), rules)
 
 
@@ -362,16 +362,56 @@ def progress_mark(spark, d):
 
 # --- streaming --------------------------------------------------------------
 
+def _arrive(spark, base: str, parts: list[DataFrame], run) -> None:
+    """Write the parts to a folder one after the other; after each, `run` a stream over the folder, anew each time."""
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
+        run(spark.readStream.schema(part.schema).parquet(f"{base}/in")).awaitTermination()
+
+
 def stream_equals_batch(spark, d):
-    """Best address per site kept by the streaming job over the page files."""
+    """Best address per site kept by a stream in which newer captures replace a third of the pages."""
     base = f"{checkpoint_dir(spark)}/stream-{_fresh()}"
-    source = f"{d}/pages.parquet"
-    if st.is_folder(spark, source):
-        pages = st.read_page_stream(spark, source)
-    else:
-        pages = st.read_page_stream(spark, d, "pages.parquet")
-    st.stream_running_best(pages, f"{base}/parts", f"{base}/state").awaitTermination()
-    return st.running_best(spark, f"{base}/parts").select("domain", *RESULT, "occurrences")
+    pages = table(spark, d, "pages").select("page_id", "url", "html")
+    old = pages.where("page_id % 3 = 0").select(
+        (F.col("page_id") - 10**9).alias("page_id"), "url", F.lit("<p>old@example.com older@example.com</p>").alias("html")
+    )
+    _arrive(
+        spark, base, [old, pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")],
+        lambda s: st.stream_running_best(s, f"{base}/state", f"{base}/log", compact_every=2),
+    )
+    return st.running_best(spark, f"{base}/state").select("domain", *RESULT, "occurrences")
+
+
+def stream_evidence(spark, d):
+    """Evidence of allowed pages as a stream writes it, restarted in the midst."""
+    base = f"{checkpoint_dir(spark)}/evidence-{_fresh()}"
+    rules = materialize(rb.robots_rules(derive(spark, d, "d_robots")))
+    pages = _site_pages(spark, d).select("page_id", "url", "html", "status")
+    _arrive(
+        spark, base, [pages.where("page_id % 3 = 0"), pages.where("page_id % 3 > 0")],
+        lambda s: st.stream_evidence(s, f"{base}/out", f"{base}/log", rules=rules),
+    )
+    return spark.read.parquet(f"{base}/out").select(
+        "page_id", "email", "source_type", "obf_method", "confidence", "email_type", "discovery_method", "pos"
+    )
+
+
+def stream_enriched_leads(spark, d):
+    """Leads enriched as they arrive in two files, from candidates that a stream of pages has counted."""
+    base = f"{checkpoint_dir(spark)}/enriched-{_fresh()}"
+    pages = _site_pages(spark, d).select("page_id", "url", "html", "status")
+    _arrive(
+        spark, f"{base}/pages", [pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1")],
+        lambda s: st.stream_running_best(s, f"{base}/state", f"{base}/pages-log", compact_every=2),
+    )
+    leads = _leads(spark, d)
+    columns = [c for c in leads.columns if c != "row_index"]
+    _arrive(
+        spark, f"{base}/leads", [leads.where("row_index % 3 > 0"), leads.where("row_index % 3 = 0")],
+        lambda s: st.stream_enrichment(s, None, columns, f"{base}/out", f"{base}/done", f"{base}/leads-log", state=f"{base}/state"),
+    )
+    return spark.read.option("header", True).option("escape", '"').csv(f"{base}/out").drop("batch").na.fill("")
 
 
 def _fresh() -> str:
@@ -391,7 +431,7 @@ QUERIES = {
         sitemap_urls, crawl_queue, next_fetch, crawl_best,
         lead_targets, rejected_leads, indexed_rows, lead_file,
         enriched_leads, robots_enriched_leads, output_columns, fallback_contact,
-        run_summary, resume_remaining, progress_mark, stream_equals_batch,
+        run_summary, resume_remaining, progress_mark, stream_equals_batch, stream_evidence, stream_enriched_leads,
     )
 }
 QUERIES |= {

@@ -76,3 +76,45 @@ def test_streamed_enrichment(spark, tmp_path):
     rows = {r.Website: r.email for r in spark.read.option("header", True).csv(str(tmp_path / "out")).collect()}
     assert rows == {"s0.io": "info@s0.io", "s1.io": "info@s1.io", "none.io": None}
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 3
+
+
+def test_newer_captures_take_back_what_older_ones_added(spark, tmp_path):
+    """Four batches with recaptures: any compaction gives what one batch over the newest captures gives."""
+    old = [(i - 100, u, "<p>gone@old.org info@s1.io</p>") for i, u, _ in page_rows(12)]
+    rows = page_rows(12)
+    batches = [old[:8], rows[:6], old[8:] + rows[6:9], rows[9:]]
+    columns = ["domain", "email", "email_source", "confidence_score", "occurrences"]
+    domains = spark.createDataFrame([(f"s{i}.io",) for i in range(4)], "domain string")
+    want = as_set(en.best_by_domain(spark.createDataFrame(rows, PAGES_SCHEMA), domains), columns)
+    for every in (1, 3, 10):
+        folder, state = str(tmp_path / f"in{every}"), str(tmp_path / f"state{every}")
+        for batch in batches:
+            spark.createDataFrame(batch, PAGES_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+            st.stream_running_best(st.read_page_stream(spark, folder), state, str(tmp_path / f"log{every}"), compact_every=every).awaitTermination()
+        assert as_set(st.running_best(spark, state), columns) == want
+        base, deltas = st._parts(spark, state)
+        assert (base, deltas) == {1: (3, []), 3: (2, [3]), 10: (None, [0, 1, 2, 3])}[every]
+
+
+def test_steps_from_counted_candidates(spark, tmp_path):
+    """Two steps give what one run gives, and no page is there to be read."""
+    folder, state = str(tmp_path / "in"), str(tmp_path / "state")
+    write_files(spark, folder, page_rows(12))
+    st.stream_running_best(st.read_page_stream(spark, folder), state, str(tmp_path / "log"), compact_every=1).awaitTermination()
+    leads = spark.createDataFrame([(i, f"s{i % 5}.io") for i in range(8)], "row_index long, Website string")
+    want = as_set(en.enrich_captured(leads, spark.createDataFrame(page_rows(12), PAGES_SCHEMA)), ["Website", "email", "confidence_score"])
+    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
+    for step, most in (("first", 4), ("first", 4), ("second", 8)):
+        st.enrich_remaining(leads.where(f"row_index < {most}"), None, out, progress, step, state=state)
+    rows = spark.read.option("header", True).csv(out).na.fill("")
+    assert rows.count() == 8 and as_set(rows, ["Website", "email", "confidence_score"]) == want
+
+
+def test_robots_rules_in_a_stream(spark, tmp_path):
+    folder, rows = str(tmp_path / "in"), page_rows(12)
+    write_files(spark, folder, rows)
+    rules = spark.createDataFrame([("https://s1.io", "disallow", "/p"), ("https://s2.io", "disallow", "/contact"), ("https://s3.io", "disallow", "/")],
+                                  "origin string, kind string, value string").selectExpr("*", "0 as block_no", "1 as line_no")
+    st.stream_evidence(st.read_page_stream(spark, folder), str(tmp_path / "ev"), str(tmp_path / "log"), rules=rules).awaitTermination()
+    denied = lambda u: u.startswith("https://s1.io/p") or u == "https://s2.io/contact" or u.startswith("https://s3.io/")
+    assert {r.page_id for r in spark.read.parquet(str(tmp_path / "ev")).collect()} == {i for i, u, _ in rows if not denied(u)}
