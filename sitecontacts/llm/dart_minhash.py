@@ -8,7 +8,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sitecontacts.llm.common import batches
 from sitecontacts.llm.components import components
@@ -163,66 +163,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, size: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
 
 
-def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, size: int, block: int) -> DataFrame:
-    """Links between members (id, key) of one bucket that are not yet in one component, as a forest per tile.
+def _numbered(x: np.ndarray) -> np.ndarray:
+    """Shingles of one text as a set: the k-th repeat of a shingle is an element of its own."""
+    x = np.sort(x)
+    at = np.arange(len(x))
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    layer = at - np.maximum.accumulate(np.where(new, at, 0))
+    return np.where(layer > 0, _mix(x + layer.astype(np.uint64) * _G), x).view(np.int64)
+
 
-    Buckets of the same members are searched once. A bucket's largest component and its
-    other members are dealt into blocks by hash. A tile pairs a block of other members with
-    any block, so that the members of the largest component never meet each other, and no
-    tile holds more than about two blocks.
+def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Links between members (id, key) of buckets that are not yet in one component.
+
+    Two sets of similarity s share an element among the first n - ceil(s n) + 1 of each, in any order
+    that all sets follow; here rare elements come first, so that members that are alike, but not
+    enough, seldom meet. Only members of buckets with several components take part. An element's
+    members of its largest component never meet each other, only the others do. Pairs
+    of which one set is too small for the other are left out; the rest are checked on all elements.
     """
     rows = rows.join(groups.withColumnsRenamed({"node": "id"}), "id", "left").select(
         "id", "key", F.coalesce("component", "id").alias("c")
     )
-    sizes = rows.groupBy("key", "c").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("y")
-    )
-    plan = materialize(sizes.groupBy("key").agg(
-        F.count("*").alias("parts"), F.sum("n").alias("total"), F.max(F.struct("n", "c")).alias("main"),
-        F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"),
-    ).filter("parts > 1").groupBy("x", "y", "total").agg(F.min_by(F.struct("key", "main"), "key").alias("k")).select(
-        F.col("k.key").alias("key"), F.col("k.main.c").alias("main"), F.ceil(F.col("k.main.n") / block).cast("int").alias("nm"),
-        F.ceil((F.col("total") - F.col("k.main.n")) / block).cast("int").alias("no"),
-    ))
-    dealt = rows.join(plan, "key").withColumn("h", F.xxhash64("id")).withColumn(
-        "blk", F.when(F.col("c") == F.col("main"), F.pmod("h", F.col("nm"))).otherwise(F.col("nm") + F.pmod("h", F.col("no"))).cast("int")
-    )
-    other = F.explode(F.when(
-        F.col("blk") < F.col("nm"), F.sequence(F.col("nm"), F.col("nm") + F.col("no") - 1)
-    ).otherwise(F.sequence(F.lit(0), F.col("nm") + F.col("no") - 1))).alias("o")
-    tiles = dealt.select("id", "key", "c", "blk", other).select(
-        "id", "key", "c", "blk", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j")
-    ).join(texts, "id")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
-        group = group.drop_duplicates(["id", "text", "blk"])
-        hashes = _WordHashes()
-        sets = [np.sort(shingles([t], hashes, size)[1]) for t in group["text"]]
-        ids, parts, blocks = (group[c].tolist() for c in ("id", "c", "blk"))
-        root = {c: c for c in parts}
-
-        def find(c: int) -> int:
-            while root[c] != c:
-                root[c] = root[root[c]]
-                c = root[c]
-            return c
+    apart = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key")
+    members = rows.join(apart, "key", "left_semi").select("id", "c").distinct()
 
-        hits = []
-        for p in [p for p in range(len(ids)) if blocks[p] == i]:
-            for q in [q for q in range(len(ids)) if blocks[q] == j and (i != j or q > p)]:
-                small, large = sorted((len(sets[p]), len(sets[q])))
-                if find(parts[p]) != find(parts[q]) and small >= similarity * large and multiset_jaccard(sets[p], sets[q]) >= similarity:
-                    root[find(parts[p])] = find(parts[q])
-                    hits.append((ids[p], ids[q]))
-        return pd.DataFrame(hits, columns=["a", "b"]).astype("int64")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = _WordHashes()
+        for frame in frames:
+            sets = [_numbered(shingles([t], hashes, size)[1]) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "c": frame["c"], "s": sets})
 
-    return tiles.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint")
+    # the versions of an id that stands in several rows are sets of their own
+    sets = materialize(texts.join(members, "id").select("id", "c", "text").mapInPandas(run, "id bigint, c bigint, s array<bigint>")).withColumn(
+        "u", F.xxhash64("id", "s")
+    )
+    elements = sets.select("id", "u", "c", F.size("s").alias("n"), F.explode("s").alias("e"))
+    several = elements.withColumn("f", F.count("*").over(Window.partitionBy("e"))).filter("f > 1")
+    by_rarity = Window.partitionBy("u").orderBy("f", "e")
+    # elements of one set alone come first in its order and never meet another
+    alone = F.col("n") - F.count("*").over(Window.partitionBy("u"))
+    first = several.select("id", "u", "c", "n", "e", (alone + F.row_number().over(by_rarity)).alias("place"))
+    first = materialize(first.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1))
+    largest = first.groupBy("e", "c").agg(F.count("*").alias("m")).groupBy("e").agg(
+        F.max(F.struct("m", "c")).alias("l"), F.count("*").alias("parts")
+    ).filter("parts > 1").select("e", F.col("l.c").alias("main"))
+    mixed = first.join(largest, "e")
+    other = mixed.filter("c <> main").select("e", *[F.col(x).alias(f"{x}1") for x in ("u", "c", "n")])
+    small, large = F.least("n", "n1"), F.greatest("n", "n1")
+    pairs = mixed.join(other, "e").filter((F.col("c") != F.col("c1")) & (small >= F.lit(similarity) * large - 1e-9)).select(
+        F.least("u", "u1").alias("a"), F.greatest("u", "u1").alias("b")
+    ).distinct()
+    left, right = (sets.select(F.col("u").alias(x), F.col("id").alias(f"{x}_id"), F.col("s").alias(f"{x}_s")) for x in "ab")
+    shared = F.size(F.array_intersect("a_s", "b_s"))
+    alike = shared >= F.lit(similarity) * (F.size("a_s") + F.size("b_s") - shared) - 1e-9
+    return pairs.join(left, "a").join(right, "b").filter(alike).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def near_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5,
-    bands: int = 24, rows: int = 5, block: int = 128,
+    bands: int = 24, rows: int = 5,
 ) -> DataFrame:
     """(key, class_id) per row: class_id is the smallest key among the document's near copies and itself.
 
@@ -236,7 +236,7 @@ def near_documents(
 
     Texts of equal words are one node. In every bucket, members are checked against the
     member that shares most buckets, so a group of copies costs a pair per member. Members
-    still apart after that are compared in tiles, which lose no pair of a bucket.
+    still apart after that meet by the rarest elements of their sets, which loses no pair of a bucket.
     """
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).cast("string").alias("text"))
     signed = materialize(_signed(source.filter("id is not null"), bands, rows, size))
@@ -253,8 +253,9 @@ def near_documents(
     links = materialize(_verified(pairs, texts, similarity, size))
     groups = components(links)
     # a bucket's pivot has met all its members, so only the others can still miss a link
-    more = materialize(_across(spokes.select("id", "key"), groups, texts, similarity, size, block))
-    groups = components(links.unionByName(more))
+    more = materialize(_across(spokes.select("id", "key"), groups, texts, similarity, size))
+    if not more.isEmpty():
+        groups = components(links.unionByName(more))
     classes = named.select("id", "node").join(groups, "node", "left").groupBy("id").agg(F.min(F.coalesce("component", "node")).alias("class_id"))
     out = docs.select(F.col(key).alias("id")).join(classes, "id", "left")
     return out.select(F.col("id").alias(key), F.coalesce("class_id", "id").alias("class_id"))

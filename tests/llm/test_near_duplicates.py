@@ -94,14 +94,18 @@ def prose(seed=5):
     return texts
 
 
-@pytest.mark.parametrize("block", [8, 128])
-def test_documents_equal_brute_force(spark, block):
-    texts = prose()
+@pytest.mark.parametrize("changed", [0, 6, 12])
+def test_documents_equal_brute_force(spark, changed):
+    """Also with a group of texts that are alike, most of them not enough, and share many buckets."""
+    r = random.Random(changed)
+    base = [f"w{k}" for k in range(200)]
+    alike = [" ".join(f"x{r.randrange(10**6)}" if k in r.sample(range(200), changed // 3) else w for k, w in enumerate(base)) for _ in range(3 * changed)]
+    texts = prose() + alike
     frame = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, keys string").repartition(4)
     hashes = _WordHashes()
     sets = {i: np.sort(shingles([t], hashes)[1]) for i, t in enumerate(texts) if t and t.split()}
     links = [(a, b) for a in sets for b in sets if a < b and multiset_jaccard(sets[a], sets[b]) >= 0.8]
-    got = {r.doc_id: r.class_id for r in near_documents(frame, block=block).collect()}
+    got = {r.doc_id: r.class_id for r in near_documents(frame).collect()}
     assert got == classes(range(len(texts)), links)
 
 
