@@ -179,8 +179,9 @@ def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, similarity: fl
     Two sets of similarity s share an element among the first n - ceil(s n) + 1 of each, in any order
     that all sets follow; here rare elements come first, so that members that are alike, but not
     enough, seldom meet. Only members of buckets with several components take part. An element's
-    members of its largest component never meet each other, only the others do. Pairs
-    of which one set is too small for the other are left out; the rest are checked on all elements.
+    members of its largest component never meet each other, only the others do. Pairs of which one
+    set is too small for the other, or that have too little left from a shared element on, are
+    left out; the rest are checked on all elements.
     """
     rows = rows.join(groups.withColumnsRenamed({"node": "id"}), "id", "left").select(
         "id", "key", F.coalesce("component", "id").alias("c")
@@ -203,17 +204,19 @@ def _across(rows: DataFrame, groups: DataFrame, texts: DataFrame, similarity: fl
     by_rarity = Window.partitionBy("u").orderBy("f", "e")
     # elements of one set alone come first in its order and never meet another
     alone = F.col("n") - F.count("*").over(Window.partitionBy("u"))
-    first = several.select("id", "u", "c", "n", "e", (alone + F.row_number().over(by_rarity)).alias("place"))
+    first = several.select("u", "c", "n", "e", (alone + F.row_number().over(by_rarity)).alias("place"))
     first = materialize(first.filter(F.col("place") <= F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1))
     largest = first.groupBy("e", "c").agg(F.count("*").alias("m")).groupBy("e").agg(
         F.max(F.struct("m", "c")).alias("l"), F.count("*").alias("parts")
     ).filter("parts > 1").select("e", F.col("l.c").alias("main"))
     mixed = first.join(largest, "e")
-    other = mixed.filter("c <> main").select("e", *[F.col(x).alias(f"{x}1") for x in ("u", "c", "n")])
+    other = mixed.filter("c <> main").select("e", *[F.col(x).alias(f"{x}1") for x in ("u", "c", "n", "place")])
     small, large = F.least("n", "n1"), F.greatest("n", "n1")
-    pairs = mixed.join(other, "e").filter((F.col("c") != F.col("c1")) & (small >= F.lit(similarity) * large - 1e-9)).select(
-        F.least("u", "u1").alias("a"), F.greatest("u", "u1").alias("b")
-    ).distinct()
+    # at the first element that two sets share, all they can share comes from there on
+    most = F.least(F.col("n") - F.col("place"), F.col("n1") - F.col("place1")) + 1
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("n1")) - 1e-9
+    fits = (F.col("c") != F.col("c1")) & (small >= F.lit(similarity) * large - 1e-9) & (most >= needed)
+    pairs = mixed.join(other, "e").filter(fits).select(F.least("u", "u1").alias("a"), F.greatest("u", "u1").alias("b")).distinct()
     left, right = (sets.select(F.col("u").alias(x), F.col("id").alias(f"{x}_id"), F.col("s").alias(f"{x}_s")) for x in "ab")
     shared = F.size(F.array_intersect("a_s", "b_s"))
     alike = shared >= F.lit(similarity) * (F.size("a_s") + F.size("b_s") - shared) - 1e-9
