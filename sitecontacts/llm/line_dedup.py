@@ -136,21 +136,22 @@ def dedup_lines(
     columns stay. Rows are told apart by key and text, so repeated rows, and null keys,
     lose the same lines. An empty table gives no rows.
     """
-    lines_name, dropped_name, h, gone, ls, keep = free_names(docs, "n_lines", "n_dropped", "h", "gone", "ls", "keep")
-    arrays = materialize(line_arrays(docs, key, text, depth))
+    lines_name, dropped_name, h, gone, ls, keep, fresh, id_, h_ = free_names(
+        docs, "n_lines", "n_dropped", "h", "gone", "ls", "keep", "fresh", "drop_id", "drop_h"
+    )
+    arrays = materialize(line_arrays(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, depth))
     lines = materialize(line_rows(arrays, copy_groups(arrays)))
     # a leaf of one text, or of too few lines, holds no recurring template
     leaves = lines.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
     crowded = materialize(lines.join(leaves.filter(F.col("several") & (F.col("c") >= _least("n", min_contexts))).select("leaf"), "leaf", "left_semi"))
     templates = recurring_templates(crowded, depth, min_contexts, constant)
-    drops = crowded.join(templates, ["leaf", "whole"]).select(F.col("id").alias("_id"), F.col("h").alias("_h"), "line").distinct()
-    drops = drops.groupBy("_id", "_h").agg(F.collect_list("line").alias(gone))
+    drops = crowded.join(templates, ["leaf", "whole"]).select(F.col("id").alias(id_), F.col("h").alias(h_), "line").distinct()
+    drops = drops.groupBy(id_, h_).agg(F.collect_list("line").alias(gone))
     df = docs.withColumn(h, F.xxhash64(F.lit(3), F.col(text)))
-    df = df.join(drops, F.col(key).eqNullSafe(F.col("_id")) & (F.col(h) == F.col("_h")), "left")
+    df = df.join(drops, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(h_)), "left")
     df = df.withColumn(ls, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
     df = df.withColumn(keep, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone))
     left = F.array_join(F.transform(keep, lambda i: F.get(F.col(ls), i)), "\n")
-    (fresh,) = free_names(df, "fresh")
     df = settled(
         df, docs.columns, **{fresh: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left),
                              lines_name: F.size(ls).cast("bigint"), dropped_name: F.coalesce(F.size(gone), F.lit(0)).cast("bigint")},

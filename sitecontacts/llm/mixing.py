@@ -79,7 +79,10 @@ def mix(
     """
     tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE[1:]}+")).cast("bigint") if tokens is None else tokens
     domain = domain_of(F.col("source")) if domain is None else domain
-    n, dom, key, ep, last = free_names(docs, "n_tokens", "domain", "order_key", "epoch", "last")
+    n, dom, key, ep, last, last_e, *last_levels = free_names(
+        docs, "n_tokens", "domain", "order_key", "epoch", "last", "last_e", *[f"last_{v}" for v in _LEVELS]
+    )
+    last_of = dict(zip(_LEVELS, last_levels, strict=True))
     names = {dom: "domain", "lang": "lang", "source": "source"}
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(ep).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     rows = docs.withColumn(dom, domain).withColumn(ep, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn(key, order)
@@ -111,11 +114,11 @@ def mix(
     bound = F.when(F.col("b").isNull(), "g").otherwise(F.coalesce("k", F.lpad(F.lower(F.hex("b")), _DIGITS, "0")))
     # written, so that Spark knows its size and sends it to the documents where it is small
     bounds = materialize(limits.join(ends, [*_LEVELS, "e"], "left").select(
-        *[F.col(v).alias(f"{last}_{v}") for v in _LEVELS], F.col("e").alias(f"{last}_e"), bound.alias(last)
+        *[F.col(v).alias(last_of[v]) for v in _LEVELS], F.col("e").alias(last_e), bound.alias(last)
     ))
-    test = (F.col(ep) == F.col(f"{last}_e")) & (F.col(key) <= F.col(last))
+    test = (F.col(ep) == F.col(last_e)) & (F.col(key) <= F.col(last))
     for c, v in names.items():
-        test &= F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(f"{last}_{v}")
+        test &= F.coalesce(F.col(c).cast("string"), F.lit("")) == F.col(last_of[v])
     return rows.join(bounds, test).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(dom), tokens.alias(n), F.col(ep))
 
 
