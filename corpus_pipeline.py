@@ -23,31 +23,45 @@ def _as_documents(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the newest policy of the quality rules."""
+    """Documents that pass the newest policy of the quality rules.
+
+    Null and empty texts fail them. Rows are judged alone, so repeated rows share their fate.
+    Like every stage, this one keeps all columns, whatever their names, and gives no rows for none.
+    """
     df, bits, _ = ledger(docs)
     return df.filter(passes(F.col(bits), POLICIES["v2"])).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; those left without a word go."""
+    """Documents without lines of recurring templates; those left without a word by that go.
+
+    Null and empty texts have no line and stay; repeated rows lose the same lines.
+    """
     df, _, dropped = dedup_lines(docs)
     return _as_documents(with_words_left(df, dropped), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows without an id, and all rows of an id that stays, are kept; so are texts without a word.
+    """
     (chosen,) = free_names(docs, "chosen")
     kept = near_documents(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(chosen)).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(chosen)), "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The default mixture over 80 % of all words, each document at most once."""
+    """The default mixture over 80 % of all words, each document at most once.
+
+    A null text has no words but its place in the order; null languages and sources count as
+    empty names; rows that tie in the order are taken together or not at all.
+    """
     return mix(docs, percent=80).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the chosen documents in windows of 4096 tokens."""
+    """Pieces of the chosen documents in windows of 4096 tokens; null and empty texts have the end id only."""
     return pack(docs)
 
 
