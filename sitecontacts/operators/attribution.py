@@ -35,6 +35,12 @@ def attribute_hosts(by_host: DataFrame, domains: DataFrame) -> DataFrame:
     return sc.merge_candidates(matched.drop("_s").repartition("domain", "email"), ["domain"])
 
 
+def hosts_of(hosts: DataFrame, domains: DataFrame) -> DataFrame:
+    """The hosts that are a target domain or below one: hosts(host), domains(domain) to (host)."""
+    parents = hosts.select("host", F.explode(ur.host_suffixes(F.col("host"))).alias("domain"))
+    return parents.join(domains.select("domain").distinct(), "domain", "left_semi").select("host").distinct()
+
+
 def attribute_candidates(page_emails: DataFrame, domains: DataFrame) -> DataFrame:
     """Counted candidates per target domain.
 

@@ -88,6 +88,24 @@ def join_best(
     )
 
 
+#: Hosts of targets, at most about 100 bytes each, that are sent to the pages.
+_FEW_HOSTS = 200_000
+
+
+def pages_of(pages: DataFrame, domains: DataFrame, few: int = _FEW_HOSTS) -> DataFrame:
+    """Pages whose host belongs to a target, where the targets' hosts are few; else all pages.
+
+    The hosts come from the URL column alone. Up to `few` of them are broadcast, so that the text of
+    other pages is not even read from columns; beyond it, a filter would shuffle the texts
+    and spare little, and candidates meet their targets after extraction anyway.
+    """
+    host = ur.url_host(F.col("url"))
+    hosts = materialize(at.hosts_of(pages.select(host.alias("host")).distinct(), domains))
+    if hosts.count() > few:
+        return pages
+    return pages.join(F.broadcast(hosts.withColumnRenamed("host", "_host")), host == F.col("_host"), "left_semi")
+
+
 def best_by_domain(
     pages: DataFrame, domains: DataFrame, options: Options = Options(), rules: DataFrame | None = None
 ) -> DataFrame:
@@ -97,7 +115,7 @@ def best_by_domain(
     denies count as not captured; both are taken out after extraction, where rows no
     longer carry the page text.
     """
-    usable = usable_pages(pages)
+    usable = pages_of(usable_pages(pages), domains)
     page_emails = ev.dedupe_page_emails(ev.explode_evidence(ev.with_evidence(usable, options)))
     page_emails = page_emails.join(newest_pages(usable).select("page_id"), "page_id", "left_semi")
     if rules is not None and options.respect_robots:

@@ -491,7 +491,7 @@ SELECT t.row_index, CASE WHEN r.email IS NOT NULL THEN r.email WHEN ok.d IS NOT
  CASE WHEN r.email IS NOT NULL THEN {method('r.url')} WHEN ok.d IS NOT NULL THEN 'fallback-hello' ELSE '' END AS discovery_method
 FROM targets t LEFT JOIN ranked r ON r.site_key = {norm_domain('t.site')} AND r.rank = 1
 LEFT JOIN ok ON ok.d = {norm_domain('t.site')}"""
-    o["lead_file"] = f"""SELECT Name, Segment, trim(Website) AS Website, trim(url_hint) AS url_hint FROM ({D('d_leads')}) l"""
+    o["lead_file"] = f"""SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, Name, Segment, trim(Website) AS Website, trim(url_hint) AS url_hint FROM ({D('d_leads')}) l"""
     denied = DENIED.format(t="site_pages")
     o["robots_enriched_leads"] = f"""WITH {robots_ctes()}, {usable_rank.replace("status < 500)", f"status < 500 AND NOT EXISTS ({denied}))")}
 SELECT t.row_index, t.Name, t.Segment, t.Website, t.url_hint, {result}

@@ -10,10 +10,10 @@ from sitecontacts.functions.columns import browser_trim
 
 
 def read_leads(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Read a lead CSV with its own header; adds `row_index`, the 0-based row position.
+    """Read lead CSV files with their own header; adds `row_index`, the 0-based row position.
 
-    Quoted line breaks need `multi_line`, which keeps a file in one task; turn it off
-    for large files without them.
+    Files follow each other by name, whatever their sizes. Quoted line breaks need `multi_line`,
+    which keeps a file in one task; turn it off for large files without them.
     """
     rows = (
         spark.read.option("header", True)
@@ -23,25 +23,36 @@ def read_leads(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
         .option("ignoreTrailingWhiteSpace", True)
         .csv(path)
     )
-    return index_rows(rows.select(*[F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in rows.columns]))
+    values = [F.coalesce(F.col(quoted(c)), F.lit("")).alias(c) for c in rows.columns]
+    place = _unused(rows.columns, "_place")
+    block = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return index_rows(rows.select(*values, block.alias(place)), place)
 
 
-def index_rows(rows: DataFrame) -> DataFrame:
-    """Add `row_index` in reading order: position in the partition plus rows before it.
+def _unused(columns: list[str], name: str) -> str:
+    while name in columns:
+        name = f"_{name}"
+    return name
 
-    The offsets have one row per partition, so broadcasting them is bounded by the
-    number of tasks, not by the data.
+
+def index_rows(rows: DataFrame, place: str | None = None) -> DataFrame:
+    """Add `row_index` in reading order: position in a stretch of rows plus rows before it.
+
+    A stretch is a partition or, with `place`, the rows of one place: a task reads several files
+    in an order of its own, so a file's block is what keeps its order. Places are sorted. The
+    offsets have one row per stretch, so broadcasting them is bounded by the number of file
+    blocks and tasks, not by the data.
     """
-    placed = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn(
-        "_part", F.shiftright(F.col("_id"), 33)
-    )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    kept = [c for c in rows.columns if c != place]
+    row, stretch, first, before = (_unused(rows.columns, c) for c in ("_row", "_stretch", "_first", "_before"))
+    placed = rows.withColumn(row, F.monotonically_increasing_id())
+    placed = placed.withColumn(stretch, F.shiftright(F.col(row), 33) if place is None else F.col(place))
+    sizes = placed.groupBy(stretch).agg(F.count("*").alias("n"), F.min(row).alias(first))
+    earlier = Window.orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(stretch, first, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
     return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn("row_index", F.col("_id") - F.shiftleft(F.col("_part"), 33) + F.col("_before"))
-        .select("row_index", *[F.col(quoted(c)) for c in rows.columns])
+        placed.join(F.broadcast(offsets), stretch)
+        .select((F.col(row) - F.col(first) + F.col(before)).alias("row_index"), *[F.col(quoted(c)) for c in kept])
     )
 
 

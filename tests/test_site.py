@@ -314,3 +314,24 @@ def test_a_target_may_be_a_parent_or_have_one_label(spark):
     domains = spark.createDataFrame([("acme.com",), ("b.acme.com",), ("com",), ("cme.com",)], "domain string")
     got = {(r.domain, r.email) for r in at.attribute_candidates(emails, domains).collect()}
     assert got == {("acme.com", "x@acme.com"), ("b.acme.com", "x@acme.com"), ("com", "x@acme.com"), ("com", "y@q.com")}
+
+
+def test_rows_of_several_files_keep_their_order(spark, tmp_path):
+    """Files of unequal sizes share a task and are read by size, but are numbered by name."""
+    at = 0
+    for name, n in (("a", 3), ("b", 400), ("c", 1), ("d", 90)):
+        (tmp_path / f"{name}.csv").write_text("id,_place,Website\n" + "".join(f"{at + i},p,s{at + i}.io\n" for i in range(n)))
+        at += n
+    got = ld.read_leads(spark, str(tmp_path), multi_line=False).collect()
+    assert len(got) == at and all(r.row_index == int(r.id) and r["_place"] == "p" for r in got)
+
+
+def test_only_pages_of_targets_are_extracted(spark):
+    pages = spark.createDataFrame(
+        [(i, f"https://{h}/p{i}", f"<p>info@{h}</p>") for i, h in enumerate(["s0.io", "docs.s0.io", "s1.io", "s2.io", "www.s1.io"] * 3)],
+        "page_id long, url string, html string")
+    domains = spark.createDataFrame([("s0.io",), ("s1.io",), ("none.io",)], "domain string")
+    some, everything = en.pages_of(pages, domains), en.pages_of(pages, domains, few=0)
+    assert {r.page_id % 5 for r in some.collect()} == {0, 1, 2, 4} and everything.count() == 15
+    best = lambda ps: {(r.domain, r.email, r.occurrences) for r in en.best_by_domain(ps, domains).collect()}
+    assert best(pages) == {("s0.io", "info@s0.io", 3), ("s1.io", "info@s1.io", 3)}
