@@ -55,27 +55,24 @@ def _initial_queue(sites: DataFrame, seeds: DataFrame | None) -> DataFrame:
 
 
 def expand_level(
-    queue: DataFrame, page_links: DataFrame, depth: int, options: Options, rules: DataFrame | None
+    queue: DataFrame, level: DataFrame, queued: DataFrame, page_links: DataFrame, depth: int, options: Options
 ) -> DataFrame:
     """Queue rows that visiting the pages of one depth adds.
 
-    page_links(src_url, url, link_rank) holds the distinct links of captured pages.
-    New rows are ranked per parent page, so no task sorts all URLs of a site.
+    `level` holds the queue rows of that depth, queued(site_key, _queued) the length of the queue of
+    their sites. page_links(src_url, url, link_rank) holds the distinct links of captured pages
+    that may be visited. New rows are ranked per parent page, so no task sorts all URLs of a site.
     """
-    parents = visited_pages(queue, options).where(F.col("depth") == depth).select(
+    parents = visited_pages(level, options).select(
         "site_key", "domain", F.col("url").alias("src_url"), F.col("visit_rank").alias("parent_rank")
     )
-    links = page_links.select("src_url", "url", "link_rank")
-    children = parents.join(links, "src_url").where(
+    children = parents.join(page_links.select("src_url", "url", "link_rank"), "src_url").where(
         ur.is_internal_url(F.col("url"), F.col("domain"))
     )
-    if rules is not None:
-        children = allowed_urls(children, rules)
     first = children.groupBy("site_key", "domain", "url").agg(
         F.min(F.struct("parent_rank", "link_rank", "src_url")).alias("f")
     ).select("site_key", "domain", "url", "f.*")
     new = first.join(queue.select("site_key", "url"), ["site_key", "url"], "left_anti")
-    queued = queue.groupBy("site_key").agg(F.count("*").alias("_queued"))
     ranked = rank_within(new, ["site_key"], {"parent": F.col("parent_rank")}, [F.col("link_rank")], "_n")
     added = ranked.join(queued, "site_key").select(
         "site_key", "domain", "url", F.lit(depth + 1).alias("depth"), F.col("src_url").alias("referrer"),
@@ -97,21 +94,25 @@ def build_frontier(
 
     sites(site_key, domain, start_url); page_links(src_url, url, link_rank), one row
     per distinct link of a captured page. The result has QUEUE_COLUMNS. With `rules`,
-    denied URLs are never queued; a site whose start page is denied has no queue.
+    denied URLs are never queued; a site whose start page is denied has no queue. Rules meet
+    the links once, before the first level. A level reads its own rows only, and a site's
+    queue is as long as its last rank, which the rows of a level hold; the rows of earlier levels
+    are read by key alone, to leave out what is queued already.
     """
-    if not options.respect_robots:
-        rules = None
-    if rules is not None:
+    if rules is not None and options.respect_robots:
         sites = allowed_urls(sites, rules, "start_url")
         seeds = None if seeds is None else allowed_urls(seeds, rules)
-    queue = materialize(_initial_queue(sites, seeds))
-    depth = 0
+        page_links = materialize(allowed_urls(page_links, rules))
+    queue = initial = materialize(_initial_queue(sites, seeds))
+    level, longest, depth = initial.where("depth = 0"), initial, 0
     while options.max_depth is None or depth < options.max_depth:
-        added = materialize(expand_level(queue, page_links, depth, options, rules))
+        queued = longest.groupBy("site_key").agg(F.max("visit_rank").alias("_queued"))
+        added = materialize(expand_level(queue, level, queued, page_links, depth, options))
         # sitemap seeds have depth 1 already, so their links still wait after an empty first level
         if added.isEmpty() and depth > 0:
             break
         queue = queue.unionByName(added)
+        level = longest = added if depth else added.unionByName(initial.where("depth = 1"))
         depth += 1
     return queue
 
