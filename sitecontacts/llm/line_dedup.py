@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitecontacts.llm.common import SPACE, free_names, has_word, settled, words_of
@@ -16,8 +14,8 @@ _FIELD = rf"(?<!{_TOKEN})[^0-9{SPACE[1:]}*+[0-9]{_TOKEN}*"
 _SEGMENTS = 4
 #: A masked line of so many words recurs from two different documents on.
 _LONG = 50
-#: MinHash i of a document is its smallest part after exclusive or with constant i.
-_NEAR = [int.from_bytes(hashlib.sha256(bytes([i])).digest()[:8], "big", signed=True) for i in range(16)]
+#: Words of a shingle, shingle hashes in a document's sketch, and bands of two neighbouring ones each.
+_SHINGLE, _SKETCH, _BANDS = 5, 128, 10
 
 
 def _segments(w: Column, depth: int) -> list[Column]:
@@ -28,44 +26,53 @@ def _segments(w: Column, depth: int) -> list[Column]:
 
 
 def line_arrays(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """One row per document with a word: its lines, the parts they are made of, and band keys of these parts.
+    """One row per document with a word: its lines, a sketch of its shingles, and band keys of the sketch.
 
     The tree has fixed depth: a node per token count, then one per leading token, variable
     fields masked. `leaf` is the path; `whole` the masked line; s0 to s3 stand for the
-    segments of its remaining tokens (null if empty). The parts of a document are the
-    leading tokens and segments of all its lines; each band key is made of two of their
-    MinHashes (the part nearest to a constant).
+    segments of its remaining tokens (null if empty). Shingles are five masked tokens of one
+    line (a shorter line is one shingle); the sketch holds the smallest hashes of all of a
+    document's shingles, and each band key is made of two neighbours in it.
     """
-    (t,) = free_names(docs, "t")
-    masked = F.transform(
-        F.split(F.coalesce(F.col(text), F.lit("")), "\n"),
-        lambda line: words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line)),
-    )
+    def masked(line: Column) -> Column:
+        return words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line))
 
     def place(w: Column, i: Column) -> Column:
-        lead = F.slice(w, 1, depth)
         return F.struct(
-            i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), lead).alias("leaf"), F.xxhash64(w).alias("whole"), F.xxhash64(lead).alias("lead"),
+            i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, depth)).alias("leaf"), F.xxhash64(w).alias("whole"),
             *[F.when(F.size(s) > 0, F.xxhash64(s)).alias(f"s{q}") for q, s in enumerate(_segments(w, depth))],
         )
 
-    df = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), masked.alias(t))
-    df = df.withColumn(t, F.filter(F.transform(t, place), lambda p: p["n"] > 0)).filter(F.size(t) > 0)
-    df = settled(df, ["id", "h"], lines=F.col(t))
-    parts = F.array_distinct(F.array_compact(F.concat(*[F.col(f"lines.{c}") for c in ("lead", *[f"s{q}" for q in range(_SEGMENTS)])])))
-    df = settled(df, ["id", "h", "lines"], parts=parts)
+    def shingles(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - _SHINGLE + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, _SHINGLE)))
+
+    df = settled(docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), F.col(text).alias("body")).filter(has_word(F.col("body"))),
+                 ["id", "h"], words=F.transform(F.split("body", "\n"), masked))
+    sketch = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform("words", shingles)))), 1, _SKETCH)
+    df = settled(df, ["id", "h"], lines=F.filter(F.transform("words", place), lambda p: p["n"] > 0), sketch=sketch)
+    first = F.slice("sketch", 1, F.greatest(F.least(F.size("sketch") - 1, F.lit(_BANDS)), F.lit(1)))
+    return df.withColumn("bands", F.transform(first, lambda x, i: F.xxhash64(x, F.get("sketch", i + 1))))
 
-    def nearest(constant: int) -> Column:
-        return F.array_min(F.transform("parts", lambda p: p.bitwiseXOR(F.lit(constant))))
 
-    return df.withColumn("bands", F.array(*[F.xxhash64(F.lit(b), *map(nearest, _NEAR[b: b + 2])) for b in range(0, len(_NEAR), 2)]))
+def similarity(a: Column, b: Column) -> Column:
+    """Share of common shingles among all of two documents, from their sketches.
+
+    The smallest hashes of both together are a random choice of all their shingles. Where
+    both sketches hold every shingle of their documents the share is exact.
+    """
+    both = F.array_union(a, b)
+    whole = (F.size(a) < _SKETCH) & (F.size(b) < _SKETCH)
+    seen = F.when(whole, both).otherwise(F.slice(F.sort_array(both), 1, _SKETCH))
+    return F.size(F.array_intersect(F.array_intersect(a, b), seen)) / F.size(seen)
 
 
-def copy_groups(arrays: DataFrame, similarity: float = 0.5) -> DataFrame:
+def copy_groups(arrays: DataFrame, least: float = 0.7) -> DataFrame:
     """(node, component) of texts, by hash, that are near copies of others; texts that are alone are left out.
 
-    Texts that share a band meet the member of it that shares most bands. They are linked if
-    at least `similarity` of the parts of both together are in both, checked on all parts.
+    Texts that share a band meet the member of it that shares most bands. They are linked
+    from a similarity of `least` on; it lies below 0.8 as sketches err by 0.04 (one sigma).
+    Documents that share boilerplate only are below it unless that is most of their words.
     """
     bands = arrays.select("h", "bands").dropDuplicates(["h"]).select("h", F.explode("bands").alias("band"))
     crowded = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
@@ -73,10 +80,9 @@ def copy_groups(arrays: DataFrame, similarity: float = 0.5) -> DataFrame:
     central = multi.groupBy("h").agg(F.sum("n").alias("w"))
     pivots = multi.join(central, "h").groupBy("band").agg(F.max(F.struct("w", "h")).alias("p")).select("band", F.col("p.h").alias("b"))
     pairs = multi.join(pivots, "band").filter("h <> b").select(F.col("h").alias("a"), "b").distinct()
-    parts = materialize(arrays.select("h", "parts").join(central.select("h"), "h", "left_semi").dropDuplicates(["h"]))
-    both = pairs.join(parts.select(F.col("h").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("h").alias("b"), F.col("parts").alias("pb")), "b")
-    shared = F.size(F.array_intersect("pa", "pb"))
-    return components(both.filter(shared >= similarity * (F.size("pa") + F.size("pb") - shared)).select("a", "b"))
+    sketches = materialize(arrays.select("h", "sketch").join(central.select("h"), "h", "left_semi").dropDuplicates(["h"]))
+    both = pairs.join(sketches.select(F.col("h").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("h").alias("b"), F.col("sketch").alias("sb")), "b")
+    return components(both.filter(similarity(F.col("sa"), F.col("sb")) >= least).select("a", "b"))
 
 
 def line_rows(arrays: DataFrame, groups: DataFrame) -> DataFrame:
@@ -125,6 +131,20 @@ def recurring_templates(lines: DataFrame, depth: int, min_contexts: int, constan
     return whole.unionByName(tried.join(recurs.select("leaf", "key"), ["leaf", "key"], "left_semi").select("leaf", "whole")).distinct()
 
 
+def open_lead_lines(lines: DataFrame, depth: int, min_contexts: int, constant: float) -> DataFrame:
+    """The lines below the wildcard child of every leading token: whatever these are, the rest recurs.
+
+    Only where the remaining tokens alone make at least `constant` of a line. Any template
+    that keeps some leading tokens and this rest is part of the one that keeps none.
+    """
+    rest = F.when(F.col("n") - depth >= F.lit(constant) * F.col("n"), F.xxhash64("n", *[f"s{q}" for q in range(_SEGMENTS)]))
+    ending = lines.withColumn("rest", rest).filter(F.col("rest").isNotNull())
+    seen = ending.groupBy("rest").agg(F.count("*").alias("c"), (F.min("doc") < F.max("doc")).alias("several"))
+    ending = materialize(ending.join(seen.filter(F.col("several") & (F.col("c") >= min_contexts)).select("rest"), "rest", "left_semi").select("id", "h", "doc", "line", "rest"))
+    recurs = ending.groupBy("rest", "doc").agg(F.lit(1)).groupBy("rest").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts)
+    return ending.join(recurs.select("rest"), "rest", "left_semi").select("id", "h", "line")
+
+
 def dedup_lines(
     docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = 3, min_contexts: int = 5, constant: float = 0.6
 ) -> tuple[DataFrame, str, str]:
@@ -141,12 +161,12 @@ def dedup_lines(
     )
     arrays = materialize(line_arrays(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, depth))
     lines = materialize(line_rows(arrays, copy_groups(arrays)))
-    # a leaf of one text, or of too few lines, holds no recurring template
-    leaves = lines.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
+    # a leaf of one document and its near copies, or of too few lines, holds no recurring template
+    leaves = lines.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("c"), (F.min("doc") < F.max("doc")).alias("several"))
     crowded = materialize(lines.join(leaves.filter(F.col("several") & (F.col("c") >= _least("n", min_contexts))).select("leaf"), "leaf", "left_semi"))
     templates = recurring_templates(crowded, depth, min_contexts, constant)
-    drops = crowded.join(templates, ["leaf", "whole"]).select(F.col("id").alias(id_), F.col("h").alias(h_), "line").distinct()
-    drops = drops.groupBy(id_, h_).agg(F.collect_list("line").alias(gone))
+    drops = crowded.join(templates, ["leaf", "whole"]).select("id", "h", "line").unionByName(open_lead_lines(lines, depth, min_contexts, constant)).distinct()
+    drops = drops.select(F.col("id").alias(id_), F.col("h").alias(h_), "line").groupBy(id_, h_).agg(F.collect_list("line").alias(gone))
     df = docs.withColumn(h, F.xxhash64(F.lit(3), F.col(text)))
     df = df.join(drops, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(h_)), "left")
     df = df.withColumn(ls, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))

@@ -1,41 +1,53 @@
 """Recurring line templates on small tables."""
 
+import collections
+import itertools
 import random
 import re
 
-from sitecontacts.llm.line_dedup import dedup_lines, line_dedup, with_words_left
+from sitecontacts.llm.line_dedup import copy_groups, dedup_lines, line_arrays, line_dedup, with_words_left
+
+
+def masked_lines(text):
+    split = (re.split("[ \t\x0b\x0c\r\n]+", line) for line in (text or "").split("\n"))
+    return [["<*>" if re.search("[0-9]", t) else t for t in w if t] for w in split]
+
+
+def shingles(text):
+    return {tuple(w[i: i + 5]) for w in masked_lines(text) if w for i in range(max(len(w) - 4, 1))}
+
+
+def documents(texts, least=0.7):
+    """One number for every text and its near copies, by comparing all pairs."""
+    sets, number = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if sets[i] and number[i] != number[j] and len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+            old, new = number[j], number[i]
+            number = [new if n == old else n for n in number]
+    return number
 
 
 def brute(texts, depth=3, least=5, constant=0.6):
-    space = "[ \t\x0b\x0c\r\n]+"
-    rows = []
-    for text in texts:
-        lines = []
-        for i, line in enumerate((text or "").split("\n")):
-            w = ["<*>" if re.search("[0-9]", t) else t for t in re.split(space, line) if t]
-            if w:
-                lines.append((i, w))
-        for k, (i, w) in enumerate(lines):
-            ctx = (tuple(lines[k - 1][1][:depth]) if k else 0, tuple(lines[k + 1][1][:depth]) if k + 1 < len(lines) else 0)
-            rest = max(len(w) - depth, 0)
-            ends = [depth + rest * q // 4 for q in range(5)]
-            rows.append((text, i, tuple(w), (len(w), tuple(w[:depth])), [tuple(w[a:b]) for a, b in zip(ends, ends[1:])], ctx))
-    def recurs(group):
-        contexts, pairs = {r[5] for r in group}, {(r[5], r[0], r[2]) for r in group}
-        return len(contexts) >= least and 2 * len(contexts) >= len(pairs)
-
-    drop = set()
-    for leaf in {r[3] for r in rows}:
-        group = [r for r in rows if r[3] == leaf]
-        if len(group) < least or len({r[0] for r in group}) < 2:
-            continue
-        same = min(leaf[0], depth) + sum(len(group[0][4][q]) for q in range(4) if len({r[4][q] for r in group}) == 1)
-        general = recurs(group) and same >= constant * leaf[0]
-        for whole in {r[2] for r in group}:
-            part = [r for r in group if r[2] == whole]
-            if general or recurs(part):
-                drop |= {(r[0], r[1]) for r in part}
-    return ["\n".join(x for i, x in enumerate(t.split("\n")) if (t, i) not in drop) if t and any((t, i) in drop for i in range(t.count("\n") + 1)) else t for t in texts]
+    found = collections.defaultdict(set)  # template -> documents
+    held = collections.defaultdict(set)  # template -> lines
+    for at, (text, doc) in enumerate(zip(texts, documents(texts))):
+        for i, w in enumerate(masked_lines(text)):
+            n, lead, rest = len(w), tuple(w[:depth]), w[depth:]
+            if not n:
+                continue
+            parts = [tuple(rest[len(rest) * q // 4: len(rest) * (q + 1) // 4]) for q in range(4)]
+            keys = [("line", n >= 50, tuple(w))]
+            for kept in itertools.product([True, False], repeat=4):
+                same = min(n, depth) + sum(len(p) for p, k in zip(parts, kept) if k)
+                if not all(kept) and same >= constant * n and all(p or k for p, k in zip(parts, kept)):
+                    keys.append(("parts", False, n, lead, tuple(p if k else None for p, k in zip(parts, kept))))
+            if n - depth >= constant * n:
+                keys.append(("rest", False, n, tuple(rest)))
+            for key in keys:
+                found[key].add(doc)
+                held[key].add((at, i))
+    drop = {x for key, docs in found.items() if len(docs) >= (2 if key[1] else least) for x in held[key]}
+    return ["\n".join(x for i, x in enumerate(t.split("\n")) if (at, i) not in drop) if t else t for at, t in enumerate(texts)]
 
 
 def prose(seed=2):
@@ -149,3 +161,43 @@ def test_long_lines_recur_from_two_documents_on(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
     got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
     assert [got[i] for i in range(4)] == [t.replace(passage + "\n", "") for t in texts]
+
+
+def test_boilerplate_that_outweighs_the_own_line(spark):
+    r = random.Random(8)
+    block = ["Share this story with all friends", "Sign up for the daily letter", "Follow the editors on every channel"]
+    own = [own_lines(r, 1)[0] for _ in range(40)]
+    frame = spark.createDataFrame([(i, "\n".join([*block, o])) for i, o in enumerate(own)], "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x for x in line_dedup(frame).collect()}
+    assert [got[i].text for i in range(40)] == own and sum(x.n_dropped for x in got.values()) == 120
+
+
+def test_leading_tokens_may_vary(spark):
+    r = random.Random(9)
+    texts, want = [], []
+    for _ in range(40):
+        names = ["".join(r.choices("uvwxyz", k=6)) for _ in range(2)]
+        own = own_lines(r, 3)
+        texts.append("\n".join([own[0], f"By {names[0]} {names[1]} staff writer of the daily paper", *own[1:]]))
+        want.append("\n".join(own))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x.text for x in line_dedup(frame).collect()}
+    assert [got[i] for i in range(40)] == want == brute(texts)
+
+
+def test_recall_of_near_copy_groups(spark):
+    """Pairs of one text with two words in a hundred changed, in long and in short lines, are one document."""
+    r = random.Random(10)
+    rows = []
+    for i in range(300):
+        words = ["".join(r.choices("abcdefghijklm", k=6)) for _ in range(400)]
+        other = [w if r.random() > 0.02 else "changed" + "".join(r.choices("xyz", k=4)) for w in words]
+        n = (10, 80, 400)[i % 3]
+        rows += [(2 * i + k, "\n".join(" ".join(ws[j: j + n]) for j in range(0, 400, n))) for k, ws in enumerate((words, other))]
+    arrays = line_arrays(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), "doc_id", "text", 3).cache()
+    group = {x.node: x.component for x in copy_groups(arrays).collect()}
+    h = {x.id: x.h for x in arrays.select("id", "h").collect()}
+    pairs = [(2 * i, 2 * i + 1) for i in range(300) if len(shingles(rows[2 * i][1]) & shingles(rows[2 * i + 1][1])) >= 0.8 * len(shingles(rows[2 * i][1]) | shingles(rows[2 * i + 1][1]))]
+    met = [h[a] == h[b] or h[a] in group and group[h[a]] == group.get(h[b]) for a, b in pairs]
+    assert len(pairs) > 100 and sum(met) >= 0.97 * len(met)
+    assert len(set(group.values())) == len({min(group[h[a]] for a in p if h[a] in group) for p in [(2 * i, 2 * i + 1) for i in range(300)] if any(h[a] in group for a in p)})
