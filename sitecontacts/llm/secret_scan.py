@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class CharacterClass:
-    """Candidate strings are whole runs of these characters; a window of `width` is a secret from `bits` on."""
+    """Candidate strings are runs of these characters; a window of `width` is a secret from `bits` on."""
 
     name: str
     characters: str
@@ -32,20 +32,23 @@ class CharacterClass:
     bits: float
 
 
-#: Bits are Shannon entropy per character over the counts of one window.
+#: Bits are Shannon entropy per character over the counts of one window. Random strings of a
+#: class lie above them in about 98 of 100 windows of that width.
 CLASSES = (
-    CharacterClass("hex", "0-9A-Fa-f", 24, 3.2),
-    CharacterClass("base64", "A-Za-z0-9+/_=-", 24, 4.0),
+    CharacterClass("hex", "0-9A-Fa-f", 16, 2.8),
+    CharacterClass("base64", "A-Za-z0-9+/_=-", 16, 3.25),
 )
 
-#: Candidates, or the windows in them, that are no secrets although they look random.
-ALLOWED = (
-    re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # universally unique ids
-    re.compile(r"[0-9_=+/-]+"),  # digits only: dates, phone and account numbers
-    re.compile(r"[A-Za-z][a-z]*(?:[_/+=-][A-Za-z]?[a-z]*)*"),  # plain words, hyphenated, or as a path
-    re.compile(r"(?i:.*(?:example|placeholder|changeme|dummy|lorem).*)"),
+# Parts of a run, between delimiters, that are no secrets although they look random.
+_PLAIN = re.compile(
+    r"(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}"  # words, also joined by capitals, with a short number behind
+    r"|[A-Za-z]?[a-z]*[0-9]+|[A-Z]+[0-9]*"  # numbers, with a word before; capitals
+    r"|(?i:.*(?:example|placeholder|changeme|dummy|lorem).*)"
 )
+#: The allow-list: universally unique ids, and plain parts of two characters and more. What it matches parts candidates.
+_ALLOWED = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])|[0-9A-Za-z]{2,}")
 
+_ENDS = "/+=_-"
 _UNIT = 1 << 40
 
 
@@ -83,11 +86,26 @@ def dense_windows(run: str, width: int, bits: float) -> Iterator[tuple[int, int]
 _RUNS = [(c, re.compile(f"(?<![{c.characters}])[{c.characters}]{{{c.width},}}")) for c in CLASSES]
 
 
+def candidates(run: str, width: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the stretches of a run, of `width` characters and more, that hold nothing the allow-list knows.
+
+    Parts of a run end at / + = _ and -, which stretches neither begin nor end with. A part is allowed as a whole or not at all, and hides itself only.
+    """
+    cuts = [m.span() for m in _ALLOWED.finditer(run) if "-" in m[0] or _PLAIN.fullmatch(m[0])]
+    for start, end in zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(run)], strict=True):
+        inner = run[start:end].rstrip(_ENDS)
+        end = start + len(inner)
+        start = end - len(inner.lstrip(_ENDS))
+        if end - start >= width:
+            yield start, end
+
+
 def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, entropy spans) of a whole text as (start, end, kind), sorted.
 
-    An entropy span that lies inside a base span, or that the allow-list matches as a
-    whole together with its run or alone, is suppressed; base spans always stay.
+    An entropy span that lies inside a base span or an earlier entropy span is suppressed, and so
+    is one that is plain as a whole; base spans always stay. Letters of one case alone, and strings
+    of fewer than 16 characters, are left to the base patterns.
     """
     base = [(*m.span(), "assign") for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
     base += [(*m.span(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
@@ -96,12 +114,10 @@ def spans_of(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int
     added: list[tuple[int, int, str]] = []
     for kind, pattern in _RUNS:
         for m in pattern.finditer(text):
-            if any(a.fullmatch(m[0]) for a in ALLOWED):
-                continue
-            for start, end in dense_windows(m[0], kind.width, kind.bits):
-                part = m[0][start:end]
-                if not any(a.fullmatch(part) for a in ALLOWED):
-                    added.append((m.start() + start, m.start() + end, "entropy"))
+            for low, high in candidates(m[0], kind.width):
+                for start, end in dense_windows(m[0][low:high], kind.width, kind.bits):
+                    if not _PLAIN.fullmatch(m[0][low + start: low + end]):
+                        added.append((m.start() + low + start, m.start() + low + end, "entropy"))
     out: list[tuple[int, int, str]] = []
     covered = at = 0  # ends of base spans up to the start, of the last added one
     for span in sorted(set(added), key=lambda s: (s[0], -s[1])):

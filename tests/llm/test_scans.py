@@ -42,8 +42,8 @@ def test_base_spans(spark):
         assert rows[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest(), t
         assert [rows[i].n_assign, rows[i].n_access, rows[i].n_hex] == [want.count(k) for k in ("assign:", "access:", "hex:")]
         assert set(want.split(",")) - {""} <= set(rows[i].spans.split(","))
-    assert [rows[i].n_entropy for i in range(20, 24)] == [1, 0, 0, 0]
-    assert rows[20].spans == "entropy:4:28"
+    assert [rows[i].n_entropy for i in range(20, 24)] == [1, 0, 0, 1]
+    assert rows[23].spans == "entropy:14:38" and rows[20].spans == "entropy:4:28"
     assert secret_scan(docs.filter("false")).collect() == []
 
 
@@ -59,7 +59,58 @@ def test_incremental_entropy_equals_recounting():
         assert {p for a, b in dense_windows(run, width, bits) for p in range(a, b)} == marked
 
 
-def test_allowed_strings_do_not_hide_base_spans():
+def plain_entropy(text):
+    """Entropy spans by the rule: allowed parts cut runs, windows are recounted, spans in others go."""
+    word = re.compile(r"(?:[A-Z]?[a-z]{2,})+[0-9]{0,4}|[A-Za-z]?[a-z]*[0-9]+|[A-Z]+[0-9]*|(?i:.*(?:example|placeholder|changeme|dummy|lorem).*)")
+    unique = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
+    found = []
+    for letters, bits in (("[0-9A-Fa-f]+", 2.8), ("[A-Za-z0-9+/_=-]+", 3.25)):
+        for run in re.finditer(letters, text):
+            cut = unique.sub(lambda m: "\0" * 36, run[0])
+            cut = re.sub(r"[^\0+/_=-]{2,}", lambda m: "\0" * len(m[0]) if word.fullmatch(m[0]) else m[0], cut)
+            for part in re.finditer(r"[^\0]+", cut):
+                inner = part[0].strip("+/_=-")
+                low = run.start() + part.start() + part[0].find(inner)
+                marked = set()
+                for i in range(len(inner) - 15):
+                    if -sum(c / 16 * math.log2(c / 16) for c in Counter(inner[i: i + 16]).values()) >= bits - 1e-9:
+                        marked |= set(range(i, i + 16))
+                for a in (p for p in marked if p - 1 not in marked):
+                    b = next(p for p in range(a, len(inner) + 1) if p not in marked)
+                    if not word.fullmatch(inner[a:b]):
+                        found.append((low + a, low + b))
+    base = [(int(x.split(":")[1]), int(x.split(":")[2])) for x in plain_base(text).split(",") if x]
+    out = []
+    for a, b in sorted(set(found), key=lambda s: (s[0], -s[1])):
+        if b > max([y for x, y in base if x <= a] + [y for _, y in out], default=0):
+            out.append((a, b))
+    return out
+
+
+def test_entropy_spans_equal_brute_force():
+    r = random.Random(4)
+    pieces = ["https://", "/", "-", "_", " ", "=", "example", "2023", "10", "some-article", "TheQuickBrownFox", "IMG", "token=abcdefgh", "0b1f6a3e-5c7d-4e8f-9a0b-1c2d3e4f5a6b", "x", "\n", "é"]
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    for _ in range(400):
+        text = "".join(r.choice(pieces) if r.random() < 0.7 else "".join(r.choices(r.choice(alphabets), k=r.randint(1, 40))) for _ in range(r.randint(1, 12)))
+        assert [s[:2] for s in spans_of(text)[1]] == plain_entropy(text), text
+
+
+def test_planted_secrets_and_plain_strings():
+    r = random.Random(3)
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for letters, least, short in ((mixed, 0.98, 0.98), (mixed + "+/", 0.93, 0.82), (mixed[26:], 0.97, 0.93), ("0123456789ABCDEF", 0.97, 0.93)):
+        for n in (16, 20, 24, 32):
+            planted = ["".join(r.choices(letters, k=n)) for _ in range(300)]
+            for around in ("see {} now", "https://host/example/{}", "my-example-key-{} x"):
+                met = sum(any(a < around.index("{") + n and b > around.index("{") for a, b, _ in spans_of(around.format(s))[1]) for s in planted)
+                assert met >= (short if n == 16 else least) * 300, (letters, n, around, met)
+    words = [w for t in TEMPLATES.values() for w in tokens_of(t) if w.isalpha() and len(w) > 2]
+    clean = ["TheQuickBrownFoxJumpsOverTheLazyDog", "2023/10/some-article-about-things-that-matter", "wp-content/uploads/2019/04/IMG_20190404_123456", "0b1f6a3e-5c7d-4e8f-9a0b-1c2d3e4f5a6b", "+49-171-5550123-4567", "ISBN9780306406157123"]
+    for _ in range(300):
+        some = r.choices(words, k=r.randint(3, 8))
+        clean += ["-".join(some), "/".join(some), "_".join(some), "".join(w.title() for w in some)]
+    assert [s for s in clean if spans_of(s)[1]] == []
     base, added = spans_of("password=placeholder-qT7vXz9LmB2cRk4WnP8sYd3H")
     assert [s[2] for s in base] == ["assign"] and added == []
 
