@@ -139,11 +139,13 @@ def fold(key: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % folds, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 4000, max_lines: int = 500) -> Field:
     """Fit on a bounded sample: the `sample` labelled rows outside fold 0 that come first in a hashed order.
 
     Rows without a label or an id, and labels without a document, are left out; of several
-    labels of an id the smallest counts. The driver gets line features of these rows only.
+    labels of an id the smallest counts. Drawn documents of more than `max_lines` lines are not
+    used to fit. The driver gets line features of these rows only: twelve numbers for each of at
+    most `sample` times `max_lines` lines. Every document is scored, whatever its length.
     """
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
@@ -158,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Field:
     # the sample is bounded by `sample` rows, so it is sent to every task
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+        .filter(F.size(F.split("text", "\n")) <= max_lines)
         .mapInPandas(features, "doc_id bigint, quality int, x array<double>").toPandas()
     )
     rows = rows.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id")
