@@ -44,11 +44,12 @@ def line_arrays(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
         )
 
     def shingles(w: Column) -> Column:
-        starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.greatest(F.size(w) - _SHINGLE + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, _SHINGLE)))
+        # absent words add nothing to a hash, so a line of fewer words is hashed whole
+        each = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, _SHINGLE)]))
+        return F.slice(each, 1, F.greatest(F.size(w) - _SHINGLE + 1, F.lit(1)))
 
-    df = settled(docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), F.col(text).alias("body")).filter(has_word(F.col("body"))),
-                 ["id", "h"], words=F.transform(F.split("body", "\n"), masked))
+    df = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), F.col(text).alias("body")).filter(has_word(F.col("body")))
+    df = settled(df, ["id", "h"], words=F.transform(F.split("body", "\n"), masked))
     sketch = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform("words", shingles)))), 1, _SKETCH)
     df = settled(df, ["id", "h"], lines=F.filter(F.transform("words", place), lambda p: p["n"] > 0), sketch=sketch)
     first = F.slice("sketch", 1, F.greatest(F.least(F.size("sketch") - 1, F.lit(_BANDS)), F.lit(1)))
@@ -85,11 +86,16 @@ def copy_groups(arrays: DataFrame, least: float = 0.7) -> DataFrame:
     return components(both.filter(similarity(F.col("sa"), F.col("sb")) >= least).select("a", "b"))
 
 
-def line_rows(arrays: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row per line with a word; `doc` is the same for a text and its near copies."""
-    df = arrays.select("id", "h", "lines").join(groups.withColumnsRenamed({"node": "h"}), "h", "left")
-    df = df.select("id", "h", F.coalesce("component", "h").alias("doc"), F.explode("lines").alias("p"))
-    return df.select("id", "h", "doc", *[F.col(f"p.{c}").alias(c) for c in ("line", "n", "leaf", "whole", *[f"s{q}" for q in range(_SEGMENTS)])])
+def line_rows(arrays: DataFrame) -> DataFrame:
+    """One row per line with a word."""
+    df = arrays.select("id", "h", F.explode("lines").alias("p"))
+    return df.select("id", "h", *[F.col(f"p.{c}").alias(c) for c in ("line", "n", "leaf", "whole", *[f"s{q}" for q in range(_SEGMENTS)])])
+
+
+def with_document(lines: DataFrame, groups: DataFrame) -> DataFrame:
+    """Adds `doc`, which is the same for a text and its near copies."""
+    df = lines.join(groups.withColumnsRenamed({"node": "h"}), "h", "left")
+    return df.withColumn("doc", F.coalesce("component", "h")).drop("component")
 
 
 def _least(n: str, min_contexts: int) -> Column:
@@ -131,16 +137,17 @@ def recurring_templates(lines: DataFrame, depth: int, min_contexts: int, constan
     return whole.unionByName(tried.join(recurs.select("leaf", "key"), ["leaf", "key"], "left_semi").select("leaf", "whole")).distinct()
 
 
-def open_lead_lines(lines: DataFrame, depth: int, min_contexts: int, constant: float) -> DataFrame:
+def open_lead_lines(lines: DataFrame, groups: DataFrame, depth: int, min_contexts: int, constant: float) -> DataFrame:
     """The lines below the wildcard child of every leading token: whatever these are, the rest recurs.
 
     Only where the remaining tokens alone make at least `constant` of a line. Any template
     that keeps some leading tokens and this rest is part of the one that keeps none.
     """
-    rest = F.when(F.col("n") - depth >= F.lit(constant) * F.col("n"), F.xxhash64("n", *[f"s{q}" for q in range(_SEGMENTS)]))
-    ending = lines.withColumn("rest", rest).filter(F.col("rest").isNotNull())
-    seen = ending.groupBy("rest").agg(F.count("*").alias("c"), (F.min("doc") < F.max("doc")).alias("several"))
-    ending = materialize(ending.join(seen.filter(F.col("several") & (F.col("c") >= min_contexts)).select("rest"), "rest", "left_semi").select("id", "h", "doc", "line", "rest"))
+    ending = lines.filter(F.col("n") - depth >= F.lit(constant) * F.col("n"))
+    ending = ending.select("id", "h", "line", F.xxhash64("n", *[f"s{q}" for q in range(_SEGMENTS)]).alias("rest"))
+    seen = ending.groupBy("rest").agg(F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
+    ending = ending.join(seen.filter(F.col("several") & (F.col("c") >= min_contexts)).select("rest"), "rest", "left_semi")
+    ending = materialize(with_document(ending, groups))
     recurs = ending.groupBy("rest", "doc").agg(F.lit(1)).groupBy("rest").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_contexts)
     return ending.join(recurs.select("rest"), "rest", "left_semi").select("id", "h", "line")
 
@@ -160,12 +167,13 @@ def dedup_lines(
         docs, "n_lines", "n_dropped", "h", "gone", "ls", "keep", "fresh", "drop_id", "drop_h"
     )
     arrays = materialize(line_arrays(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`")), key, text, depth))
-    lines = materialize(line_rows(arrays, copy_groups(arrays)))
-    # a leaf of one document and its near copies, or of too few lines, holds no recurring template
-    leaves = lines.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("c"), (F.min("doc") < F.max("doc")).alias("several"))
-    crowded = materialize(lines.join(leaves.filter(F.col("several") & (F.col("c") >= _least("n", min_contexts))).select("leaf"), "leaf", "left_semi"))
+    groups, lines = materialize(copy_groups(arrays)), line_rows(arrays)
+    # a leaf of one text, or of too few lines, holds no recurring template
+    leaves = lines.groupBy("leaf").agg(F.first("n").alias("n"), F.count("*").alias("c"), (F.min("h") < F.max("h")).alias("several"))
+    crowded = lines.join(leaves.filter(F.col("several") & (F.col("c") >= _least("n", min_contexts))).select("leaf"), "leaf", "left_semi")
+    crowded = materialize(with_document(crowded, groups))
     templates = recurring_templates(crowded, depth, min_contexts, constant)
-    drops = crowded.join(templates, ["leaf", "whole"]).select("id", "h", "line").unionByName(open_lead_lines(lines, depth, min_contexts, constant)).distinct()
+    drops = crowded.join(templates, ["leaf", "whole"]).select("id", "h", "line").unionByName(open_lead_lines(lines, groups, depth, min_contexts, constant)).distinct()
     drops = drops.select(F.col("id").alias(id_), F.col("h").alias(h_), "line").groupBy(id_, h_).agg(F.collect_list("line").alias(gone))
     df = docs.withColumn(h, F.xxhash64(F.lit(3), F.col(text)))
     df = df.join(drops, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(h_)), "left")
