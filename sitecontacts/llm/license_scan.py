@@ -35,6 +35,18 @@ TEMPLATES: Mapping[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "ISC-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache-2.0-short": "under the Apache 2.0 license",
+    "GPL-2.0-short": "GNU GPL v2",
+    "GPL-3.0-short": "GNU GPL v3",
+    "AGPL-3.0-title": "GNU Affero General Public License Version 3",
+    "LGPL-3.0-title": "GNU Lesser General Public License Version 3",
+    "CC-BY-SA-text": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-ND-text": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    **{f"{name}-id": f"under {name}" for name in ("CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0")},
+    **{f"SPDX-{name}": f"SPDX-License-Identifier: {name}" for name in (
+        "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "Unlicense",
+    )},
 }
 #: Words that name a license and its version: a notice has all of them, and may then lack one other word.
 NAMING: Mapping[str, str] = {
@@ -42,9 +54,16 @@ NAMING: Mapping[str, str] = {
     "CC-BY-3.0": "CC BY 3.0", "CC-BY-4.0": "CC BY 4.0", "CC-BY-SA-4.0": "CC BY-SA 4.0", "CC-BY-NC-4.0": "CC BY-NC 4.0", "CC-BY-ND-4.0": "CC BY-ND 4.0",
     "CC-BY-text": "Creative Commons Attribution 4.0", "GPL-grant": "GNU General Public", "LGPL-grant": "GNU Lesser General Public",
     "AGPL-grant": "GNU Affero General Public", "MPL-2.0": "Mozilla 2.0", "Unlicense": "unencumbered public domain",
+    "Apache-2.0-short": "Apache 2.0", "GPL-2.0-short": "GNU GPL 2", "GPL-3.0-short": "GNU GPL 3", "AGPL-3.0-title": "GNU Affero General Public 3",
+    "LGPL-3.0-title": "GNU Lesser General Public 3", "CC-BY-SA-text": "Creative Commons Attribution-ShareAlike 4.0",
+    "CC-BY-ND-text": "Creative Commons Attribution-NoDerivatives 4.0",
+    **{name: text for name, text in TEMPLATES.items() if name.startswith("SPDX-")},
+    **{name: name.removesuffix("-id") for name in TEMPLATES if name.endswith("-id")},
 }
 # Words too common to point to a notice.
 _COMMON = frozenset("a all and any are as at be by can for free from has in is it may not of on or other that the this to under use with without work you".split())
+#: A notice is none where one of these stands up to three words before it, in the same sentence.
+_NEGATED = re.compile(r"(?i)\b(?:not|never|no longer)\b[^.!?;\n]*\Z")
 _VERSION = re.compile(r"v?([0-9]+)(?:\.0)?")
 _WORD = re.compile(r"[^\W_](?:[\w.+/-]*[^\W_])?")
 
@@ -168,6 +187,9 @@ class Scanner:
             for start, end in self.regions(words, template, marks):
                 pairs = patience(_plain(words[start:end]), plain)
                 if pairs and len(pairs) >= least and naming <= {plain[j] for _, j in pairs}:
+                    at = start + pairs[0][0]
+                    if _NEGATED.search(text[spans[max(at - 3, 0)][0]: spans[at][0]]):
+                        continue
                     cover = len(pairs) / len(template)
                     found.append((-len(pairs), -cover, order, spans[start + pairs[0][0]][0], spans[start + pairs[-1][0]][1], name))
         out: list[tuple[int, int, str, float]] = []

@@ -115,6 +115,19 @@ def test_planted_secrets_and_plain_strings():
     assert [s[2] for s in base] == ["assign"] and added == []
 
 
+def test_short_forms_titles_and_negation():
+    scanner = Scanner()
+    for text, name in (
+        ("It is available under the Apache 2.0 license.", "Apache-2.0-short"), ("All data is licensed under CC-BY-4.0.", "CC-BY-4.0-id"), ("Free software (GNU GPL v3).", "GPL-3.0-short"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-text"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007", "AGPL-3.0-title"), ("// SPDX-License-Identifier: MIT\nint main", "SPDX-MIT"),
+        ("What it is not. Released under the MIT License.", "MIT"),
+    ):
+        assert [x[2] for x in scanner.scan(text)] == [name], text
+    for text in ("It is not licensed under the MIT License.", "We are no longer licensed under CC-BY-4.0", "the identifier mit of an apache tribe", "two licenses of the general public"):
+        assert scanner.scan(text) == [], text
+
+
 def test_patience_aligns_increasing_equal_words():
     r = random.Random(2)
     for _ in range(200):
