@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from sitecontacts import options as opt
 from sitecontacts.operators import attribution as at
 from sitecontacts.operators import frontier as fr
 from sitecontacts.operators import progress as pg
@@ -335,3 +336,22 @@ def test_only_pages_of_targets_are_extracted(spark):
     assert {r.page_id % 5 for r in some.collect()} == {0, 1, 2, 4} and everything.count() == 15
     best = lambda ps: {(r.domain, r.email, r.occurrences) for r in en.best_by_domain(ps, domains).collect()}
     assert best(pages) == {("s0.io", "info@s0.io", 3), ("s1.io", "info@s1.io", 3)}
+
+
+def test_joins_that_grow_with_the_input_are_not_broadcast(spark, leads, pages):
+    """However small the tables look, as a broadcast passes whole through the driver."""
+    rules = spark.createDataFrame([("https://a.io", "disallow", "/x", 0, 1)], "origin string, kind string, value string, block_no int, line_no int")
+    urls = spark.createDataFrame([("s", "https://a.io/x", 1)], "site_key string, url string, n int")
+    queue = urls.select("site_key", "url", F.lit(0).alias("depth"), F.lit("").alias("referrer"), F.lit(1).alias("visit_rank"))
+    found = urls.select("site_key", F.col("url").alias("email"))
+    targets = ld.to_targets(leads)
+    best = spark.createDataFrame([("acme.com", "a@acme.com", "u", "role", 90, "m")], ["site_domain", *opt.RESULT_COLUMNS])
+    frames = [
+        allowed_urls(urls, rules), rank_within(urls, ["site_key"], {"n": F.col("n")}, [F.col("url")], "r"),
+        fr.next_fetch(queue, urls), at.site_summary(urls.select("site_key", F.col("n").alias("page_id"), F.lit("usable").alias("status_class")), found, found),
+        at.hosts_of(urls.select(F.col("site_key").alias("host")), urls.select(F.col("site_key").alias("domain"))),
+        en.join_best(targets, best, "site_domain"), pg.remaining(urls.withColumnRenamed("n", "row_index"), urls.select(F.col("n").alias("row_index"))),
+    ]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
