@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitecontacts import options as opt
+from sitecontacts.functions import urls as ur
 from sitecontacts.operators import attribution as at
 from sitecontacts.operators import frontier as fr
 from sitecontacts.operators import progress as pg
@@ -355,3 +356,21 @@ def test_joins_that_grow_with_the_input_are_not_broadcast(spark, leads, pages):
     for frame in frames:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan, plan
+
+
+def test_derived_pages_are_written_in_tasks_of_bounded_size(spark, tmp_path):
+    from sitecontacts.plans.derived import derive
+
+    spark.range(9000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    pages = derive(spark, str(tmp_path), "d_pages")
+    assert pages.rdd.getNumPartitions() == max(5, spark.sparkContext.defaultParallelism)
+
+
+def test_links_that_are_canonical_lead_to_themselves(spark):
+    hrefs = ["https://a.io/x", "https://a.io/x?q=1", "https://a.io/x#top", "https://A.io/x", " https://a.io/x ", "https://a.io/./x", "https:///a.io/x", "https://a.io", "https://a.io/x\n", None]
+    rows = spark.createDataFrame([(h,) for h in hrefs], "h string").select(ur.resolve_url(F.col("h"), ur.base_parts(F.lit("https://b.io/y/z"))).alias("u"))
+    x = "https://a.io/x"
+    assert [r.u for r in rows.collect()] == [x, f"{x}?q=1", x, x, x, x, x, "https://a.io/", x, None]
+    avoided = [("https://a.io/WP-Admin/", True), ("https://a.io/my-Cart", True), ("https://a.io/walk", False), ("https://login.io/x", False)]
+    found = spark.createDataFrame(avoided, "u string, a boolean").where(ur.should_avoid_url(F.col("u")) != F.col("a"))
+    assert found.count() == 0
