@@ -35,12 +35,12 @@ def stream_evidence(
 ) -> StreamingQuery:
     """Stateless evidence extraction; appends rows as pages arrive and stops when caught up.
 
-    With `rules`, a table, pages a robots file denies give no rows.
+    With `rules`, a table, pages a robots file denies give no rows; they are taken out after
+    extraction, where rows no longer carry the page text.
     """
-    usable = usable_pages(pages)
+    rows = ev.extract_evidence(usable_pages(pages), options)
     if rules is not None and options.respect_robots:
-        usable = allowed_urls(usable, rules)
-    rows = ev.extract_evidence(usable, options)
+        rows = allowed_urls(rows, rules)
     return (
         rows.writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", checkpoint)

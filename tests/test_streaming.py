@@ -118,3 +118,18 @@ def test_robots_rules_in_a_stream(spark, tmp_path):
     st.stream_evidence(st.read_page_stream(spark, folder), str(tmp_path / "ev"), str(tmp_path / "log"), rules=rules).awaitTermination()
     denied = lambda u: u.startswith("https://s1.io/p") or u == "https://s2.io/contact" or u.startswith("https://s3.io/")
     assert {r.page_id for r in spark.read.parquet(str(tmp_path / "ev")).collect()} == {i for i, u, _ in rows if not denied(u)}
+
+
+def test_robots_meet_evidence_not_page_text(spark, tmp_path, monkeypatch):
+    """A join of the pages themselves would shuffle their text where rules are many."""
+    from sitecontacts.streaming import stream
+
+    spark.createDataFrame([(1, "https://a.io/x", "<p>a@a.io</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/in")
+    rules = spark.createDataFrame([("https://a.io", "disallow", "/x", 0, 1)], "origin string, kind string, value string, block_no int, line_no int")
+    met = []
+    join = stream.allowed_urls
+    monkeypatch.setattr(stream, "allowed_urls", lambda rows, rules: met.append(rows.columns) or join(rows, rules))
+    pages = stream.read_page_stream(spark, f"{tmp_path}/in", "*.parquet")
+    stream.stream_evidence(pages, f"{tmp_path}/out", f"{tmp_path}/log", rules=rules).awaitTermination()
+    assert met and "html" not in met[0]
+    assert spark.read.schema("page_id long").parquet(f"{tmp_path}/out").count() == 0
