@@ -5,41 +5,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitecontacts.functions import text as tx
-from sitecontacts.functions.columns import browser_trim
+from sitecontacts.functions.columns import browser_trim, let
 from sitecontacts.options import Options
 from sitecontacts.plans.lineage import large, materialize
 
 
+def _inside(element: str) -> str:
+    """Pattern of an element up to its first end tag, its text as the group; runs are taken as a whole."""
+    return rf"<{element}(?=[\s>])[^>]*+>([^<]*+(?:<(?!/{element}\s*>)[^<]*+)*+)</{element}\s*>"
+
+
+def _trimmed(c: Column) -> Column:
+    """The text without blanks around it; what stands between visible ASCII characters has none."""
+    return let(F.trim(c), lambda t: F.when(t.rlike(r"(?s)\A[!-~](?:.*[!-~])?\z"), t).otherwise(browser_trim(t)))
+
+
 def _locations(xml: Column, element: str, limit: int | None = None) -> Column:
-    blocks = F.regexp_extract_all(
-        xml, F.lit(rf"(?s)<{element}(?=[\s>])[^>]*>(.*?)</{element}\s*>"), F.lit(1)
-    )
+    blocks = F.regexp_extract_all(xml, F.lit(_inside(element)), F.lit(1))
     if limit is not None:
         blocks = F.slice(blocks, 1, limit)
+
+    def plain(loc: Column) -> Column:
+        return F.when(
+            F.contains(loc, F.lit("<![CDATA[")), F.regexp_replace(loc, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
+        ).otherwise(loc)
+
     found = F.transform(
         blocks,
-        lambda b: browser_trim(
-            tx.decode_references(
-                F.regexp_replace(
-                    F.regexp_extract(b, r"(?s)<loc(?=[\s>])[^>]*>(.*?)</loc\s*>", 1),
-                    r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1",
-                )
-            )
-        ),
+        lambda b: _trimmed(tx.decode_references(let(F.regexp_extract(b, _inside("loc"), 1), plain))),
     )
     return F.filter(found, lambda u: u != "")
 
 
 def parse_sitemaps(sitemaps: DataFrame, options: Options = Options()) -> DataFrame:
     """sitemaps(sitemap_url, xml) to (sitemap_url, is_index, entries); comments hold no entries."""
-    xml = F.regexp_replace("xml", r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?(?:-->|\z)", "$1")
-    is_index = xml.rlike(r"<sitemap[\s>]")
+    bare = F.when(
+        F.contains("xml", F.lit("<!--")), F.regexp_replace("xml", r"(?s)(<!\[CDATA\[.*?\]\]>)|<!--.*?(?:-->|\z)", "$1")
+    ).otherwise(F.col("xml"))
+    # each step reads the earlier one once computed
+    files = sitemaps.select("sitemap_url", bare.alias("_xml"))
+    files = files.select("*", F.col("_xml").rlike(r"<sitemap[\s>]").alias("is_index"))
+    xml, is_index = F.col("_xml"), F.col("is_index")
     urls = _locations(xml, "url")
     if options.max_urls_per_sitemap is not None:
         urls = F.slice(urls, 1, options.max_urls_per_sitemap)
-    return sitemaps.select(
+    return files.select(
         "sitemap_url",
-        is_index.alias("is_index"),
+        "is_index",
         F.when(is_index, _locations(xml, "sitemap", options.max_children_per_index)).otherwise(urls).alias("entries"),
     )
 

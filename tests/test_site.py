@@ -374,3 +374,16 @@ def test_links_that_are_canonical_lead_to_themselves(spark):
     avoided = [("https://a.io/WP-Admin/", True), ("https://a.io/my-Cart", True), ("https://a.io/walk", False), ("https://login.io/x", False)]
     found = spark.createDataFrame(avoided, "u string, a boolean").where(ur.should_avoid_url(F.col("u")) != F.col("a"))
     assert found.count() == 0
+
+
+def test_sitemap_files_are_cleaned_once(spark):
+    """Comments are cut in one step that the tests and both kinds of entries read; odd entries stay as they were."""
+    xml = (
+        "<urlset><!-- <url><loc>no</loc></url> --><url><loc>  http://a.b/1\n</loc></url><url><loc>x</loc ></url >"
+        "<url a='1'><lastmod/><loc><![CDATA[http://a.b/<!--2-->]]></loc></url><url><loc> </loc></url><url><loc>open</url></urlset>"
+    )
+    files = spark.createDataFrame([("s", xml), ("none", None)], "sitemap_url string, xml string").repartition(2)
+    parsed = parse_sitemaps(files)
+    got = {r.sitemap_url: r.entries for r in parsed.collect()}
+    assert got == {"s": ["http://a.b/1", "x", "http://a.b/<!--2-->"], "none": None}
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("|<!--") == 1
