@@ -19,6 +19,8 @@ _CANONICAL = (
     r"(?!\.)(?:[A-Za-z0-9_~!$&'()*+,;=:@%-]|\.(?!/|\.)|/(?!\.))*+"
     r"(?:\?[A-Za-z0-9._~!$&()*+,;=:@%/?\[\]-]*)?(?:#[A-Za-z0-9._~!$&'()*+,;=:@%/?-]*)?\z"
 )
+# A domain that normalising leaves as it is.
+_BARE_DOMAIN = r"\A(?!www\.)[abcdefghijklmnopqrstuvwxyz0123456789.-]+\z"
 # A canonical URL without a fragment: as a link, it leads to itself.
 _CANONICAL_LINK = _CANONICAL[: _CANONICAL.rindex("(?:#")] + r"\z"
 # Words are only tried where one of their first letters stands.
@@ -136,16 +138,19 @@ def normalize_url(c: Column) -> Column:
 
 def normalize_domain(c: Column) -> Column:
     """Bare lower-case domain of a URL or host text, without a leading www."""
-    host = let(
-        F.lower(browser_trim(c)),
-        lambda s: F.when(
-            s.rlike(r"\Ahttps?://"),
-            F.when(s.rlike(_VALID), url_host(s)).otherwise(
-                F.regexp_replace(s, r"\Ahttps?://(?:www\.)?", "")
-            ),
-        ).otherwise(s),
-    )
-    return F.substring_index(F.regexp_replace(host, r"\Awww\.", ""), "/", 1)
+    def bare(text: Column) -> Column:
+        host = let(
+            F.lower(browser_trim(text)),
+            lambda s: F.when(
+                s.rlike(r"\Ahttps?://"),
+                F.when(s.rlike(_VALID), url_host(s)).otherwise(
+                    F.regexp_replace(s, r"\Ahttps?://(?:www\.)?", "")
+                ),
+            ).otherwise(s),
+        )
+        return F.substring_index(F.regexp_replace(host, r"\Awww\.", ""), "/", 1)
+
+    return let(c, lambda t: F.when(t.rlike(_BARE_DOMAIN), t).otherwise(bare(t)))
 
 
 def is_internal_url(url: Column, target_domain: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sitecontacts.functions import text as tx
 from sitecontacts.operators import evidence as ev
 from sitecontacts.operators import links as lk
 from sitecontacts.operators import regions as rg
@@ -200,3 +201,45 @@ def test_rows_pass_the_region_function_without_the_page(spark):
     after = plan[plan.index(line) + len(line):].splitlines()
     below = next(x for x in after if "Project" in x)
     assert not any(f" {name}#" in below.split("Project [")[1].split(" AS ")[0] for name in ("html", "_markup", "_body"))
+
+
+def test_addresses_after_a_colon_an_equals_sign_or_a_bracket(spark):
+    text = "Email:info@acme.com x=jane@acme.com;bob@acme.com,(eva@acme.com) >kim@acme.com @ x@y@acme.com- end"
+    got = spark.createDataFrame([(text,)], "t string").select(tx.find_emails(F.col("t")).alias("e")).first().e
+    assert got == ["info@acme.com", "jane@acme.com", "bob@acme.com", "eva@acme.com", "kim@acme.com", "y@acme.com"]
+
+
+def test_plain_links_are_left_out_before_the_channels_are_read(spark):
+    links = "".join(f'<a class="n" href="https://acme.com/p/{i}">page {i}</a> ' for i in range(5000))
+    cases = {
+        "nav": (f"<nav>{links}</nav><p>a@acme.com</p>", "<nav><br></nav><p>a@acme.com</p>"),
+        "mark": ('<a href="mailto:a@acme.com">m</a><a href="/x">@</a><a href="/&#64;">r</a>', None),
+        "inner": ('<a href="/x"><b>a@acme.com</b></a><a data-cfemail="00">h</a>', None),
+        "value": ('<p>a@acme.com</p><i title="<a href="/x">y</a>" class="footer">z</i>', None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in cases.items()], "k string, html string")
+    got = dict(df.select("k", ev.without_bare_links(F.col("html"))).collect())
+    assert got == {k: short or page for k, (page, short) in cases.items()}
+
+
+def test_evidence_is_the_same_with_and_without_plain_links(spark, monkeypatch):
+    link = '<a href="/x" class="footer">y</a><a href="#top">t</a> <a href="https://acme.com/b">b</a>'
+    bodies = [
+        f"<!-- {link} a@acme.com --> b@acme.com", f'<div class="footer">{link}<p>a@acme.com</div>{link}c@acme.com',
+        f"<header>a@acme.com{link}</header>{link}<footer>{link}<a href='mailto:d@acme.com'>m</a>{link}b@acme.com</footer>",
+        f'<script>var x = \'{link}\'; var k = "YUBhY21lLmNvbQ=="; var m="s@acme.com"</script>{link}',
+        f'<a href="/x">jane at</a>{link} acme dot com', f'{link}<span data-cfemail="54353435373931">x</span>&#64; a@acme.com',
+        f'<a id="header" href="/o">{link}a@acme.com</a><p>{link}<p>b@acme.com{link}', f"<textarea>{link}</textarea>a&#64;acme.com",
+    ]
+    pages = spark.createDataFrame(
+        [(i, "https://acme.com/", f"<html><head><title>{link}</title></head><body>{b}</body></html>") for i, b in enumerate(bodies)],
+        "page_id long, url string, html string",
+    )
+
+    def rows():
+        return sorted(map(tuple, ev.extract_evidence(pages).collect()))
+
+    short = rows()
+    monkeypatch.setattr(ev, "_extraction_stages", ev._extraction_stages.__wrapped__)
+    monkeypatch.setattr(ev, "without_bare_links", lambda html: html)
+    assert short == rows() and len(short) > 8
