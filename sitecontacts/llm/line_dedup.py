@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitecontacts.llm.common import SPACE, free_names, has_word, settled, words_of
+from sitecontacts.llm.common import SPACE, free_names, has_word, settled
 from sitecontacts.llm.components import components
 from sitecontacts.plans.lineage import materialize
 
@@ -18,42 +18,62 @@ _LONG = 50
 _SHINGLE, _SKETCH, _BANDS = 5, 128, 10
 
 
-def _segments(w: Column, depth: int) -> list[Column]:
-    """The tokens after the leading ones as four runs of about equal length."""
-    rest = F.greatest(F.size(w) - depth, F.lit(0))
+def _segments(w: Column, n: Column, depth: int) -> list[Column]:
+    """Hashes of the tokens after the leading ones as four runs of about equal length; null for an empty run."""
+    rest = F.greatest(n - depth, F.lit(0))
     ends = [depth + F.floor(rest * q / _SEGMENTS).cast("int") for q in range(_SEGMENTS + 1)]
-    return [F.slice(w, a + 1, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+    return [F.when(b > a, F.xxhash64(F.slice(w, a + 1, b - a))) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _masked(line: Column) -> Column:
+    """A line with its variable fields masked and one blank between tokens; most lines are that already."""
+    odd = line.rlike("[0-9\\x09\\x0B-\\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(line, _FIELD, "<*>"), f"{SPACE}+", " "))).otherwise(line)
+
+
+def _shingles(w: Column) -> Column:
+    """Hash of each shingle; absent words add nothing to a hash, so a line of fewer words is hashed whole."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - _SHINGLE, F.lit(0)))
+    return F.transform(starts, lambda i: F.xxhash64(F.get(w, i), *[F.get(w, i + k) for k in range(1, _SHINGLE)]))
 
 
 def line_arrays(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
-    """One row per document with a word: its lines, a sketch of its shingles, and band keys of the sketch.
+    """One row per line with a word; a document's first one has a sketch of its shingles, and band keys of the sketch.
 
     The tree has fixed depth: a node per token count, then one per leading token, variable
     fields masked. `leaf` is the path; `whole` the masked line; s0 to s3 stand for the
     segments of its remaining tokens (null if empty). Shingles are five masked tokens of one
     line (a shorter line is one shingle); the sketch holds the smallest hashes of all of a
     document's shingles, and each band key is made of two neighbours in it.
+
+    Only what needs a lambda is in the generator: Spark runs both uncompiled, but compiles
+    the sorting and the rows of lines, which are made of the numbers of the tokens.
     """
-    def masked(line: Column) -> Column:
-        return words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, _FIELD, "<*>")).otherwise(line))
+    df = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), F.col(text).alias("body")).filter(has_word(F.col("body")))
+    made = F.transform(F.split("body", "\n"), lambda line, i: F.struct(i.alias("line"), _masked(line).alias("text")))
 
-    def place(w: Column, i: Column) -> Column:
-        return F.struct(
-            i.alias("line"), F.size(w).alias("n"), F.xxhash64(F.size(w), F.slice(w, 1, depth)).alias("leaf"), F.xxhash64(w).alias("whole"),
-            *[F.when(F.size(s) > 0, F.xxhash64(s)).alias(f"s{q}") for q, s in enumerate(_segments(w, depth))],
-        )
+    def hashed(p: Column) -> Column:
+        # a single blank is cut at without a regular expression; the inner lambda keeps the words, so that they are cut once
+        def each(w: Column) -> Column:
+            return F.struct(p["line"].alias("line"), F.transform(w, lambda x: F.xxhash64(x)).alias("w"), _shingles(w).alias("shingles"))
 
-    def shingles(w: Column) -> Column:
-        # absent words add nothing to a hash, so a line of fewer words is hashed whole
-        each = F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, _SHINGLE)]))
-        return F.slice(each, 1, F.greatest(F.size(w) - _SHINGLE + 1, F.lit(1)))
+        return F.get(F.transform(F.array(F.split(p["text"], " ")), each), F.lit(0))
 
-    df = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), F.col(text).alias("body")).filter(has_word(F.col("body")))
-    df = settled(df, ["id", "h"], words=F.transform(F.split("body", "\n"), masked))
-    sketch = F.slice(F.sort_array(F.array_distinct(F.flatten(F.transform("words", shingles)))), 1, _SKETCH)
-    df = settled(df, ["id", "h"], lines=F.filter(F.transform("words", place), lambda p: p["n"] > 0), sketch=sketch)
+    df = settled(df, ["id", "h"], lines=F.transform(F.filter(made, lambda p: p["text"] != ""), hashed))
+    df = df.withColumn("all", F.sort_array(F.flatten(F.col("lines.shingles"))))
+    # mostly the first few hold enough different ones
+    df = df.withColumn("few", F.array_distinct(F.slice("all", 1, 2 * _SKETCH)))
+    enough = (F.size("few") >= _SKETCH) | (F.size("all") <= 2 * _SKETCH)
+    df = df.withColumn("sketch", F.slice(F.when(enough, F.col("few")).otherwise(F.array_distinct("all")), 1, _SKETCH))
     first = F.slice("sketch", 1, F.greatest(F.least(F.size("sketch") - 1, F.lit(_BANDS)), F.lit(1)))
-    return df.withColumn("bands", F.transform(first, lambda x, i: F.xxhash64(x, F.get("sketch", i + 1))))
+    df = df.withColumn("bands", F.transform(first, lambda x, i: F.xxhash64(x, F.get("sketch", i + 1))))
+    df = df.select("id", "h", "sketch", "bands", F.posexplode("lines").alias("at", "p"))
+    w, n = F.col("p.w"), F.size("p.w")
+    return df.select(
+        "id", "h", "p.line", n.alias("n"), F.xxhash64(n, F.slice(w, 1, depth)).alias("leaf"), F.xxhash64(w).alias("whole"),
+        *[s.alias(f"s{q}") for q, s in enumerate(_segments(w, n, depth))],
+        *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("sketch", "bands")],
+    )
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -75,7 +95,8 @@ def copy_groups(arrays: DataFrame, least: float = 0.7) -> DataFrame:
     from a similarity of `least` on; it lies below 0.8 as sketches err by 0.04 (one sigma).
     Documents that share boilerplate only are below it unless that is most of their words.
     """
-    bands = arrays.select("h", "bands").dropDuplicates(["h"]).select("h", F.explode("bands").alias("band"))
+    arrays = arrays.filter(F.col("sketch").isNotNull())
+    bands = arrays.select("h", F.explode("bands").alias("band")).distinct()
     crowded = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     multi = materialize(bands.join(crowded, "band"))
     central = multi.groupBy("h").agg(F.sum("n").alias("w"))
@@ -88,8 +109,7 @@ def copy_groups(arrays: DataFrame, least: float = 0.7) -> DataFrame:
 
 def line_rows(arrays: DataFrame) -> DataFrame:
     """One row per line with a word."""
-    df = arrays.select("id", "h", F.explode("lines").alias("p"))
-    return df.select("id", "h", *[F.col(f"p.{c}").alias(c) for c in ("line", "n", "leaf", "whole", *[f"s{q}" for q in range(_SEGMENTS)])])
+    return arrays.drop("sketch", "bands")
 
 
 def with_document(lines: DataFrame, groups: DataFrame) -> DataFrame:

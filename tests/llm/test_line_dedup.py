@@ -201,3 +201,24 @@ def test_recall_of_near_copy_groups(spark):
     met = [h[a] == h[b] or h[a] in group and group[h[a]] == group.get(h[b]) for a, b in pairs]
     assert len(pairs) > 100 and sum(met) >= 0.97 * len(met)
     assert len(set(group.values())) == len({min(group[h[a]] for a in p if h[a] in group) for p in [(2 * i, 2 * i + 1) for i in range(300)] if any(h[a] in group for a in p)})
+
+
+def test_odd_white_space_and_what_is_compiled(spark):
+    """Blanks do not matter to a template, and sketches are sorted by compiled code: a generator runs uncompiled."""
+    r = random.Random(11)
+    kinds = ["All the news of the day", " All the news of the day", "All  the\tnews of the day ", "\tAll the news\x0b of \x0cthe day\r", "All the news of  the day"]
+    words = " ".join("".join(r.choices("cdefgh", k=5)) for _ in range(30))
+    texts, want = [None, "\n \n\t\r\n"], [None, "\n \n\t\r\n"]
+    for i in range(10):
+        own = own_lines(r, 3)
+        varied = words.split(" ")
+        varied[4 + i % 2] = f"{'abcdefghij'[i]}{i}x"
+        texts.append("\n".join([own[0], kinds[i % 5], "", *own[1:], "  ".join(varied), f"{words} tail"]))
+        want.append("\n".join([own[0], "", *own[1:]]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x for x in line_dedup(frame).collect()}
+    assert [got[i].text for i in range(len(texts))] == want == brute(texts)
+    assert [got[i].n_lines for i in range(3)] == [1, 4, 7]
+    plan = line_arrays(frame, "doc_id", "text", 3)._jdf.queryExecution().executedPlan().toString()
+    generators = [x for x in re.split(r"\n(?=[ :+*(0-9)-]*\b[A-Z]\w+ )", plan) if re.match(r"[ :+*(0-9)-]*Generate", x)]
+    assert generators and not any("sort_array" in x or "array_distinct" in x for x in generators)
