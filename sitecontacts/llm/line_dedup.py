@@ -18,11 +18,14 @@ _LONG = 50
 _SHINGLE, _SKETCH, _BANDS = 5, 128, 10
 
 
-def _segments(w: Column, n: Column, depth: int) -> list[Column]:
-    """Hashes of the tokens after the leading ones as four runs of about equal length; null for an empty run."""
+def _segments(w: Column, n: Column, depth: int, less: Column) -> list[Column]:
+    """Hashes of the tokens after the leading ones as four runs of about equal length; null for an empty run.
+
+    `w` stands for the tokens, by one number each, or by the shingles from each on: then a run has `less` of them.
+    """
     rest = F.greatest(n - depth, F.lit(0))
     ends = [depth + F.floor(rest * q / _SEGMENTS).cast("int") for q in range(_SEGMENTS + 1)]
-    return [F.when(b > a, F.xxhash64(F.slice(w, a + 1, b - a))) for a, b in zip(ends, ends[1:], strict=False)]
+    return [F.when(b > a, F.xxhash64(F.slice(w, a + 1, b - a - less))) for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def _masked(line: Column) -> Column:
@@ -52,10 +55,16 @@ def line_arrays(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
     df = docs.select(F.col(key).alias("id"), F.xxhash64(F.lit(3), F.col(text)).alias("h"), F.col(text).alias("body")).filter(has_word(F.col("body")))
     made = F.transform(F.split("body", "\n"), lambda line, i: F.struct(i.alias("line"), _masked(line).alias("text")))
 
+    # from so many tokens on, every segment has a shingle, and the shingles in it stand for its tokens
+    long = depth + _SEGMENTS * _SHINGLE
+
     def hashed(p: Column) -> Column:
         # a single blank is cut at without a regular expression; the inner lambda keeps the words, so that they are cut once
         def each(w: Column) -> Column:
-            return F.struct(p["line"].alias("line"), F.transform(w, lambda x: F.xxhash64(x)).alias("w"), _shingles(w).alias("shingles"))
+            n = F.size(w)
+            tokens = F.when(n < long, F.transform(w, lambda x: F.xxhash64(x)))
+            leaf = F.xxhash64(n, *[F.get(w, F.lit(k)) for k in range(depth)])
+            return F.struct(p["line"].alias("line"), n.alias("n"), leaf.alias("leaf"), tokens.alias("w"), _shingles(w).alias("shingles"))
 
         return F.get(F.transform(F.array(F.split(p["text"], " ")), each), F.lit(0))
 
@@ -68,10 +77,11 @@ def line_arrays(docs: DataFrame, key: str, text: str, depth: int) -> DataFrame:
     first = F.slice("sketch", 1, F.greatest(F.least(F.size("sketch") - 1, F.lit(_BANDS)), F.lit(1)))
     df = df.withColumn("bands", F.transform(first, lambda x, i: F.xxhash64(x, F.get("sketch", i + 1))))
     df = df.select("id", "h", "sketch", "bands", F.posexplode("lines").alias("at", "p"))
-    w, n = F.col("p.w"), F.size("p.w")
+    df = df.select("id", "h", "sketch", "bands", "at", "p.line", "p.n", "p.leaf", F.coalesce("p.w", "p.shingles").alias("w"))
+    w, n = F.col("w"), F.col("n")
+    less = F.when(n < long, F.lit(0)).otherwise(F.lit(_SHINGLE - 1))
     return df.select(
-        "id", "h", "p.line", n.alias("n"), F.xxhash64(n, F.slice(w, 1, depth)).alias("leaf"), F.xxhash64(w).alias("whole"),
-        *[s.alias(f"s{q}") for q, s in enumerate(_segments(w, n, depth))],
+        "id", "h", "line", "n", "leaf", F.xxhash64(w).alias("whole"), *[s.alias(f"s{q}") for q, s in enumerate(_segments(w, n, depth, less))],
         *[F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("sketch", "bands")],
     )
 
@@ -197,12 +207,13 @@ def dedup_lines(
     drops = drops.select(F.col("id").alias(id_), F.col("h").alias(h_), "line").groupBy(id_, h_).agg(F.collect_list("line").alias(gone))
     df = docs.withColumn(h, F.xxhash64(F.lit(3), F.col(text)))
     df = df.join(drops, F.col(f"`{key}`").eqNullSafe(F.col(id_)) & (F.col(h) == F.col(h_)), "left")
-    df = df.withColumn(ls, F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    df = df.withColumn(ls, F.when(F.col(gone).isNotNull(), F.split(F.col(text), "\n")))
     df = df.withColumn(keep, F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone))
+    breaks = F.octet_length(F.col(text)) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
     left = F.array_join(F.transform(keep, lambda i: F.get(F.col(ls), i)), "\n")
     df = settled(
         df, docs.columns, **{fresh: F.when(F.col(gone).isNull(), F.col(text)).otherwise(left),
-                             lines_name: F.size(ls).cast("bigint"), dropped_name: F.coalesce(F.size(gone), F.lit(0)).cast("bigint")},
+                             lines_name: (1 + F.coalesce(breaks, F.lit(0))).cast("bigint"), dropped_name: F.coalesce(F.size(gone), F.lit(0)).cast("bigint")},
     )
     columns = [F.col(fresh).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
     return df.select(*columns, lines_name, dropped_name), lines_name, dropped_name
