@@ -121,7 +121,8 @@ def best_by_domain(
     page_emails = ev.dedupe_page_emails(ev.explode_evidence(ev.with_evidence(usable, options)))
     page_emails = page_emails.join(large(newest_pages(usable).select("page_id")), "page_id", "left_semi")
     if rules is not None and options.respect_robots:
-        page_emails = allowed_urls(page_emails, materialize(rules))
+        # the rules meet these rows twice; written once, pages are extracted once
+        page_emails = allowed_urls(materialize(page_emails), materialize(rules))
     return sc.best_per_site(
         sc.score_candidates(at.attribute_candidates(page_emails, domains)), ["domain"]
     )

@@ -10,6 +10,7 @@ from sitecontacts.operators import evidence as ev
 from sitecontacts.operators import frontier as fr
 from sitecontacts.operators import links as lk
 from sitecontacts.options import Options
+from sitecontacts.plans import enrich as en
 from sitecontacts.plans.derived import derive
 from sitecontacts.sources.captures import newest_pages
 from sitecontacts.sources.robots import allowed_urls, robots_rules
@@ -109,3 +110,15 @@ def test_robots_and_sitemap_files_are_read_in_tasks_of_bounded_size(spark, tmp_p
     spark.range(9000).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     for name, files in (("d_robots", 1), ("d_sitemaps", 7)):
         assert derive(spark, str(tmp_path), name).rdd.getNumPartitions() >= files * max(5, spark.sparkContext.defaultParallelism)
+
+
+def test_pages_are_extracted_once_where_robots_rules_meet_their_addresses(spark, monkeypatch):
+    """The rules read the rows twice; the plan around them must not hold the extraction any more."""
+    met = []
+    join = en.allowed_urls
+    monkeypatch.setattr(en, "allowed_urls", lambda rows, rules: met.append(rows) or join(rows, rules))
+    pages = spark.createDataFrame([(1, A + "/", "<p>a@acme.com</p>"), (2, A + "/no", "<p>b@acme.com</p>")], "page_id long, url string, html string")
+    rules = spark.createDataFrame([(A, "disallow", "/no", 0, 1)], "origin string, kind string, value string, block_no int, line_no int")
+    best = en.best_by_domain(pages, spark.createDataFrame([("acme.com",)], "domain string"), rules=rules)
+    assert [(r.domain, r.email, r.occurrences) for r in best.collect()] == [("acme.com", "a@acme.com", 1)]
+    assert "_batch_offsets" not in met[0]._jdf.queryExecution().optimizedPlan().toString()
