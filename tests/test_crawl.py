@@ -122,3 +122,18 @@ def test_pages_are_extracted_once_where_robots_rules_meet_their_addresses(spark,
     best = en.best_by_domain(pages, spark.createDataFrame([("acme.com",)], "domain string"), rules=rules)
     assert [(r.domain, r.email, r.occurrences) for r in best.collect()] == [("acme.com", "a@acme.com", 1)]
     assert "_batch_offsets" not in met[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_to_fetch_and_what_was_found_meet_the_queue_by_hash_first(spark):
+    """URLs are alike in the eight bytes that a sort compares first; rows without a URL find no capture."""
+    queue = spark.createDataFrame(
+        [("s", "acme.com", A + "/", 0, "", 1), ("s", "acme.com", A + "/x", 1, A + "/", 2), ("s", "acme.com", None, 1, A + "/", 3)],
+        "site_key string, domain string, url string, depth int, referrer string, visit_rank int")
+    fact = "page_id long, url string, evidence array<struct<email:string,channel_ord:int,pos:int>>"
+    facts = spark.createDataFrame([(1, A + "/", [("a@acme.com", 10, 0)]), (2, None, [("b@acme.com", 10, 0)])], fact)
+    missing, found = fr.next_fetch(queue, facts), en.visited_emails(queue, facts)
+    assert {(r.url, r.visit_rank) for r in missing.collect()} == {(A + "/x", 2), (None, 3)}
+    assert [(r.email, r.visit_rank) for r in found.collect()] == [("a@acme.com", 1)]
+    for frame in (missing, found):
+        plan = frame._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin [_key_hash" in plan, plan
